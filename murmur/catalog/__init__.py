@@ -1,6 +1,6 @@
 """Catalogue of runnable queries."""
 
-from murmur.catalog import log_queries  # noqa: F401
+from murmur.catalog import log_queries, text_queries  # noqa: F401
 from murmur.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

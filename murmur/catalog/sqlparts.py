@@ -85,3 +85,34 @@ def quantile(source: str, value: str, num: int, den: int, method: str = "linear"
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
+
+
+DOCS = """
+docs AS (SELECT doc_id, text, lang, source, n_chars,
+  CASE source WHEN 'src18' THEN 'notes-personal' WHEN 'src19' THEN 'notes-inner' ELSE 'notes-public' END AS source_type
+  FROM documents)
+"""
+
+USER_MESSAGES = """
+um AS (SELECT concat(conv_id, '-', turn) AS message_id, text AS message FROM conversations WHERE role = 'user')
+"""
+
+CATALOGUE = """
+cat0 AS (SELECT *, string_split(text, ' ') AS w FROM benchmark),
+cat AS (SELECT concat('p', item_id) AS project_id, item_id AS "order",
+  concat_ws(' ', coalesce(w[1], ''), coalesce(w[2], '')) AS title, text AS summary,
+  CASE WHEN length(text) % 2 = 0 THEN concat_ws(' ', coalesce(w[8], ''), coalesce(w[9], '')) ELSE '' END AS design_insight,
+  CASE WHEN length(text) % 5 = 0 THEN '' ELSE text END AS walkthrough_context,
+  [lower(coalesce(w[5], '')), lower(coalesce(w[7], ''))] AS tags,
+  [concat_ws(' ', coalesce(w[3], ''), coalesce(w[4], '')), coalesce(w[6], '')] AS mention_keywords,
+  concat('https://example.org/', coalesce(w[4], '')) AS demo,
+  CASE WHEN length(text) % 3 = 0 THEN concat_ws(' ', coalesce(w[9], ''), coalesce(w[10], '')) END AS post_title,
+  concat('https://example.org/b/', coalesce(w[9], '')) AS post_url
+  FROM cat0)
+"""
+
+WORDS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def words(x: str) -> str:
+    return f"list_distinct({WORDS.format(x=x)})"

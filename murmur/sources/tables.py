@@ -76,3 +76,44 @@ def chat_log(spark: SparkSession, sf_dir: str, message: bool = False) -> DataFra
 
 def vote_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).where(F.col("event") == "vote")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus with a source type per document; two sources are restricted."""
+    d = table(spark, sf_dir, "documents")
+    kind = (F.when(F.col("source") == "src18", "notes-personal")
+            .when(F.col("source") == "src19", "notes-inner").otherwise("notes-public"))
+    return d.select("doc_id", "text", "lang", "source", "n_chars", kind.alias("source_type"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as stand-alone messages."""
+    return history(spark, sf_dir).where(F.col("role") == "user").select(
+        F.concat(F.col("conv_id"), F.lit("-"), F.col("turn")).alias("message_id"),
+        F.col("text").alias("message"))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project catalogue built from the benchmark texts."""
+    b = table(spark, sf_dir, "benchmark").withColumn("w", F.split("text", " "))
+    w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    pair = lambda i: F.concat_ws(" ", w(i), w(i + 1))
+    return b.select(
+        F.concat(F.lit("p"), F.col("item_id")).alias("project_id"),
+        F.col("item_id").alias("order"),
+        pair(0).alias("title"), F.col("text").alias("summary"),
+        F.when(F.length("text") % 2 == 0, pair(7)).otherwise("").alias("design_insight"),
+        F.when(F.length("text") % 5 == 0, "").otherwise(F.col("text"))
+        .alias("walkthrough_context"),
+        F.concat(w(0), F.lit(".png")).alias("diagram_filename"),
+        F.array(F.lower(w(4)), F.lower(w(6))).alias("tags"),
+        F.array(pair(2), w(5)).alias("mention_keywords"),
+        F.create_map(F.lit("demo"), F.concat(F.lit("https://example.org/"), w(3)),
+                     F.lit("docs"), F.lit("")).alias("links"),
+        F.when(F.length("text") % 3 == 0, F.array(F.struct(
+            pair(8).alias("title"), F.concat(F.lit("https://example.org/b/"), w(8)).alias("url")))
+        ).alias("blog_posts"))
