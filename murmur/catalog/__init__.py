@@ -1,6 +1,11 @@
 """Catalogue of runnable queries."""
 
-from murmur.catalog import log_queries, text_queries  # noqa: F401
+from murmur.catalog import (  # noqa: F401
+    corpus_queries,
+    graph_queries,
+    log_queries,
+    text_queries,
+)
 from murmur.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -116,3 +116,99 @@ WORDS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
 
 def words(x: str) -> str:
     return f"list_distinct({WORDS.format(x=x)})"
+
+
+MD_DOCS = """
+md AS (SELECT * REPLACE (array_to_string(list_transform(string_split(text, chr(10)), lambda s, i:
+    CASE WHEN (i - 1) % 5 = 2 THEN concat('## L', i - 1, chr(10), s)
+         WHEN (i - 1) % 5 = 4 THEN concat('### L', i - 1, chr(10), s) ELSE s END), chr(10)) AS text) FROM docs),
+ml AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM md)
+"""
+
+STRIP_LINES = r"regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g')"
+
+MD_SECTIONS = MD_DOCS.strip() + rf""",
+ms0 AS (SELECT *, sum(CAST(regexp_matches(line, '^##\s+.') AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM ml),
+ms1 AS (SELECT doc_id, g, coalesce(max(CASE WHEN regexp_matches(line, '^##\s+.') THEN trim(substr(line, 4)) END), 'Preamble') AS section_name,
+  {STRIP_LINES} AS text, max(CASE WHEN regexp_matches(line, '^##\s+.') THEN 2 ELSE 0 END) AS header_level,
+  min(n) AS start_line, max(n) AS end_line FROM ms0 GROUP BY doc_id, g),
+msec AS (SELECT doc_id, section_name, text, CAST(header_level AS INT) AS header_level, CAST(start_line AS INT) AS start_line,
+  CAST(end_line AS INT) AS end_line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS BIGINT) AS section_order
+  FROM ms1 WHERE text <> '')
+"""
+
+LINE_CHUNKS = """
+lc AS (SELECT concat(doc_id, '-', i - 1) AS id, doc_id, concat(source_type, ':', source) AS source, source_type,
+  CASE WHEN lang <> 'en' THEN concat('part ', (i - 1) // 10) END AS section, CAST(i - 1 AS INT) AS chunk_index, text,
+  length(text) AS char_count
+  FROM (SELECT doc_id, lang, source, source_type, unnest(string_split(text, chr(10))) AS text,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs))
+"""
+
+SQUASH = r"trim(regexp_replace(p, '\s+', ' ', 'g'))"
+
+
+def chunk_ctes(source: str, key: str, size: int, overlap: int, prefix: str = "") -> str:
+    """Recursive CTEs cutting ``source(key, text)`` into ``{prefix}ch(key, k, s, e, text)``."""
+    p = prefix
+    return rf"""
+{p}pp AS (SELECT {key} AS key, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {SQUASH}), lambda p: p <> '') AS ps FROM {source}),
+{p}pf AS (SELECT key, ps, len(ps) AS n,
+  list_transform(range(0, len(ps) + 1), lambda i: coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x) + 1)), 0)) AS f,
+  list_transform(range(0, len(ps) + 1), lambda i: coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0)) AS q FROM {p}pp WHERE len(ps) > 0),
+{p}st AS (
+  SELECT key, 0 AS k, 0 AS s, greatest(1, len(list_filter(f[2:], lambda x: x <= {size} + 1))) AS e FROM {p}pf
+  UNION ALL
+  SELECT key, k + 1, s2, greatest(s2 + 1, len(list_filter(f[2:], lambda x: x <= {size} + 1 + f[s2 + 1]))) FROM (
+    SELECT st.key, st.k, pf.f, greatest(st.s + 1, len(list_filter(pf.q, lambda x: x < pf.q[st.e + 1] - {overlap}))) AS s2
+    FROM {p}st AS st JOIN {p}pf AS pf ON pf.key = st.key WHERE st.e < pf.n)),
+{p}ch AS (SELECT key, k, s, e - 1 AS e, array_to_string(ps[s + 1:e], chr(10) || chr(10)) AS text FROM {p}st JOIN {p}pf USING (key))"""
+
+
+def merge_ctes(min_chars: int, prefix: str = "") -> str:
+    """Recursive CTEs joining short chunks of ``{prefix}ch`` into ``{prefix}mg(key, k, text)``."""
+    p = prefix
+    return f"""
+{p}cl AS (SELECT key, list(text ORDER BY k) AS c FROM {p}ch GROUP BY key),
+{p}mr AS (
+  SELECT key, 0 AS i, CAST(NULL AS VARCHAR) AS carry, CAST([] AS VARCHAR[]) AS done FROM {p}cl
+  UNION ALL
+  SELECT key, i + 1, CASE WHEN length(cand) < {min_chars} THEN cand END,
+    CASE WHEN length(cand) < {min_chars} THEN done ELSE list_append(done, cand) END FROM (
+    SELECT mr.key, mr.i, mr.done, CASE WHEN mr.carry IS NULL THEN cl.c[mr.i + 1] ELSE mr.carry || chr(10) || chr(10) || cl.c[mr.i + 1] END AS cand
+    FROM {p}mr AS mr JOIN {p}cl AS cl ON cl.key = mr.key WHERE mr.i < len(cl.c))),
+{p}ml AS (SELECT mr.key, CASE WHEN carry IS NULL THEN done WHEN len(done) = 0 THEN [carry]
+    ELSE list_append(done[1:len(done) - 1], done[len(done)] || chr(10) || chr(10) || carry) END AS texts
+  FROM {p}mr AS mr JOIN {p}cl AS cl ON cl.key = mr.key WHERE mr.i = len(cl.c)),
+{p}mg AS (SELECT key, CAST(generate_subscripts(texts, 1) - 1 AS INT) AS k, unnest(texts) AS text FROM {p}ml)"""
+
+
+def with_recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in parts) + "\n"
+
+
+PROJECT_ENTITIES = """
+pe AS (SELECT CAST(l_suppkey AS VARCHAR) AS project_id, ['skills', 'methods', 'technologies'][p_size % 3 + 1] AS kind,
+  concat(CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(upper(split_part(p_name, ' ', 1)[1]), split_part(p_name, ' ', 1)[2:], ' ',
+    upper(split_part(p_name, ' ', 2)[1]), split_part(p_name, ' ', 2)[2:]) ELSE p_name END, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE '' END) AS name,
+  p_type AS category, p_brand AS detail, l_suppkey * 10000000 + l_partkey AS seq
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey)
+"""
+
+PROJECT_USES = """
+uses AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS project, CASE WHEN p_size % 2 = 0 THEN 'methods' ELSE 'technologies' END AS kind,
+  concat('part ', l_partkey) AS entity, CASE WHEN p_size % 2 = 0 THEN l_returnflag END AS detail FROM lineitem JOIN part ON p_partkey = l_partkey)
+"""
+
+SECTION_MENTIONS = r"""
+sd AS (SELECT *, concat('kb_', source, ':', doc_id) AS section_id FROM docs),
+sm AS (
+  SELECT section_id, 'concepts' AS kind, unnest(ws) AS name, CAST(NULL AS VARCHAR) AS context,
+    doc_id * 100000 + generate_subscripts(ws, 1) - 1 AS seq FROM (
+    SELECT section_id, doc_id, list_transform(list_sort(list_transform(list_distinct(ws), lambda w: {'p': list_position(ws, w), 'w': w})), lambda x: x.w) AS ws
+    FROM (SELECT section_id, doc_id, regexp_extract_all(text, '\p{L}{14,}') AS ws FROM sd))
+  UNION ALL SELECT section_id, 'skills', p_name, NULL, doc_id * 100000 FROM sd JOIN part ON p_partkey = doc_id
+  UNION ALL SELECT section_id, 'projects', CASE lang WHEN 'en' THEN concat(' ', lower(title)) WHEN 'fr' THEN mention_keywords[1] ELSE 'no such project' END,
+    sd.text, doc_id * 100000 FROM sd JOIN cat ON cat."order" = doc_id)
+"""

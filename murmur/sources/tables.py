@@ -117,3 +117,93 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.length("text") % 3 == 0, F.array(F.struct(
             pair(8).alias("title"), F.concat(F.lit("https://example.org/b/"), w(8)).alias("url")))
         ).alias("blog_posts"))
+
+
+def paragraph_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus with every line as its own paragraph."""
+    return documents(spark, sf_dir).withColumn(
+        "text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus with second and third level headers put before some lines."""
+    lines = F.transform(F.split("text", "\n", -1), lambda s, i: F.when(
+        i % 5 == 2, F.concat(F.lit("## L"), i, F.lit("\n"), s)).when(
+        i % 5 == 4, F.concat(F.lit("### L"), i, F.lit("\n"), s)).otherwise(s))
+    return documents(spark, sf_dir).withColumn("text", F.array_join(lines, "\n"))
+
+
+def tiers(spark: SparkSession) -> DataFrame:
+    """Source types with a restricted tier."""
+    return spark.sql("SELECT * FROM VALUES ('notes-personal', 'personal'), "
+                     "('notes-inner', 'inner_circle') AS t(source_type, tier)")
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk per document line, for audits."""
+    d = documents(spark, sf_dir).select(
+        "doc_id", "lang", F.concat_ws(":", "source_type", "source").alias("source"),
+        F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text"))
+    section = F.when(F.col("lang") != "en", F.concat(F.lit("part "), F.floor(
+        F.col("chunk_index") / 10)))
+    return d.select(F.concat_ws("-", "doc_id", "chunk_index").alias("id"), "doc_id", "source",
+                    section.alias("section"), "chunk_index", "text",
+                    F.length("text").alias("char_count"))
+
+
+def project_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as projects, parts as the entities they use, in spelling variants."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    p = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(F.lit("skills"), F.lit("methods"), F.lit("technologies")),
+                        (F.col("p_size") % 3 + 1).cast("int"))
+    name = (F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name"))
+            .when(F.col("p_partkey") % 3 == 1, F.initcap("p_name")).otherwise(F.col("p_name")))
+    parts = p.select("p_partkey", kind.alias("kind"),
+                     F.concat(name, F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(""))
+                     .alias("name"),
+                     F.col("p_type").alias("category"), F.col("p_brand").alias("detail"))
+    return pairs.join(parts, pairs.l_partkey == parts.p_partkey).select(
+        F.col("l_suppkey").cast("string").alias("project_id"), "kind", "name", "category",
+        "detail", (F.col("l_suppkey") * 10_000_000 + F.col("l_partkey")).alias("seq"))
+
+
+def project_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and the parts they share; methods carry a stage, so paths can be parallel."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    methods = F.col("p_size") % 2 == 0
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("l_suppkey").cast("string").alias("project"),
+        F.when(methods, "methods").otherwise("technologies").alias("kind"),
+        F.concat(F.lit("part "), F.col("l_partkey")).alias("entity"),
+        F.when(methods, F.col("l_returnflag")).alias("detail")).distinct()
+
+
+def section_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sections: long words as concepts, part names as skills, titles as projects."""
+    d = documents(spark, sf_dir)
+    sid = F.concat(F.lit("kb_"), F.col("source"), F.lit(":"), F.col("doc_id"))
+    long_words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}{14,})"), 1))
+    concepts = d.select(sid.alias("section_id"), F.lit("concepts").alias("kind"),
+                        F.posexplode(long_words).alias("p", "name"),
+                        F.lit(None).cast("string").alias("context"), "doc_id")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
+    skills = d.join(p, "doc_id").select(
+        sid.alias("section_id"), F.lit("skills").alias("kind"), F.lit(0).alias("p"),
+        F.col("p_name").alias("name"), F.lit(None).cast("string").alias("context"), "doc_id")
+    c = catalogue(spark, sf_dir).select(F.col("order").alias("doc_id"), "title", "mention_keywords")
+    named = d.join(c, "doc_id").select(
+        sid.alias("section_id"), F.lit("projects").alias("kind"), F.lit(0).alias("p"),
+        F.when(F.col("lang") == "en", F.concat(F.lit(" "), F.lower("title")))
+        .when(F.col("lang") == "fr", F.get("mention_keywords", F.lit(0)))
+        .otherwise("no such project").alias("name"), F.col("text").alias("context"), "doc_id")
+    rows = concepts.unionByName(skills).unionByName(named)
+    return rows.select("section_id", "kind", "name", "context",
+                       (F.col("doc_id") * 100_000 + F.col("p")).alias("seq"))
+
+
+def section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that exist in the graph: all but the German documents."""
+    return documents(spark, sf_dir).where(F.col("lang") != "de").select(
+        F.concat(F.lit("kb_"), F.col("source"), F.lit(":"), F.col("doc_id")).alias("section_id"))
