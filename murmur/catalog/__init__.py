@@ -5,6 +5,7 @@ from murmur.catalog import (  # noqa: F401
     graph_queries,
     log_queries,
     text_queries,
+    vector_queries,
 )
 from murmur.catalog.registry import ORACLES, QUERIES
 

@@ -212,3 +212,42 @@ sm AS (
   UNION ALL SELECT section_id, 'projects', CASE lang WHEN 'en' THEN concat(' ', lower(title)) WHEN 'fr' THEN mention_keywords[1] ELSE 'no such project' END,
     sd.text, doc_id * 100000 FROM sd JOIN cat ON cat."order" = doc_id)
 """
+
+
+SECTIONS = """
+sec AS (SELECT vec_id AS section_id, vec_id // 8 AS parent, vec_id % 8 AS ord, concat('part ', vec_id % 8) AS name,
+  CASE WHEN vec_id % 10 <= 6 THEN 0 WHEN vec_id % 10 <= 8 THEN 1 ELSE 2 END AS tr, coalesce(d.text, '') AS full_text,
+  length(coalesce(d.text, '')) AS char_count, concat_ws(':', d.source_type, d.source) AS source,
+  CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings LEFT JOIN docs d ON d.doc_id = vec_id),
+q AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe, item_id % 3 AS qr, 5 AS k, label AS qlabel, text
+  FROM benchmark JOIN embeddings ON vec_id = item_id),
+pairs AS (SELECT query_id, qr, qlabel, section_id, tr, parent, name, char_count, source, label, full_text,
+  list_distance(e, qe) AS distance, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS cosine
+  FROM q CROSS JOIN sec)
+"""
+
+
+def topk_cte(name: str, order: str, k: int, where: str = "true") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}, section_id) AS INT) AS rank
+  FROM pairs WHERE {where}) WHERE rank <= {k})"""
+
+
+L2_ORDER = "round(distance, 9)"
+COS_ORDER = "round(1.0::DOUBLE - cosine, 9)"
+L2_SCORE = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - distance * distance / 2.0::DOUBLE))"
+
+SIGNALS = """
+sig AS (SELECT section_id, CAST(section_id % 3 = 0 AS BIGINT) AS projects_described,
+  CASE WHEN section_id % 8 = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, section_id % 8 + 1), lambda i: section_id * i % 50))) END AS entities_mentioned
+  FROM sec)
+"""
+
+
+def rerank_cte(name: str, source: str, sem: float, proj: float, ent: float, length: float) -> str:
+    return f"""{name}_s AS (SELECT c.* EXCLUDE (rank), projects_described, entities_mentioned, cosine * {sem}::DOUBLE AS semantic_part,
+    CASE WHEN projects_described > 0 THEN {proj}::DOUBLE ELSE 0.0::DOUBLE END AS project_bonus,
+    CAST(least(entities_mentioned, 5) AS DOUBLE) / 5 * {ent}::DOUBLE AS entity_bonus,
+    CASE WHEN char_count > 2000 THEN {length}::DOUBLE ELSE 0.0::DOUBLE END AS length_bonus
+  FROM {source} c JOIN sig USING (section_id) WHERE tr <= qr),
+{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, section_id) AS INT) AS rank
+  FROM (SELECT *, semantic_part + project_bonus + entity_bonus + length_bonus AS final_score FROM {name}_s) QUALIFY rank <= 5)"""

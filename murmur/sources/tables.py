@@ -207,3 +207,63 @@ def section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that exist in the graph: all but the German documents."""
     return documents(spark, sf_dir).where(F.col("lang") != "de").select(
         F.concat(F.lit("kb_"), F.col("source"), F.lit(":"), F.col("doc_id")).alias("section_id"))
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded sections: eight per parent, tiers by id, whole document texts."""
+    v = table(spark, sf_dir, "embeddings")
+    d = documents(spark, sf_dir).select("doc_id", F.col("text").alias("full_text"), "source",
+                                        F.col("source_type").alias("__kind"))
+    digit = F.col("vec_id") % 10
+    return v.join(d, v.vec_id == d.doc_id, "left").select(
+        F.col("vec_id").alias("section_id"), F.floor(F.col("vec_id") / 8).alias("parent"),
+        (F.col("vec_id") % 8).alias("order"),
+        F.concat(F.lit("part "), F.col("vec_id") % 8).alias("name"),
+        F.when(digit <= 6, "public").when(digit <= 8, "personal").otherwise("inner_circle")
+        .alias("sensitivity"),
+        F.coalesce("full_text", F.lit("")).alias("full_text"),
+        F.length(F.coalesce("full_text", F.lit(""))).alias("char_count"),
+        F.concat_ws(":", "__kind", "source").alias("source"), "embedding", "label")
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as queries, with the vector of the same number."""
+    b = table(spark, sf_dir, "benchmark")
+    v = table(spark, sf_dir, "embeddings")
+    tier = F.element_at(F.array(F.lit("public"), F.lit("personal"), F.lit("inner_circle")),
+                        (F.col("item_id") % 3 + 1).cast("int"))
+    return b.join(v, b.item_id == v.vec_id).select(
+        F.col("item_id").alias("query_id"), "embedding", tier.alias("tier"), F.lit(5).alias("k"),
+        "label", "text")
+
+
+def section_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HAS_SECTION, NEXT_SECTION, DESCRIBED_IN and MENTIONS edges of the sections."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id")
+    sid = F.col("vec_id").cast("string")
+    empty = F.create_map().cast("map<string,string>")
+    edge = lambda df, sk, s, rel, dk, d: df.select(
+        F.lit(sk).alias("src_kind"), s.cast("string").alias("src"), F.lit(rel).alias("rel"),
+        F.lit(dk).alias("dst_kind"), d.cast("string").alias("dst"), empty.alias("props"))
+    mentions = v.select("vec_id", F.explode(F.sequence(F.lit(1), (F.col("vec_id") % 8).cast("int")))
+                        .alias("i")).where((F.col("vec_id") % 8) > 0)
+    return (edge(v, "Document", F.floor(F.col("vec_id") / 8), "HAS_SECTION", "Section", sid)
+            .unionByName(edge(v.where(F.col("vec_id") % 8 < 7), "Section", sid, "NEXT_SECTION",
+                              "Section", F.col("vec_id") + 1))
+            .unionByName(edge(v.where(F.col("vec_id") % 3 == 0), "Project",
+                              F.col("vec_id") % 12, "DESCRIBED_IN", "Section", sid))
+            .unionByName(edge(mentions, "Section", sid, "MENTIONS", "Concept",
+                              F.col("vec_id") * F.col("i") % 50)))
+
+
+def section_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of the sections; some are missing."""
+    parent = F.floor(F.col("vec_id") / 8)
+    return (table(spark, sf_dir, "embeddings").select(parent.alias("doc_id")).distinct()
+            .where(F.col("doc_id") % 7 != 3)
+            .withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id"))))
+
+
+def section_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 12).alias("project_id"))
+            .distinct().withColumn("title", F.concat(F.lit("Project "), F.col("project_id"))))
