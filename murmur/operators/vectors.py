@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from murmur.functions import numeric
 from murmur.operators.enrich import tier_allows, tier_rank
 from murmur.scale import small_rows
+from murmur.session import materialize
 
 # Over-fetch, re-ranking weights and caps, probe thresholds.
 FETCH_FACTOR = 4
@@ -35,7 +36,7 @@ QUERY_BLOCK = 2048
 SECTION_BLOCK = 65_536
 DIGITS = 9
 METRICS = ("l2", "cosine", "cosine_distance")
-HITS = "query_id {q}, section_id {s}, distance double"
+HITS = "query_id {q}, wanted int, section_id {s}, distance double"
 
 
 class _Queries:
@@ -90,9 +91,11 @@ def _merge(best: dict, query: int, ids, distances, limit: int) -> None:
 
 def _frame(queries: _Queries, best: dict) -> pd.DataFrame:
     if not best:
-        return pd.DataFrame({"query_id": queries.ids[:0], "section_id": [], "distance": []})
+        return pd.DataFrame({"query_id": queries.ids[:0], "wanted": [], "section_id": [],
+                             "distance": []})
+    repeat = lambda of: np.concatenate([np.repeat(of[q], len(v[0])) for q, v in best.items()])
     return pd.DataFrame({
-        "query_id": np.concatenate([np.repeat(queries.ids[q], len(v[0])) for q, v in best.items()]),
+        "query_id": repeat(queries.ids), "wanted": repeat(queries.limits),
         "section_id": np.concatenate([v[0] for v in best.values()]),
         "distance": np.concatenate([v[1] for v in best.values()])})
 
@@ -150,7 +153,7 @@ def _block_search(s: DataFrame, q: DataFrame, metric: str, schema: str) -> DataF
 
     def pair(sections: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(sections) or not len(queries):
-            return pd.DataFrame({"query_id": queries["query_id"][:0],
+            return pd.DataFrame({"query_id": queries["query_id"][:0], "wanted": [],
                                  "section_id": sections["section_id"][:0], "distance": []})
         found = _Queries(queries["query_id"], _as_matrix(queries["embedding"]),
                          queries["limit"], queries["visitor_rank"])
@@ -178,10 +181,8 @@ def vector_topk(sections: DataFrame, queries: DataFrame, metric: str = "l2",
                 tier_filter: bool = True, factor: int = 1,
                 broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank, section_id, distance, score: tier filter first, then the k nearest."""
-    found = _candidates(sections, queries, metric, tier_filter, factor, broadcast_bytes)
-    limits = queries.select("query_id", (F.col("k") * factor).alias("__limit"))
-    hits = found.join(limits, "query_id")
-    out = _ranked(hits, F.col("__limit"), F.round("distance", DIGITS), F.col("section_id"))
+    hits = _candidates(sections, queries, metric, tier_filter, factor, broadcast_bytes)
+    out = _ranked(hits, F.col("wanted"), F.round("distance", DIGITS), F.col("section_id"))
     return out.select("query_id", "rank", "section_id", "distance",
                       score_of(F.col("distance"), metric).alias("score"))
 
@@ -226,8 +227,9 @@ def hybrid_candidates(sections: DataFrame, queries: DataFrame, edges: DataFrame,
         "query_id", "section_id", F.col("score").alias("vector_score"))
     facts = sections.select("section_id", "sensitivity", "char_count")
     tiers = queries.select("query_id", "tier", "k")
-    allowed = (near.join(facts, "section_id").join(tiers, "query_id")
-               .where(tier_allows(F.col("sensitivity"), F.col("tier"))))
+    # At most k·factor rows per query; read twice below, so the search runs once.
+    allowed = materialize(near.join(facts, "section_id").join(tiers, "query_id").where(
+        tier_allows(F.col("sensitivity"), F.col("tier"))), "candidates")
     signals = graph_signals(allowed, edges)
     out = allowed.join(signals, F.col("section_id").cast("string") == F.col("section"), "left")
     return out.drop("section").withColumns({
@@ -251,16 +253,17 @@ def hybrid_topk(sections: DataFrame, queries: DataFrame, edges: DataFrame, docum
     ``documents``: doc_id, title. ``titles``: project_id, title. An anchor without a
     document is dropped, so its rank stays empty.
     """
-    top = rerank(hybrid_candidates(sections, queries, edges, factor, metric), weights)
-    anchors = top.join(sections.select("section_id", "name", "full_text"), "section_id")
+    # k rows per query without texts; every branch below starts from them.
+    top = materialize(rerank(hybrid_candidates(sections, queries, edges, factor, metric),
+                             weights).withColumn("__sid", F.col("section_id").cast("string")),
+                      "anchors")
     has = edges.where(F.col("rel") == "HAS_SECTION").select(
-        F.col("src").alias("doc_id"), F.col("dst").alias("__has"))
+        F.col("src").alias("doc_id"), F.col("dst").alias("__sid"))
     docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"),
                             F.col("title").alias("source"))
-    placed = (anchors.join(has, F.col("section_id").cast("string") == F.col("__has"))
-              .join(docs, "doc_id").drop("__has"))
-    sid = F.col("section_id").cast("string").alias("__sid")
-    wanted = placed.select(sid).distinct()
+    placed = (top.join(has, "__sid").join(docs, "doc_id")
+              .join(sections.select("section_id", "name", "full_text"), "section_id"))
+    wanted = top.select("__sid").distinct()
     named = (edges.where(F.col("rel") == "DESCRIBED_IN")
              .select(F.col("src").alias("project_id"), F.col("dst").alias("__sid"))
              .join(wanted, "__sid", "left_semi")
@@ -275,8 +278,7 @@ def hybrid_topk(sections: DataFrame, queries: DataFrame, edges: DataFrame, docum
                             F.col("sensitivity").alias("__tier"), F.col("name").alias("__name"),
                             F.col("full_text").alias("__text"))
     neighbour = nxt.join(after, "__next")
-    joined = (placed.withColumn("__sid", F.col("section_id").cast("string"))
-              .join(named, "__sid", "left").join(neighbour, "__sid", "left"))
+    joined = placed.join(named, "__sid", "left").join(neighbour, "__sid", "left")
     allowed = tier_allows(F.col("__tier"), F.col("tier")) & F.col("__tier").isNotNull()
     return joined.select(
         "query_id", "rank", "section_id", F.col("name").alias("section_name"), "source",
