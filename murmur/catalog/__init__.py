@@ -2,6 +2,7 @@
 
 from murmur.catalog import (  # noqa: F401
     corpus_queries,
+    eval_queries,
     graph_queries,
     log_queries,
     text_queries,

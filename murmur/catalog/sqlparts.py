@@ -251,3 +251,16 @@ def rerank_cte(name: str, source: str, sem: float, proj: float, ent: float, leng
   FROM {source} c JOIN sig USING (section_id) WHERE tr <= qr),
 {name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, section_id) AS INT) AS rank
   FROM (SELECT *, semantic_part + project_bonus + entity_bonus + length_bonus AS final_score FROM {name}_s) QUALIFY rank <= 5)"""
+
+
+def eval_cte(run: str) -> str:
+    b = run == "b"
+    response = "CASE WHEN lang = 'es' THEN 'Sí. [x](http://e.org) happy to' ELSE text END" if b else "text"
+    return f"""res_{run} AS (SELECT 'run-{run}' AS run_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE concat('q', doc_id) END AS question_id, text AS question,
+  source AS legacy_category, lang AS question_type, {response} AS response, CASE WHEN doc_id % {13 if b else 19} = 0 THEN 'timeout' END AS error,
+  CASE doc_id % 7 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'prompt' END AS issue_source,
+  list_transform(range(1, doc_id % 5 + 1), lambda j: {{'source': source, 'chunk_index': CAST((doc_id * j + j * {1 if b else 0}) % 17 AS INT), 'similarity': (doc_id * j) % 100 / 100.0::DOUBLE}}) AS chunks,
+  doc_id % 1000 AS total_tokens, (doc_id % 50) / 1000.0::DOUBLE AS cost_usd, (doc_id + {7 if b else 0}) % 100 / 100.0::DOUBLE AS sim, doc_id AS pos,
+  coalesce(nullif(CASE WHEN doc_id % 17 = 0 THEN '' ELSE concat('q', doc_id) END, ''), substr(text, 1, 80)) AS key
+  FROM docs{" WHERE source <> 'src11'" if b else ""}),
+k_{run} AS (SELECT * FROM res_{run} QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1)"""

@@ -267,3 +267,50 @@ def section_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 12).alias("project_id"))
             .distinct().withColumn("title", F.concat(F.lit("Project "), F.col("project_id"))))
+
+
+def eval_results(spark: SparkSession, sf_dir: str, run: str = "a") -> DataFrame:
+    """Evaluation results over all documents; run b shifts scores, loses one source."""
+    from murmur.schemas import EVAL_RESULT, RETRIEVED_CHUNK
+
+    d = documents(spark, sf_dir)
+    i = F.col("doc_id")
+    b = run == "b"
+    if b:
+        d = d.where(F.col("source") != "src11")
+    step = 1 if b else 0
+    chunks = F.transform(
+        F.slice(F.sequence(F.lit(1), F.lit(4)), F.lit(1), (i % 5).cast("int")),
+        lambda j: F.struct(
+            F.lit("").alias("text"), F.col("source").alias("source"),
+            F.col("lang").alias("section"),
+            ((i * j + j * step) % 17).cast("int").alias("chunk_index"),
+            F.lit(None).cast("double").alias("distance"),
+            ((i * j) % 100 / 100.0).alias("similarity")))
+    columns = {
+        "run_id": F.lit(f"run-{run}"),
+        "question_id": F.when(i % 17 == 0, "").otherwise(F.concat(F.lit("q"), i)),
+        "question": F.col("text"), "legacy_category": F.col("source"),
+        "question_type": F.col("lang"), "expected_info": F.lit("facts"),
+        "response": F.when(F.lit(b) & (F.col("lang") == "es"), "Sí. [x](http://e.org) happy to")
+        .otherwise(F.col("text")),
+        "error": F.when(i % (13 if b else 19) == 0, "timeout"),
+        "issue_source": F.when(i % 7 == 0, "retrieval").when(i % 7 == 1, "prompt"),
+        "retrieved_chunks": chunks.cast(f"array<{RETRIEVED_CHUNK.simpleString()}>"),
+        "total_tokens": i % 1000, "cost_usd": (i % 50) / 1000.0,
+        "chunk_similarity_avg": (i + (7 if b else 0)) % 100 / 100.0,
+    }
+    return d.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in EVAL_RESULT.fields], i.alias("pos"))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge verdicts from the document labels; a sixth of them failed."""
+    lab = table(spark, sf_dir, "labels")
+    tics = F.filter(F.array(F.when(F.col("doc_id") % 5 == 0, "hedging"),
+                            F.when(F.col("doc_id") % 5 < 2, "em dash")), lambda t: t.isNotNull())
+    return lab.select(
+        "doc_id", F.when(F.col("doc_id") % 6 == 0, "parse error").alias("error"),
+        (1 + 2 * F.col("quality")).alias("voice_fidelity"),
+        F.when(F.col("toxic") == 0, 4).alias("reasoning_fidelity"),
+        (3 + F.col("quality") - F.col("toxic")).alias("overall"), tics.alias("tics"))
