@@ -15,7 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat and vote rows from ``events``; no join, no shuffle, prunable columns."""
-    e = table(spark, sf_dir, "events")
+    return log_from(table(spark, sf_dir, "events"))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table read as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir))
+
+
+def log_from(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.col("ts").cast("timestamp")
     blank = F.col("event_id") % 50 == 0
