@@ -82,9 +82,8 @@ def chunk_or_whole(spark, sf):
 @query("parse_markdown_sections", with_(DOCS, MD_SECTIONS) + """
 SELECT doc_id, section_order, section_name, text, header_level, start_line, end_line FROM msec""")
 def parse_markdown_sections(spark, sf):
-    sections = corpus.markdown_sections(tables.markdown_docs(spark, sf), ["doc_id"],
-                                        include_nested=True)
-    return corpus.with_section_order(sections, "doc_id").drop("section_position")
+    return corpus.markdown_sections(tables.markdown_docs(spark, sf), ["doc_id"],
+                                    include_nested=True)
 
 
 @query("parse_markdown_nested", with_(DOCS, MD_DOCS, r"""
@@ -94,12 +93,13 @@ g AS (SELECT *, sum(CAST(lv > 0 AS INT)) OVER w AS seg, sum(CAST(lv = 2 AS INT))
 seg AS (SELECT doc_id, seg, any_value(outer_seg) AS outer_seg, max(lv) AS lv, min(n) AS start_line, max(n) AS end_line,
   coalesce(max(CASE WHEN lv > 0 THEN trim(ltrim(line, '#')) END), 'Preamble') AS title,
   regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY doc_id, seg)""") + """
-SELECT doc_id, string_agg(title, ' > ') OVER (PARTITION BY doc_id, outer_seg ORDER BY seg) AS section_name, text,
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS section_order,
+  string_agg(title, ' > ') OVER (PARTITION BY doc_id, outer_seg ORDER BY seg) AS section_name, text,
   CAST(lv AS INT) AS header_level, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line
 FROM seg WHERE text <> ''""")
 def parse_markdown_nested(spark, sf):
-    return corpus.markdown_sections(tables.markdown_docs(spark, sf), ["doc_id"]).drop(
-        "section_position")
+    sections = corpus.markdown_sections(tables.markdown_docs(spark, sf), ["doc_id"])
+    return corpus.with_section_order(sections, "doc_id").drop("section_position")
 
 
 @query("parse_sections_delimiter", with_(DOCS, r"""

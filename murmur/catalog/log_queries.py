@@ -253,7 +253,7 @@ def _lines(spark, sf):
                               stamp.alias("ts"), F.lit("kept out").alias("unknown_extra")))
     text = (F.when(m == 3, "   ").when(m == 4, '{"a":').when(m == 5, "[1]")
             .when(m == 6, "null").otherwise(F.concat(F.lit(" "), body)))
-    return log.select("row_id", text.alias("value"))
+    return log.select("row_id", F.explode(F.array(text)).alias("value"))
 
 
 @query("log_parse_jsonl", with_(LOG, LINES_SQL) + """

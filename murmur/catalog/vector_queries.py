@@ -219,7 +219,7 @@ def weight_sweep(spark, sf):
 def approx_topk(spark, sf):
     sections, queries = _inputs(spark, sf)
     cells, centres = vectors.build_cells(sections, 16)
-    return vectors.approx_topk(sections, queries, cells, centres, n_probe=4)
+    return vectors.approx_topk(sections, queries, cells, centres, n_probe=8)
 
 
 @query("approx_topk_all_cells", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr"))
@@ -237,4 +237,4 @@ def approx_recall(spark, sf):
     sections, queries = _inputs(spark, sf)
     cells, centres = vectors.build_cells(sections, 16)
     return vectors.recall(vectors.vector_topk(sections, queries),
-                          vectors.approx_topk(sections, queries, cells, centres, n_probe=4))
+                          vectors.approx_topk(sections, queries, cells, centres, n_probe=8))

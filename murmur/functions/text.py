@@ -76,7 +76,13 @@ def has_link(text: Column) -> Column:
 
 
 def has_followup(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("(?iU)" + "|".join(FOLLOWUP_PHRASES))
+    """Cheap substring test first; the word-boundary pattern only runs on likely texts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    likely = F.lit(False)
+    for phrase in FOLLOWUP_PHRASES:
+        likely = likely | F.contains(low, F.lit(
+            phrase.replace(r"\b", "").lower().rsplit("]", 1)[-1]))
+    return F.when(likely, low.rlike("(?iU)" + "|".join(FOLLOWUP_PHRASES))).otherwise(F.lit(False))
 
 
 def markdown_level(text: Column) -> Column:

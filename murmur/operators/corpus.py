@@ -153,8 +153,9 @@ def _newlines(s: Column) -> Column:
     return F.size(F.split(s, "\n", -1)) - 1
 
 
-def _lines_before(segments: Column, i: Column) -> Column:
-    return F.aggregate(F.slice(segments, F.lit(1), i), F.lit(0), lambda acc, s: acc + _newlines(s))
+def _before(counts: Column, i: Column) -> Column:
+    """Sum of the first i counts."""
+    return F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda acc, n: acc + n)
 
 
 def _header_split(body: Column, low: int, high: int) -> Column:
@@ -178,44 +179,51 @@ def markdown_sections(docs: DataFrame, keys: list[str], body: str = "text", leve
     ``parent > child``. Text before the first target header is ``Preamble``; a document
     without any text yields one empty ``Full Document``.
     """
-    last_line = _newlines(F.col("__body"))
     outer = (docs.select(*keys, F.col(body).alias("__body"))
              .withColumn("__outer", _header_split(F.col("__body"), level, level))
-             .select(*keys, last_line.alias("__last"),
-                     F.size("__outer").alias("__n_outer"),
-                     F.transform("__outer", lambda s, i: F.struct(
-                         s.alias("s"), _lines_before(F.col("__outer"), i).alias("at"))).alias("__o"))
-             .select(*keys, "__last", "__n_outer", F.posexplode("__o").alias("__i", "__seg")))
-    own = F.col("__seg.s")
-    is_target = _header_level(own) == level
-    base = F.when(is_target, _header_title(own)).otherwise("Preamble")
-    inner = F.array(own) if include_nested else _header_split(own, level + 1, 6)
-    parts = (outer.withColumn("__base", base).withColumn("__target", is_target)
-             .withColumn("__inner", inner)
-             .withColumn("__titles", F.transform("__inner", lambda s, j: F.when(
-                 j == 0, F.col("__base")).otherwise(_header_title(s))))
-             .select(*keys, "__last", "__i", "__n_outer", "__target", "__titles", "__seg.at",
-                     "__inner", F.posexplode("__inner").alias("__j", "__s")))
-    start = F.col("at") + _lines_before(F.col("__inner"), F.col("__j"))
-    is_last = (F.col("__i") == F.col("__n_outer") - 1) & (F.col("__j") == F.size("__inner") - 1)
+             .withColumn("__nl", F.transform("__outer", _newlines))
+             .select(*keys, "__nl", F.size("__outer").alias("__n_outer"),
+                     (strip(F.get("__outer", F.lit(0))) == "").alias("__no_preamble"),
+                     F.posexplode("__outer").alias("__i", "__seg")))
+    is_target = _header_level(F.col("__seg")) == level
+    base = F.when(is_target, _header_title(F.col("__seg"))).otherwise("Preamble")
+    inner = (F.array("__seg") if include_nested
+             else _header_split(F.col("__seg"), level + 1, 6))
+    parts = (outer.select(
+        *keys, "__i", "__no_preamble", is_target.alias("__target"), base.alias("__base"),
+        inner.alias("__inner"), _before(F.col("__nl"), F.col("__i")).alias("__at"),
+        (F.col("__i") == F.col("__n_outer") - 1).alias("__last_outer"))
+        .withColumn("__nl", F.transform("__inner", _newlines))
+        .withColumn("__titles", F.transform("__inner", lambda s, j: F.when(
+            j == 0, F.col("__base")).otherwise(_header_title(s))))
+        .select(*keys, "__i", "__no_preamble", "__target", "__at", "__last_outer", "__nl",
+                "__titles", F.posexplode("__inner").alias("__j", "__s")))
+    start = F.col("__at") + _before(F.col("__nl"), F.col("__j"))
+    is_last = F.col("__last_outer") & (F.col("__j") == F.size("__nl") - 1)
     named = parts.select(
-        *keys, "__i", "__j",
+        *keys, "__i", "__j", "__no_preamble",
         F.array_join(F.slice("__titles", F.lit(1), F.col("__j") + 1), " > ").alias("section_name"),
         strip(F.col("__s")).alias("text"),
         F.when((F.col("__j") == 0) & ~F.col("__target"), 0).otherwise(
             _header_level(F.col("__s"))).alias("header_level"),
         start.alias("start_line"),
-        F.when(is_last, F.col("__last")).otherwise(start + _newlines(F.col("__s")) - 1)
-        .alias("end_line"), is_last.alias("__is_last"))
+        (start + _newlines(F.col("__s")) - F.when(is_last, 0).otherwise(1)).alias("end_line"),
+        is_last.alias("__is_last"))
     empty_doc = (F.col("__i") == 0) & F.col("__is_last")
+    # Only the text before the first header can be blank, so with nested headers kept
+    # inside, the position among kept sections needs no window.
+    order = (F.col("__i") - F.when(F.col("__no_preamble") & (F.col("__i") > 0), 1).otherwise(0)
+             ).cast("bigint")
+    place = (order.alias("section_order") if include_nested
+             else F.struct("__i", "__j").alias("section_position"))
     return named.where((F.col("text") != "") | empty_doc).select(
-        *keys, F.struct("__i", "__j").alias("section_position"),
+        *keys, place,
         F.when(F.col("text") == "", "Full Document").otherwise(F.col("section_name"))
         .alias("section_name"), "text", "header_level", "start_line", "end_line")
 
 
 def with_section_order(sections: DataFrame, doc: str) -> DataFrame:
-    """0-based position inside the document, spread over blocks of sections."""
+    """0-based position for sections that carry section_position, spread over blocks."""
     from murmur.scale import Running, running
 
     block = F.floor(F.col("section_position.__i") / 1000)

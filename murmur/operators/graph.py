@@ -58,8 +58,7 @@ def document_nodes(files: DataFrame, tiers: DataFrame) -> DataFrame:
 
 def kept_sections(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Level-2 sections of at least 50 characters with their position before that filter."""
-    parsed = corpus.with_section_order(
-        corpus.markdown_sections(docs, [doc, "sensitivity"], "text", 2, include_nested=True), doc)
+    parsed = corpus.markdown_sections(docs, [doc, "sensitivity"], "text", 2, include_nested=True)
     return parsed.where(F.length("text") >= corpus.MIN_SECTION_CHARS).withColumn(
         "id", F.concat_ws(":", F.col(doc), "section_name"))
 

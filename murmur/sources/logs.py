@@ -24,10 +24,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add ``raw`` (stripped), ``doc`` (variant, null when malformed); blank lines go."""
-    raw = loose.strip(F.col(value))
-    parsed = lines.withColumn("raw", raw).where(F.col("raw") != "")
+    # Exploding one-element arrays keeps the optimiser from copying the parse into every
+    # filter and field above it: each line is stripped and parsed exactly once.
+    kept = F.filter(F.array(loose.strip(F.col(value))), lambda s: s != "")
+    stripped = lines.select(*lines.columns, F.explode(kept).alias("raw"))
     looks_whole = F.col("raw").startswith("{") & F.col("raw").endswith("}")
-    return parsed.withColumn("doc", F.when(looks_whole, F.try_parse_json("raw")))
+    doc = F.array(F.when(looks_whole, F.try_parse_json("raw")))
+    return stripped.select(*stripped.columns, F.explode(doc).alias("doc"))
 
 
 def bad_lines(parsed: DataFrame, keep: int = 300) -> DataFrame:
