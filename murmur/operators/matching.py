@@ -33,20 +33,23 @@ def term_hits(texts: DataFrame, text_id: str, text_col: str, terms: DataFrame,
     return _gram_hits(low, text_id, listed)
 
 
+def _grams(size: int):
+    """Distinct substrings of one length."""
+    last = F.length("__low") - (size - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
+        F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(
+        starts, lambda i: F.substring(F.col("__low"), i, F.lit(size))))
+
+
 def _gram_hits(low: DataFrame, text_id: str, listed: DataFrame) -> DataFrame:
     """Every term is looked up by its first gram (the whole term when it is shorter)."""
     keyed = listed.withColumn("__len", F.least(F.length("term"), F.lit(GRAM))).withColumn(
         "__gram", F.expr("substring(term, 1, __len)"))
     parts = []
     for size in range(1, GRAM + 1):
-        last = F.length("__low") - (size - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>"))
-        grams = F.array_distinct(F.transform(
-            starts, lambda i, n=size: F.substring(F.col("__low"), i, n)))
         wanted = keyed.where(F.col("__len") == size)
-        # Pre-filter: only texts' grams some term starts with are kept for the pair join.
-        parts.append(low.select(text_id, F.explode(grams).alias("__gram"))
+        parts.append(low.select(text_id, F.explode(_grams(size)).alias("__gram"))
                      .join(wanted.select("__gram", "term"), "__gram")
                      .select(text_id, "term"))
     pairs = reduce(lambda a, b: a.unionByName(b), parts)
