@@ -5,6 +5,7 @@ from murmur.catalog import (  # noqa: F401
     eval_queries,
     graph_queries,
     log_queries,
+    plan_queries,
     stream_queries,
     text_queries,
     vector_queries,
