@@ -102,6 +102,13 @@ def parse_markdown_nested(spark, sf):
     return corpus.with_section_order(sections, "doc_id").drop("section_position")
 
 
+@query("section_forward_fill", with_(DOCS, MD_DOCS) + r"""
+SELECT doc_id, CAST(n AS INT) AS line_number, coalesce(last_value(CASE WHEN regexp_matches(line, '^##\s+.') THEN trim(substr(line, 4)) END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING), 'Preamble') AS section_name FROM ml""")
+def section_forward_fill(spark, sf):
+    return corpus.section_forward_fill(tables.markdown_docs(spark, sf)).drop("line")
+
+
 @query("parse_sections_delimiter", with_(DOCS, r"""
 dl AS (SELECT doc_id, unnest(string_split(replace(text, '.' || chr(10), chr(10) || '======' || chr(10)), chr(10))) AS line,
   generate_subscripts(string_split(replace(text, '.' || chr(10), chr(10) || '======' || chr(10)), chr(10)), 1) AS n FROM docs),

@@ -232,6 +232,18 @@ def with_section_order(sections: DataFrame, doc: str) -> DataFrame:
     return out.withColumn("section_order", F.coalesce("section_order", F.lit(0)))
 
 
+def section_forward_fill(docs: DataFrame, doc: str = "doc_id", body: str = "text",
+                         level: int = 2) -> DataFrame:
+    """Every line with the last header of the level above it; very long documents are split."""
+    from murmur.scale import Running, running
+
+    lines = docs.select(doc, F.posexplode(F.split(body, "\n", -1)).alias("line_number", "line"))
+    title = F.when(_header_level(F.col("line")) == level, _header_title(F.col("line")))
+    out = running(lines, [doc], ["line_number"], F.floor(F.col("line_number") / 1000),
+                  [Running("section_name", "last", title)])
+    return out.withColumn("section_name", F.coalesce("section_name", F.lit("Preamble")))
+
+
 def delimiter_sections(docs: DataFrame, keys: list[str], body: str = "text",
                        delimiter: str = "======") -> DataFrame:
     """Sections between delimiter lines, titled by the line above the delimiter.

@@ -111,11 +111,10 @@ def walkthrough_select(messages: DataFrame, catalogue: DataFrame, intent: Column
     # Highest overlap first, smallest draw among equals.
     best = overlaps.groupBy(message_id).agg(F.min_by(
         "project_id", F.struct(-F.col("n"), draw)).alias("__overlap"))
-    size = catalogue.agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1))
+    size = catalogue.agg(F.count(F.lit(1))).scalar()
     drawn = F.conv(F.substring(stable_draw(F.col(message_id), F.lit(seed)), 1, 8), 16, 10)
-    generic = (rest.join(best, message_id, "left_anti").withColumn("__one", F.lit(1))
-               .join(F.broadcast(size), "__one")
-               .withColumn("order", drawn.cast("bigint") % F.col("__n"))
+    generic = (rest.join(best, message_id, "left_anti")
+               .withColumn("order", drawn.cast("bigint") % size)
                .join(catalogue.select("project_id", F.col("order").cast("bigint").alias("order")),
                      "order").select(message_id, F.col("project_id")))
     return (mentioned.select(message_id, F.col("__mention").alias("project_id"),

@@ -72,11 +72,9 @@ def log_from(e: DataFrame) -> DataFrame:
 def with_message(log: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attach whole benchmark texts as messages, spread over all of them."""
     bank = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("message"))
-    size = bank.agg(F.count(F.lit(1)).alias("__n"))
-    keyed = (log.withColumn("__one", F.lit(1))
-             .join(F.broadcast(size.withColumn("__one", F.lit(1))), "__one"))
-    return (keyed.withColumn("item_id", F.col("row_id") * 7 % F.col("__n"))
-            .join(bank, "item_id", "left").drop("__one", "__n", "item_id"))
+    size = bank.agg(F.count(F.lit(1))).scalar()
+    return (log.withColumn("item_id", F.col("row_id") * 7 % size)
+            .join(bank, "item_id", "left").drop("item_id"))
 
 
 def chat_log(spark: SparkSession, sf_dir: str, message: bool = False) -> DataFrame:
