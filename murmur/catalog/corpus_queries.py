@@ -176,11 +176,11 @@ KB = with_recursive(DOCS, MD_SECTIONS,
                     chunk_ctes("ks", "sk", 900, 100, "k_"), merge_ctes(150, "k_"))
 
 
-@query("kb_chunk_pipeline", KB + f"""
+@query("kb_chunks", KB + f"""
 SELECT concat(source_type, ':', source, '-', doc_id, '.md') AS source, ks.section_name AS section, k AS chunk_index,
   {TIER_SQL} AS sensitivity, concat('[', ks.section_name, ']', chr(10), mg.text) AS text, sha256(md.text) AS content_hash
 FROM k_mg AS mg JOIN ks ON ks.sk = mg.key JOIN md USING (doc_id)""")
-def kb_chunk_pipeline(spark, sf):
+def kb_chunks(spark, sf):
     return _kb(spark, sf).select("source", "section", "chunk_index", "sensitivity", "text",
                                  "content_hash")
 

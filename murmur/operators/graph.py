@@ -197,19 +197,21 @@ def _shared_paths(paths: DataFrame) -> DataFrame:
     ordered = F.col("a") < F.col("b")
     one_widest = ordered & (F.col("wa") | F.col("wb"))
     on = ["kind", "entity"]
-    met = (left.where(~F.col("wa")).join(right.where(~F.col("wb")), on).where(ordered)
-           .groupBy("kind", "a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("seen")))
+    seen = lambda df: df.select("kind", "a", "b", (F.col("pa") * F.col("pb")).alias("seen"))
+    met = left.where(~F.col("wa")).join(right.where(~F.col("wb")), on).where(ordered)
     alone = (left.where(F.col("pa") > 1).join(right, on).where(one_widest)
-             .select("kind", "a", "b").unionByName(
-        left.where(F.col("pa") == 1).join(right.where(F.col("pb") > 1), on).where(one_widest)
-        .select("kind", "a", "b")))
-    pairs = met.select("kind", "a", "b").unionByName(alone).distinct()
+             .unionByName(left.where(F.col("pa") == 1).join(right.where(F.col("pb") > 1), on)
+                          .where(one_widest)))
+    # Candidates with what they share outside the widest entities; also read twice below.
+    base = materialize(
+        seen(met).unionByName(seen(alone).withColumn("seen", F.lit(0).cast("bigint")))
+        .groupBy("kind", "a", "b").agg(F.sum("seen").alias("seen")), "project-pairs")
+    pairs = base.drop("seen")
     over_a = (pairs.join(left.where("wa"), ["kind", "a"])
               .join(right, ["kind", "entity", "b"]))
     over_b = (pairs.join(right.where("wb"), ["kind", "b"])
               .join(left.where("not wa"), ["kind", "entity", "a"]))
-    seen = lambda df: df.select("kind", "a", "b", (F.col("pa") * F.col("pb")).alias("seen"))
-    return (met.unionByName(seen(over_a)).unionByName(seen(over_b))
+    return (base.unionByName(seen(over_a)).unionByName(seen(over_b))
             .groupBy("kind", "a", "b").agg(F.sum("seen").alias("shared"))
             .where(F.col("shared") >= MIN_SHARED))
 

@@ -17,9 +17,12 @@ from murmur.functions import loose
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines with the file they came from."""
-    return (spark.read.text(path)
-            .select(F.col("_metadata.file_path").alias("file_path"), "value"))
+    """Raw lines with the file they came from and a row id that is stable over re-runs.
+
+    Text files give no stable position, so a line repeated in one file shares its id.
+    """
+    named = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return named.withColumn("row_id", F.xxhash64("file_path", "value"))
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -142,9 +145,9 @@ def load_query_log(spark: SparkSession, path: str, start_date: str | None = None
     from murmur.operators import filters
 
     parsed = parse_lines(read_lines(spark, path))
-    chats = filters.date_range(chat_rows(parsed, ("file_path",), null_profile),
-                               start_date, end_date)
-    votes = filters.date_range(vote_rows(parsed, ("file_path",)), start_date, end_date)
+    carry = ("row_id", "file_path")
+    chats = filters.date_range(chat_rows(parsed, carry, null_profile), start_date, end_date)
+    votes = filters.date_range(vote_rows(parsed, carry), start_date, end_date)
     chats, votes = filters.exclude_owner(chats, votes, owner_filter)
     return chats, votes, load_meta(parsed)
 

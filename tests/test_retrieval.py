@@ -112,12 +112,12 @@ def test_project_similarity_brute_force(spark):
 
 def test_mention_scores(spark):
     cat = spark.createDataFrame([
-        ("p1", 0, "Graph Explorer", "s", ["graphs"], ["resume map"]),
-        ("p2", 1, "Bee Tracker", "s", ["bees", "maps"], [])],
+        ("p1", 0, "Stone Bridge", "s", ["rivers"], ["water map"]),
+        ("p2", 1, "Corn Ledger", "s", ["crops", "maps"], [])],
         "project_id string, order int, title string, summary string, tags array<string>, mention_keywords array<string>")
     msg = spark.createDataFrame([
-        ("a", "Tell me of the RESUME MAP"), ("b", "graph explorer and graphs"),
-        ("c", "an explorer with bees"), ("d", "nothing")], "message_id string, message string")
+        ("a", "Tell me of the WATER MAP"), ("b", "stone bridge and rivers"),
+        ("c", "a bridge with crops"), ("d", "nothing")], "message_id string, message string")
     got = {(r["message_id"], r["project_id"]): r["score"]
            for r in projects.mention_scores(msg, cat).collect()}
     assert got == {("a", "p1"): 10, ("b", "p1"): 9, ("c", "p1"): 2, ("c", "p2"): 1}
