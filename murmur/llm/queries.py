@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import suffix_dedup
+from murmur.llm import packing, suffix_dedup, token_files
+from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
+BYTE_BPE = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +22,28 @@ def query(fn):
     return fn
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the package lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_files(spark, sf_dir):
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE),
+                                     scratch_dir(spark, "tokens"), end_id=2)
+    return token_files.read_tokens(files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
