@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import packing, suffix_dedup, token_files
+from murmur.llm import packing, simhash, suffix_dedup, token_counts, token_files
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"),
+                        "component_id")
+
+
 @query
 def op2_token_files(spark, sf_dir):
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE),
@@ -37,6 +45,13 @@ def op2_token_files(spark, sf_dir):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op3_token_counts(spark, sf_dir):
+    counted = token_counts.count_prefixes(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
+    return counted.select("doc_id", "n_bytes", "n_tokens",
+                          (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 @query
 def op9_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1)
