@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import packing, simhash, suffix_dedup, token_counts, token_files
+from murmur.llm import mixing, packing, simhash, suffix_dedup, token_counts, token_files
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
@@ -52,6 +52,12 @@ def op3_token_counts(spark, sf_dir):
                           (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query
+def op4_mixing(spark, sf_dir):
+    return mixing.plan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op9_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1)
