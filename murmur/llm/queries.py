@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import mixing, packing, simhash, suffix_dedup, token_counts, token_files
+from murmur.llm import mixing, packing, simhash, sketches, suffix_dedup, token_counts, token_files
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
@@ -58,6 +58,15 @@ def op4_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_fingerprints(spark, sf_dir):
+    return sketches.compare_edited(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 @query
 def op9_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1)
