@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import mixing, packing, simhash, sketches, suffix_dedup, token_counts, token_files
+from murmur.llm import mixing, neighbours, packing, simhash, sketches, suffix_dedup, token_counts, token_files
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
@@ -67,6 +67,12 @@ def op6_fingerprints(spark, sf_dir):
         "near_edited", "near_next")
 
 
+@query
+def op8_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @query
 def op9_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1)
