@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import mixing, neighbours, packing, simhash, sketches, suffix_dedup, token_counts, token_files
+from murmur.llm import mixing, neighbours, packing, quality, simhash, sketches, suffix_dedup, token_counts, token_files
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
@@ -67,6 +67,12 @@ def op6_fingerprints(spark, sf_dir):
         "near_edited", "near_next")
 
 
+@query
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs)).withColumn("keep", F.col("score") >= 0.5)
+
+
 @query
 def op8_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
