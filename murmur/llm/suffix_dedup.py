@@ -19,7 +19,6 @@ and two at most for each prefix that it has seen with several neighbourhoods.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,11 @@ MATCH = 100
 SEED = 50
 CHUNK = 1 << 22
 ENTRY = np.dtype([("key", "<u8"), ("near", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("span", "<u1")])
-BLOB = ("bucket int, kind int, doc_id long, spans binary, keys binary, nears binary, docs binary, "
+BLOB = ("bucket int, kind int, docs binary, spans binary, keys binary, nears binary, "
         "counts binary, places binary, widths binary")
-FOUND = "doc_id long, kind int, spans binary"
+FOUND = "bucket int, kind int, docs binary, spans binary"
+SPANS = "doc_id long, removed binary, open binary"
+_ENTRY_COLUMNS = ["keys", "nears", "counts", "places", "widths"]
 DOC = "doc_id long, n_bytes long, n_removed long, n_spans long, removed binary, kept binary"
 REPEATED, OPEN = 0, 1
 
@@ -209,27 +210,27 @@ class IndexFamily:
         return self.levels[0] if self.levels else np.zeros(0, ENTRY)
 
 
-def _found(e: np.ndarray, kind: int, match: int):
-    """(document ids, kind, span bytes column): spans of the entries, joined where they touch."""
-    e = e[np.lexsort((e["lo"], e["doc"]))]
+def _found(e: np.ndarray, kind: int, match: int, parts: int) -> pa.RecordBatch:
+    """Spans of the entries, joined where they touch: one row for each part of the documents."""
+    part = (e["doc"] % parts).astype(np.int32)
+    order = np.lexsort((e["lo"], e["doc"], part))
+    e, part = e[order], part[order]
     doc, lo, hi = e["doc"], e["lo"], e["lo"] + e["span"] + (match if kind == REPEATED else 1)
     if len(e):
         # documents and places in one growing number: a running maximum then stays in its document
         number = np.cumsum(np.append(0, doc[1:] != doc[:-1])).astype(np.int64) << 40
         reach = np.maximum.accumulate(number + hi)
-        first = np.append(True, number[1:] + lo[1:] > reach[:-1])
-        at = np.flatnonzero(first)
+        at = np.flatnonzero(np.append(True, number[1:] + lo[1:] > reach[:-1]))
         hi = (reach - number)[np.append(at[1:], len(e)) - 1]
-        doc, lo = doc[at], lo[at]
-    b = runs(doc) if len(doc) else np.zeros(1, np.int64)
-    pairs = np.stack([lo, hi], axis=1).astype("<u4").ravel()
-    return doc[b[:-1]] if len(doc) else doc, kind, binary_column(pairs, 2 * b)
-
-
-def _found_batch(found) -> pa.RecordBatch:
-    doc, kind, spans = found
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(np.full(len(doc), kind), pa.int32()),
-                            spans], ["doc_id", "kind", "spans"])
+        doc, lo, part = doc[at], lo[at], part[at]
+    b = runs(part)
+    rows = [(doc[i:j].tobytes(), np.stack([lo[i:j], hi[i:j]], axis=1).astype("<u4").tobytes())
+            for i, j in zip(b[:-1], b[1:])]
+    n = len(rows)
+    return pa.record_batch(
+        [pa.array(part[b[:-1]], pa.int32()), pa.array([kind] * n, pa.int32()),
+         pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+        ["bucket", "kind", "docs", "spans"])
 
 
 def _blobs(e: np.ndarray, buckets: int, near_bytes: int) -> pa.RecordBatch:
@@ -238,7 +239,7 @@ def _blobs(e: np.ndarray, buckets: int, near_bytes: int) -> pa.RecordBatch:
     order = np.lexsort((e["lo"], e["doc"], bucket))
     e, bucket = e[order], bucket[order]
     b = runs(bucket)
-    rows = {k: [] for k in ("keys", "nears", "docs", "counts", "places", "widths")}
+    rows = {k: [] for k in ("docs", *_ENTRY_COLUMNS)}
     for lo, hi in zip(b[:-1], b[1:]):
         x = e[lo:hi]
         d = runs(x["doc"])
@@ -250,20 +251,16 @@ def _blobs(e: np.ndarray, buckets: int, near_bytes: int) -> pa.RecordBatch:
         rows["widths"].append(x["span"].tobytes())
     n = len(b) - 1
     return pa.record_batch(
-        [pa.array(bucket[b[:-1]], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-         pa.nulls(n, pa.binary()), *[pa.array(rows[k], pa.binary()) for k in rows]],
-        ["bucket", "kind", "doc_id", "spans", *rows])
+        [pa.array(bucket[b[:-1]], pa.int32()), pa.nulls(n, pa.int32()),
+         pa.array(rows["docs"], pa.binary()), pa.nulls(n, pa.binary()),
+         *[pa.array(rows[k], pa.binary()) for k in _ENTRY_COLUMNS]],
+        ["bucket", "kind", "docs", "spans", *_ENTRY_COLUMNS])
 
 
-def _pass_on(found, buckets: int) -> pa.RecordBatch:
+def _pass_on(found: pa.RecordBatch) -> pa.RecordBatch:
     """What a scan task has settled itself, in the form of the blobs."""
-    doc, kind, spans = found
-    n = len(doc)
-    empty = [pa.nulls(n, pa.binary())] * 6
-    return pa.record_batch(
-        [pa.array(doc % buckets, pa.int32()), pa.array(np.full(n, kind), pa.int32()),
-         pa.array(doc, pa.int64()), spans, *empty],
-        ["bucket", "kind", "doc_id", "spans", "keys", "nears", "docs", "counts", "places", "widths"])
+    empty = pa.nulls(found.num_rows, pa.binary())
+    return pa.record_batch([*found.columns, *[empty] * 5], [*found.schema.names, *_ENTRY_COLUMNS])
 
 
 def _entries_of(row: dict, near_bytes: int) -> np.ndarray:
@@ -283,7 +280,7 @@ def _low_bytes(near: np.ndarray, n: int) -> np.ndarray:
     return near & np.uint64((1 << 8 * n) - 1)
 
 
-def _scan(match: int, seed: int, buckets: int):
+def _scan(match: int, seed: int, buckets: int, parts: int):
     """Anchors of the documents, combined inside the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -298,23 +295,23 @@ def _scan(match: int, seed: int, buckets: int):
             if not got:
                 continue
             e, stays = settle(np.concatenate(got))
-            yield _pass_on(_found(_losers(e, stays), REPEATED, match), buckets)
+            yield _pass_on(_found(_losers(e, stays), REPEATED, match, parts))
             e = e[stays]
             spare = _crowded(e) >= 2  # two neighbourhoods tell the others that there are several
-            yield _pass_on(_found(e[spare], OPEN, match), buckets)
+            yield _pass_on(_found(e[spare], OPEN, match, parts))
             yield _blobs(e[~spare], buckets, 6)
     return run
 
 
-def _scan_open(match: int, buckets: int):
+def _scan_open(match: int, buckets: int, parts: int):
     """Every string start that the first pass left open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", TASK_BYTES // 2):
             data, bounds = utf8(batch.column("text"))
             ids = batch.column("doc_id")
             got = []
-            for i, found in enumerate(batch.column("found").to_pylist()):
-                spans = _spans(found, OPEN)
+            for i, spans in enumerate(batch.column("open").to_pylist()):
+                spans = _pairs(spans)
                 if not len(spans):
                     continue
                 text = data[bounds[i]:bounds[i + 1]]
@@ -334,19 +331,19 @@ def _scan_open(match: int, buckets: int):
             if not got:
                 continue
             e, stays = settle(np.concatenate(got))
-            yield _pass_on(_found(_losers(e, stays), REPEATED, match), buckets)
+            yield _pass_on(_found(_losers(e, stays), REPEATED, match, parts))
             yield _blobs(e[stays], buckets, 4)
     return run
 
 
-def _index(match: int, near_bytes: int, opens: bool):
+def _index(match: int, near_bytes: int, opens: bool, parts: int):
     """One slice of the family: takes the batches in and reports repeats and open strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, pending, lost, n_pending, n_lost = IndexFamily(), [], [], 0, 0
         for batch in batches:
             done = batch.filter(batch.column("kind").is_valid())
             if done.num_rows:
-                yield done.select(["doc_id", "kind", "spans"])
+                yield done.select(["bucket", "kind", "docs", "spans"])
             for row in batch.filter(batch.column("kind").is_null()).to_pylist():
                 pending.append(_entries_of(row, near_bytes))
                 n_pending += len(pending[-1])
@@ -355,21 +352,37 @@ def _index(match: int, near_bytes: int, opens: bool):
                     n_lost += sum(map(len, new))
                     pending, n_pending = [], 0
                 if n_lost >= 1 << 19:
-                    yield _found_batch(_found(np.concatenate(lost), REPEATED, match))
+                    yield _found(np.concatenate(lost), REPEATED, match, parts)
                     lost, n_lost = [], 0
         if pending:
             lost += family.add(np.concatenate(pending))
         if lost:
-            yield _found_batch(_found(np.concatenate(lost), REPEATED, match))
+            yield _found(np.concatenate(lost), REPEATED, match, parts)
         if opens:
             e = family.rest()
-            yield _found_batch(_found(e[_crowded(e) >= 0], OPEN, match))
+            yield _found(e[_crowded(e) >= 0], OPEN, match, parts)
     return run
 
 
-def _spans(found: list[dict] | None, kind: int) -> np.ndarray:
-    got = [np.frombuffer(f["spans"], "<u4") for f in found or () if f["kind"] == kind]
-    return (np.concatenate(got) if got else np.zeros(0, "<u4")).reshape(-1, 2).astype(np.int64)
+def _pairs(spans: bytes | None) -> np.ndarray:
+    return np.frombuffer(spans or b"", "<u4").reshape(-1, 2).astype(np.int64)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All spans of each document in one row."""
+    rows = [(r["kind"], np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["spans"], "<u4"))
+            for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    docs = np.concatenate([r[1] for r in rows])
+    kinds = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+    spans = np.concatenate([r[2] for r in rows]).reshape(-1, 2)
+    order = np.lexsort((spans[:, 0], docs))
+    docs, kinds, spans = docs[order], kinds[order], spans[order]
+    names = np.unique(docs)
+    columns = [binary_column(spans[kinds == kind].ravel(), 2 * np.append(
+        0, np.searchsorted(docs[kinds == kind], names, side="right"))) for kind in (REPEATED, OPEN)]
+    yield pa.record_batch([pa.array(names), *columns], ["doc_id", "removed", "open"])
 
 
 def _join_spans(spans: np.ndarray) -> np.ndarray:
@@ -385,10 +398,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         data, bounds = utf8(batch.column("text"))
         rows = []
-        for i, (first, more) in enumerate(zip(batch.column("found").to_pylist(),
+        for i, (first, more) in enumerate(zip(batch.column("removed").to_pylist(),
                                               batch.column("more").to_pylist())):
             text = data[bounds[i]:bounds[i + 1]]
-            spans = _join_spans(np.concatenate([_spans(first, REPEATED), _spans(more, REPEATED)]))
+            spans = _join_spans(_pairs((first or b"") + (more or b"")))
             kept = text.tobytes() if not len(spans) else b"".join(
                 text[a:b].tobytes() for a, b in
                 zip(np.append(0, spans[:, 1]), np.append(spans[:, 0], len(text))))
@@ -400,11 +413,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
 
-def _per_document(found: DataFrame, name: str) -> DataFrame:
-    return (found.where(F.length("spans") > 0).groupBy(F.col("doc_id").alias("__d"))
-            .agg(F.collect_list(F.struct("kind", "spans")).alias(name)))
-
-
 def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None) -> DataFrame:
     """Remove each byte covered by a ``match``-byte string that also starts earlier.
 
@@ -424,14 +432,17 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None)
     n = shuffle_partitions(spark)
     buckets = 4 * n
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = materialize(
+    settled = materialize(
         rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= match))
-        .mapInArrow(_scan(match, seed, buckets), BLOB)
-        .repartition(n, "bucket").mapInArrow(_index(match, 6, True), FOUND), "repeats")
-    found = _per_document(first, "found")
+        .mapInArrow(_scan(match, seed, buckets, n), BLOB)
+        .repartition(n, "bucket").mapInArrow(_index(match, 6, True, n), FOUND)
+        .repartition(n, "bucket").mapInArrow(_gather, SPANS), "repeats")
     # one exchange of the texts serves the second pass and the cutting
-    placed = rows.join(found, F.col("doc_id") == F.col("__d"), "left").drop("__d")
-    second = (placed.mapInArrow(_scan_open(match, buckets), BLOB)
-              .repartition(n, "bucket").mapInArrow(_index(match, 4, False), FOUND))
-    return (placed.join(_per_document(second, "more"), F.col("doc_id") == F.col("__d"), "left")
-            .select("doc_id", "text", "found", "more").mapInArrow(_cut, DOC))
+    placed = rows.join(settled.withColumnRenamed("doc_id", "__d"),
+                       F.col("doc_id") == F.col("__d"), "left").drop("__d")
+    more = (placed.mapInArrow(_scan_open(match, buckets, n), BLOB)
+            .repartition(n, "bucket").mapInArrow(_index(match, 4, False, n), FOUND)
+            .repartition(n, "bucket").mapInArrow(_gather, SPANS)
+            .select(F.col("doc_id").alias("__d"), F.col("removed").alias("more")))
+    return (placed.join(more, F.col("doc_id") == F.col("__d"), "left")
+            .select("doc_id", "text", "removed", "more").mapInArrow(_cut, DOC))
