@@ -27,7 +27,7 @@ from murmur.session import materialize
 
 SHINGLE = 3
 RADIUS = 3
-TILE = 2048
+TILE = 1024
 BASE = 32
 PRINTS = "doc_id long, fingerprint binary, n_shingles long"
 _PAIRS = "a binary, b binary"
@@ -103,13 +103,13 @@ def _tiles(prints: DataFrame, tile: int) -> DataFrame:
     size = rows.groupBy(F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("fingerprint"), F.ceil(2 * F.col("n") / tile)).cast("int")
     return (rows.join(size, F.col("kind") == F.col("k")).withColumn("part", part)
-            .groupBy("kind", "part").agg(F.collect_list("fingerprint").alias("prints")))
+            .groupBy("kind", "part").agg(F.listagg("fingerprint").alias("prints")))
 
 
-def _array(prints: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of the fingerprints, and their population counts."""
-    x = np.frombuffer(b"".join(p[:8 * words] for p in prints), ">u8").astype(np.uint64)
-    x = x.reshape(-1, words)
+def _array(prints: bytes, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the joined fingerprints of ``width`` bytes, and their population counts."""
+    rows = np.frombuffer(prints, np.uint8).reshape(-1, width)[:, :8 * words]
+    x = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
     return x, np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
@@ -137,15 +137,16 @@ def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _compare(radius: int, words: int, slice_rows: int = 256):
+def _compare(radius: int, words: int, width: int, slice_rows: int = 256):
     """Links of tile pairs, as a forest over the members of each pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist()):
-                members = own if other is None else own + other
-                a, n_a = _array(own, words)
-                b, n_b = (a, n_a) if other is None else _array(other, words)
+            for own, other in zip(batch.column("own"), batch.column("other")):
+                own, other = own.as_py(), other.as_py()
+                members = own + (other or b"")
+                a, n_a = _array(own, width, words)
+                b, n_b = (a, n_a) if other is None else _array(other, width, words)
                 order_a, order_b = np.argsort(n_a, kind="stable"), np.argsort(n_b, kind="stable")
                 sorted_b, n_b = b[order_b], n_b[order_b]
                 for at in range(0, len(a), slice_rows):
@@ -162,19 +163,19 @@ def _compare(radius: int, words: int, slice_rows: int = 256):
                     used, number = np.unique(np.concatenate([x, y]), return_inverse=True)
                     root = forest(number[:len(x)], number[len(x):], len(used))
                     node = np.flatnonzero(root != np.arange(len(used)))
-                    left += [members[i] for i in used[node]]
-                    right += [members[i] for i in used[root[node]]]
+                    left += [members[i * width:(i + 1) * width] for i in used[node]]
+                    right += [members[i * width:(i + 1) * width] for i in used[root[node]]]
             yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())],
                                   ["a", "b"])
     return run
 
 
 def links(prints: DataFrame, radius: int, steps: list[int], words: int = 1,
-          tile: int = TILE) -> DataFrame:
+          width: int | None = None, tile: int = TILE) -> DataFrame:
     """``a, b``: links that join all fingerprints within ``radius`` bits of one another.
 
-    ``prints`` has ``fingerprint`` (bytes after the words tell equal words apart) and ``kind``;
-    only kinds that differ by one of ``steps`` (not below 0) are compared.
+    ``prints`` has ``fingerprint``, of ``width`` bytes (those after the words tell equal words
+    apart), and ``kind``; only kinds that differ by one of ``steps`` (not below 0) are compared.
     """
     tiles = materialize(_tiles(prints, tile), "tiles")
     names = tiles.select("kind", "part")
@@ -188,15 +189,16 @@ def links(prints: DataFrame, radius: int, steps: list[int], words: int = 1,
     return (pairs.join(tiles.toDF("kind_a", "part_a", "own"), ["kind_a", "part_a"])
             .join(tiles.toDF("kind_b", "part_b", "other"), ["kind_b", "part_b"])
             .select("own", F.when(~same, F.col("other")).alias("other"))
-            .mapInArrow(_compare(radius, words), _PAIRS).distinct())
+            .mapInArrow(_compare(radius, words, width or 8 * words), _PAIRS).distinct())
 
 
-def groups(prints: DataFrame, radius: int, steps: list[int], words: int = 1) -> DataFrame:
+def groups(prints: DataFrame, radius: int, steps: list[int], words: int = 1,
+           width: int | None = None) -> DataFrame:
     """``prints`` with ``component_id``: the smallest ``doc_id`` reachable over links."""
     first = materialize(prints.groupBy("fingerprint", "kind").agg(F.min("doc_id").alias("first")),
                         "prints")
     named = first.where(F.col("first").isNotNull()).select("fingerprint", "first")
-    found = (links(first, radius, steps, words)
+    found = (links(first, radius, steps, words, width)
              .join(named.toDF("a", "first_a"), "a").join(named.toDF("b", "first_b"), "b"))
     whole = components(found, "first_a", "first_b")
     member = (first.join(whole, F.col("first") == F.col("node"), "left")
@@ -218,19 +220,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return groups(prints, radius, quarter_steps(radius))
 
 
+def similarity_radius(similarity: float, bits: int) -> int:
+    """Differing bits up to which two shingle sets count as that similar.
+
+    Sets of equal size with Jaccard J lie at an angle of arccos(2 J / (1 + J)); that share of pi
+    is the expected share of differing bits. One standard deviation more is allowed.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
-                   words: int = 2) -> DataFrame:
-    """Groups of documents whose shingle sets have an estimated Jaccard of ``similarity``.
+                   words: int = 4) -> DataFrame:
+    """Groups of documents whose sets of shingles have an estimated Jaccard of ``similarity``.
 
-    Sets of equal size with Jaccard J lie at an angle of arccos(2 J / (1 + J)); that share of
-    pi is the expected share of differing bits, which gives the radius. Sets whose sizes differ
-    by more than the factor cannot be that similar, so the kind is the size on a logarithmic
-    scale and only neighbouring kinds are compared.
+    Fingerprints are made of the different shingles, in ``words`` words, and linked up to
+    ``similarity_radius``. Sets whose sizes differ by more than the factor cannot be that
+    similar, so the kind is the size on a logarithmic scale and only neighbouring kinds are
+    compared. Columns and special cases as in ``near_duplicates``.
     """
-    radius = round(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     prints = materialize(fingerprints(docs, shingle, tuple(range(42, 42 + words)), False),
                          "fingerprints")
     kind = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / -math.log(similarity)).cast("int")
     tagged = prints.withColumn("kind", kind).withColumn(
         "fingerprint", F.concat("fingerprint", F.unhex(F.lpad(F.hex("kind"), 4, "0"))))
-    return groups(tagged, radius, [0, 1], words)
+    return groups(tagged, similarity_radius(similarity, 64 * words), [0, 1], words, 8 * words + 2)
