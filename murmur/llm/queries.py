@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import mixing, neighbours, packing, quality, simhash, sketches, suffix_dedup, token_counts, token_files
+from murmur.llm import (
+    licences,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    simhash,
+    sketches,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
@@ -58,6 +69,12 @@ def op4_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_licences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(spark, docs))
+
+
 @query
 def op6_fingerprints(spark, sf_dir):
     return sketches.compare_edited(table(spark, sf_dir, "documents")).select(
