@@ -394,32 +394,48 @@ def _join_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        data, bounds = utf8(batch.column("text"))
-        rows = []
-        for i, (first, more) in enumerate(zip(batch.column("removed").to_pylist(),
-                                              batch.column("more").to_pylist())):
-            text = data[bounds[i]:bounds[i + 1]]
-            spans = _join_spans(_pairs((first or b"") + (more or b"")))
-            kept = text.tobytes() if not len(spans) else b"".join(
-                text[a:b].tobytes() for a, b in
-                zip(np.append(0, spans[:, 1]), np.append(spans[:, 0], len(text))))
-            rows.append((len(text), len(text) - len(kept), len(spans),
-                         spans.astype("<u4").tobytes(), kept))
-        yield pa.record_batch(
-            [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(
-                zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
-
-
-def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None) -> DataFrame:
+def _whole_characters(text: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Spans without the characters that they hold only in part."""
+    inside = np.append((text & 0xC0) == 0x80, False)  # not the first byte of a character
+    spans = spans.copy()
+    for _ in range(3):
+        spans[:, 0] += inside[spans[:, 0]]
+        spans[:, 1] -= inside[spans[:, 1]]
+    return spans[spans[:, 0] < spans[:, 1]]
+
+
+def _cut(characters: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            data, bounds = utf8(batch.column("text"))
+            rows = []
+            for i, (first, more) in enumerate(zip(batch.column("removed").to_pylist(),
+                                                  batch.column("more").to_pylist())):
+                text = data[bounds[i]:bounds[i + 1]]
+                spans = _join_spans(_pairs((first or b"") + (more or b"")))
+                if characters and len(spans):
+                    spans = _whole_characters(text, spans)
+                kept = text.tobytes() if not len(spans) else b"".join(
+                    text[a:b].tobytes() for a, b in
+                    zip(np.append(0, spans[:, 1]), np.append(spans[:, 0], len(text))))
+                rows.append((len(text), len(text) - len(kept), len(spans),
+                             spans.astype("<u4").tobytes(), kept))
+            yield pa.record_batch(
+                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(
+                    zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
+    return run
+
+
+def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None,
+                   characters: bool = False) -> DataFrame:
     """Remove each byte covered by a ``match``-byte string that also starts earlier.
 
     Earlier is a smaller ``doc_id``, or an earlier start in the same document. Texts are taken
     as UTF-8 bytes, strings never cross documents and are judged on the input. Returns
     ``doc_id, n_bytes, n_removed, n_spans, removed`` (start and end of each removed run, unsigned
-    32-bit pairs) and ``kept`` (the bytes that stay).
+    32-bit pairs) and ``kept`` (the bytes that stay). With ``characters``, a character of which
+    only some bytes are covered stays, so that ``kept`` is a text.
 
     A null text counts as empty. Rows whose ``doc_id`` is null come back whole and are compared
     with nothing; rows that share a ``doc_id`` count as copies of one row and get one result
@@ -445,4 +461,4 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None)
             .repartition(n, "bucket").mapInArrow(_gather, SPANS)
             .select(F.col("doc_id").alias("__d"), F.col("removed").alias("more")))
     return (placed.join(more, F.col("doc_id") == F.col("__d"), "left")
-            .select("doc_id", "text", "removed", "more").mapInArrow(_cut, DOC))
+            .select("doc_id", "text", "removed", "more").mapInArrow(_cut(characters), DOC))
