@@ -482,10 +482,11 @@ def find_mentioned_project(spark, sf):
 STOP = "('" + "','".join(projects.GENERIC_WORDS) + "')"
 
 
-@query("walkthrough_select", with_(
-    f"um AS (SELECT concat(conv_id, '-', turn) AS message_id, {ASKED} AS message "
-    "FROM (SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'))",
-    CATALOGUE, f"asked AS (SELECT * FROM um WHERE {INTENT_SQL})", score_sql("asked"), f"""
+def walkthrough_sql(catalogue):
+    return with_(
+        f"um AS (SELECT concat(conv_id, '-', turn) AS message_id, {ASKED} AS message "
+        "FROM (SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'))",
+        catalogue, f"asked AS (SELECT * FROM um WHERE {INTENT_SQL})", score_sql("asked"), f"""
 m AS (SELECT message_id, arg_max(project_id, (score, -"order")) AS project_id FROM scores WHERE score >= 5 GROUP BY 1),
 rest AS (SELECT message_id, list_filter({words('message')}, lambda x: length(x) > 2 AND x NOT IN {STOP}) AS mw
   FROM asked WHERE message_id NOT IN (SELECT message_id FROM m)),
@@ -496,13 +497,28 @@ best AS (SELECT message_id, arg_min(project_id, (-n, md5(concat_ws('|', message_
 SELECT message_id, project_id, 'mention' AS how FROM m UNION ALL SELECT message_id, project_id, 'overlap' FROM best
 UNION ALL SELECT message_id, project_id, 'draw' FROM (SELECT message_id,
   CAST(concat('0x', md5(concat_ws('|', message_id, '0'))[1:8]) AS BIGINT) % (SELECT count(*) FROM cat) AS o
-  FROM rest WHERE message_id NOT IN (SELECT message_id FROM best)) r JOIN cat ON cat."order" = r.o""")
-def walkthrough_select(spark, sf):
+  FROM rest WHERE message_id NOT IN (SELECT message_id FROM best)) r JOIN (SELECT project_id, row_number() OVER (ORDER BY "order", project_id) - 1 AS nth FROM cat) ON nth = r.o"""
+
+
+def _walkthrough(spark, sf, catalogue):
     return projects.walkthrough_select(
-        _asking(spark, sf), tables.catalogue(spark, sf),
+        _asking(spark, sf), catalogue,
         enrich.walkthrough_intent(F.col("message"), ["nicht", "thble"]))
 
 
+@query("walkthrough_select", walkthrough_sql(CATALOGUE))
+def walkthrough_select(spark, sf):
+    return _walkthrough(spark, sf, tables.catalogue(spark, sf))
+
+
+@query("walkthrough_select_gaps", walkthrough_sql(
+    CATALOGUE.replace('item_id AS "order"', '7 * item_id + 3 AS "order"')))
+def walkthrough_select_gaps(spark, sf):
+    """The same with gaps in the order of the catalogue."""
+    catalogue = tables.catalogue(spark, sf)
+    return _walkthrough(spark, sf, catalogue.withColumn("order", F.col("order") * 7 + 3))
+
+
 PROMINENT_SQL = """
 prom AS (SELECT doc_id, arg_min(project_id, "order") AS project_id FROM documents CROSS JOIN cat
   WHERE contains(lower(substr(text, 1, 300)), lower(title))

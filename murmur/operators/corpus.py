@@ -153,9 +153,15 @@ def _newlines(s: Column) -> Column:
     return F.size(F.split(s, "\n", -1)) - 1
 
 
-def _before(counts: Column, i: Column) -> Column:
-    """Sum of the first i counts."""
-    return F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda acc, n: acc + n)
+def _header_lines(body: Column, low: int, high: int) -> Column:
+    """Numbers of the lines that ``_header_split`` splits before, with 0 for the first part.
+
+    They are found in one pass, so no part has to add up the lines of those before it.
+    """
+    mark = rf"^#{{{low},{high}}}[^\S\n]+[^\n]"
+    at = F.transform(F.split(body, "\n", -1),
+                     lambda line, i: F.when((i > 0) & line.rlike(mark), i))
+    return F.concat(F.array(F.lit(0)), F.filter(at, lambda i: i.isNotNull()))
 
 
 def _header_split(body: Column, low: int, high: int) -> Column:
@@ -181,33 +187,41 @@ def markdown_sections(docs: DataFrame, keys: list[str], body: str = "text", leve
     """
     outer = (docs.select(*keys, F.col(body).alias("__body"))
              .withColumn("__outer", _header_split(F.col("__body"), level, level))
-             .withColumn("__nl", F.transform("__outer", _newlines))
-             .select(*keys, "__nl", F.size("__outer").alias("__n_outer"),
-                     (strip(F.get("__outer", F.lit(0))) == "").alias("__no_preamble"),
-                     F.posexplode("__outer").alias("__i", "__seg")))
-    is_target = _header_level(F.col("__seg")) == level
-    base = F.when(is_target, _header_title(F.col("__seg"))).otherwise("Preamble")
-    inner = (F.array("__seg") if include_nested
-             else _header_split(F.col("__seg"), level + 1, 6))
+             .withColumn("__first", F.get("__outer", F.lit(0)))
+             .select(*keys, F.size("__outer").alias("__n_outer"),
+                     (strip(F.col("__first")) == "").alias("__no_preamble"),
+                     F.posexplode(F.arrays_zip(
+                         F.col("__outer").alias("seg"),
+                         _header_lines(F.col("__body"), level, level).alias("at")))
+                     .alias("__i", "__o")))
+    seg = F.col("__o.seg")
+    is_target = _header_level(seg) == level
+    base = F.when(is_target, _header_title(seg)).otherwise("Preamble")
+    nested = F.array(seg) if include_nested else _header_split(seg, level + 1, 6)
+    lines = F.array(F.lit(0)) if include_nested else _header_lines(seg, level + 1, 6)
+    titles = F.transform("__inner", lambda s, j: F.when(j == 0, F.col("__base")).otherwise(
+        _header_title(s)))
+    # Names add up along nested headers; a part carries its own name and line only.
+    names = F.transform("__titles", lambda t, j: F.array_join(
+        F.slice("__titles", F.lit(1), j + 1), " > "))
     parts = (outer.select(
         *keys, "__i", "__no_preamble", is_target.alias("__target"), base.alias("__base"),
-        inner.alias("__inner"), _before(F.col("__nl"), F.col("__i")).alias("__at"),
+        nested.alias("__inner"), lines.alias("__lines"), F.col("__o.at").alias("__at"),
         (F.col("__i") == F.col("__n_outer") - 1).alias("__last_outer"))
-        .withColumn("__nl", F.transform("__inner", _newlines))
-        .withColumn("__titles", F.transform("__inner", lambda s, j: F.when(
-            j == 0, F.col("__base")).otherwise(_header_title(s))))
-        .select(*keys, "__i", "__no_preamble", "__target", "__at", "__last_outer", "__nl",
-                "__titles", F.posexplode("__inner").alias("__j", "__s")))
-    start = F.col("__at") + _before(F.col("__nl"), F.col("__j"))
-    is_last = F.col("__last_outer") & (F.col("__j") == F.size("__nl") - 1)
+        .withColumn("__titles", titles)
+        .select(*keys, "__i", "__no_preamble", "__target", "__at", "__last_outer",
+                F.size("__inner").alias("__n_inner"),
+                F.posexplode(F.arrays_zip(F.col("__inner").alias("s"), F.col("__lines").alias("at"),
+                                          names.alias("name"))).alias("__j", "__p")))
+    start = F.col("__at") + F.col("__p.at")
+    is_last = F.col("__last_outer") & (F.col("__j") == F.col("__n_inner") - 1)
     named = parts.select(
         *keys, "__i", "__j", "__no_preamble",
-        F.array_join(F.slice("__titles", F.lit(1), F.col("__j") + 1), " > ").alias("section_name"),
-        strip(F.col("__s")).alias("text"),
+        F.col("__p.name").alias("section_name"), strip(F.col("__p.s")).alias("text"),
         F.when((F.col("__j") == 0) & ~F.col("__target"), 0).otherwise(
-            _header_level(F.col("__s"))).alias("header_level"),
+            _header_level(F.col("__p.s"))).alias("header_level"),
         start.alias("start_line"),
-        (start + _newlines(F.col("__s")) - F.when(is_last, 0).otherwise(1)).alias("end_line"),
+        (start + _newlines(F.col("__p.s")) - F.when(is_last, 0).otherwise(1)).alias("end_line"),
         is_last.alias("__is_last"))
     empty_doc = (F.col("__i") == 0) & F.col("__is_last")
     # Only the text before the first header can be blank, so with nested headers kept

@@ -7,7 +7,7 @@ at least one signal exist; nothing is paired with everything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import text
@@ -113,10 +113,12 @@ def walkthrough_select(messages: DataFrame, catalogue: DataFrame, intent: Column
         "project_id", F.struct(-F.col("n"), draw)).alias("__overlap"))
     size = catalogue.agg(F.count(F.lit(1))).scalar()
     drawn = F.conv(F.substring(stable_draw(F.col(message_id), F.lit(seed)), 1, 8), 16, 10)
+    # The catalogue's own order may have gaps, so the draw goes by rank.
+    nth = F.row_number().over(Window.orderBy("order", "project_id")) - 1
+    numbered = catalogue.select("project_id", nth.cast("bigint").alias("__nth"))
     generic = (rest.join(best, message_id, "left_anti")
-               .withColumn("order", drawn.cast("bigint") % size)
-               .join(catalogue.select("project_id", F.col("order").cast("bigint").alias("order")),
-                     "order").select(message_id, F.col("project_id")))
+               .withColumn("__nth", drawn.cast("bigint") % size)
+               .join(numbered, "__nth").select(message_id, F.col("project_id")))
     return (mentioned.select(message_id, F.col("__mention").alias("project_id"),
                              F.lit("mention").alias("how"))
             .unionByName(best.select(message_id, F.col("__overlap").alias("project_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder the cluster names.
 
-    Only where the setting is absent (tests, laptops) a local folder is used.
+    Where the setting is absent, a session inside one process makes its own; on a cluster
+    that is an error, since machines do not see each other's folders.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         root = spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="murmur-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -17,12 +17,14 @@ from murmur.functions import loose
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines with the file they came from and a row id that is stable over re-runs.
+    """Raw lines with the file they came from and a row id of their own.
 
-    Text files give no stable position, so a line repeated in one file shares its id.
+    Equal lines of one file have different ids. An id is the line's place in the plan of file
+    splits, so it is the same again as long as files and split settings are.
     """
-    named = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    return named.withColumn("row_id", F.xxhash64("file_path", "value"))
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), "value",
+        F.monotonically_increasing_id().alias("row_id"))
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:

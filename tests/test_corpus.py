@@ -2,6 +2,7 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from murmur.operators import corpus
 
@@ -104,3 +105,12 @@ def test_labelled_sections(spark):
     assert row[0]["title"] == "Tool more" and row[0]["date"] == "May 2023"
     assert row[0]["sections"] == {"What it is": "A tool", "How it works": "two"}
     assert row[1]["title"] is None and row[1]["sections"] == {}
+
+
+def test_sections_of_a_document_with_very_many_headers(spark):
+    n = 20_000
+    text = "".join(f"## h{i}\nbody {i}\n" for i in range(n))
+    got = corpus.markdown_sections(docs(spark, text), ["doc_id"], include_nested=True)
+    assert got.count() == n
+    last = got.where(F.col("section_order") == n - 1).first()
+    assert (last.section_name, last.start_line, last.end_line) == (f"h{n - 1}", 2 * n - 2, 2 * n)

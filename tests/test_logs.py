@@ -121,3 +121,11 @@ def test_kpis_of_nothing(spark):
     row = kpis.overall_kpis(empty).collect()[0]
     assert row["total_chat_turns"] == 0 and row["p95_latency_ms"] == 0.0
     assert row["bounce_rate_pct"] == 0.0
+
+
+def test_equal_lines_without_session_stay_apart(spark, tmp_path):
+    line = '{"ts": "2024-01-01T10:00:00", "session_id": "", "message": "ping"}\n'
+    (tmp_path / "log.jsonl").write_text(line * 6)
+    chats, _, _ = logs.load_query_log(spark, str(tmp_path), owner_filter="none")
+    assert chats.count() == 6
+    assert sessions.session_summary(chats).count() == 6
