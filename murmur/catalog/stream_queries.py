@@ -67,33 +67,37 @@ SELECT {SESSION_KEY} AS session_id, min(ts) AS session_start, max(ts) AS session
   CAST(sum(CAST(cost_usd AS DECIMAL(20,6))) AS DOUBLE) AS total_cost_usd, {big('count_if(had_error)')} AS error_turns,
   arg_max(workflow, (ts, row_id)) AS last_workflow FROM chats GROUP BY 1""")
 def stream_session_summary(spark, sf):
-    return latest(jobs.run(jobs.session_summary(_turns(spark, sf), WIDE), "sessions", "update"),
-                  ["session_id"])
+    parts = jobs.run(jobs.session_parts(_turns(spark, sf), WIDE), "sessions", "update")
+    return jobs.merge_sessions(latest(parts, ["session_id", "w"]))
 
 
 @query("stream_gap_sessions", """
 WITH o AS (SELECT user_id AS user, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(first) OVER (PARTITION BY user ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
-SELECT user, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS turns FROM g GROUP BY user, s""")
+SELECT user, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS turns FROM g GROUP BY user, s
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def stream_gap_sessions(spark, sf):
+    """Sessions that the watermark has closed."""
     turns = tables.stream_table(spark, sf, "events").select(
         F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.run(jobs.gap_sessions(turns, late=WIDE), "gap-sessions", "complete").drop("batch_id")
+    return jobs.run(jobs.gap_sessions(turns), "gap-sessions").drop("batch_id")
 
 
 @query("stream_usage_totals", with_(LOG) + f"""
 SELECT {SESSION_KEY} AS session_id, {big('sum(coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0))')} AS total_tokens,
   CAST(sum(CAST(cost_usd AS DECIMAL(20,6))) AS DOUBLE) AS total_cost_usd, {big('count(*)')} AS total_calls FROM chats GROUP BY 1""")
 def stream_usage_totals(spark, sf):
-    return latest(jobs.run(jobs.usage_totals(_turns(spark, sf)), "usage", "update"), ["session_id"])
+    parts = jobs.run(jobs.usage_parts(_turns(spark, sf), WIDE), "usage", "update")
+    return jobs.merge_usage(latest(parts, ["session_id", "w"]))
 
 
 @query("stream_daily_kpis", with_(LOG) + f"""
 SELECT {local_day('ts')} AS day, {big('count(*)')} AS turns, {big('count_if(had_error)')} AS errors,
   {big('count_if(chunk_similarity_avg < 0.55)')} AS gaps FROM chats GROUP BY 1""")
 def stream_daily_kpis(spark, sf):
-    return latest(jobs.run(jobs.daily_kpis(_turns(spark, sf), late=WIDE), "daily", "update"), ["day"])
+    parts = jobs.run(jobs.kpi_parts(_turns(spark, sf), WIDE), "daily", "update")
+    return jobs.merge_daily(latest(parts, ["w"]))
 
 
 @query("stream_gap_alert", with_(LOG) + f"""

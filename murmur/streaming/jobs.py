@@ -47,19 +47,27 @@ def enriched(rows: DataFrame) -> DataFrame:
     return enrich.enrich_turns(rows)
 
 
-def session_summary(turns: DataFrame, late: str = LATE) -> DataFrame:
-    """Running summary per session id (update mode); state goes once a session is past ``late``.
+# Totals of keys that live for ever are kept by key and event-time window: a window's state goes
+# once the watermark has passed it, and what was written of it stays. ``merge_*`` adds the
+# windows of a key up. ``latest`` of ["session_id", "w"] or ["w"] comes first (update mode).
 
-    Sums are decimal, so they do not depend on arrival order.
-    """
-    order = F.struct("ts", "row_id")
+def session_parts(turns: DataFrame, late: str = LATE, window: str = "1 day") -> DataFrame:
+    """Summary of each session in each window (update mode); sums are decimal."""
     return (turns.withWatermark("ts", late)
-            .groupBy(sessions.session_key().alias("session_id"))
+            .groupBy(sessions.session_key().alias("session_id"), F.window("ts", window).alias("w"))
             .agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
                  F.count(F.lit(1)).alias("turns"),
-                 F.sum(F.col("cost_usd").cast("decimal(20,6)")).cast("double").alias("total_cost_usd"),
+                 F.sum(F.col("cost_usd").cast("decimal(20,6)")).alias("cost"),
                  F.count_if("had_error").alias("error_turns"),
-                 F.max_by("workflow", order).alias("last_workflow")))
+                 F.max(F.struct("ts", "row_id", "workflow")).alias("last")))
+
+
+def merge_sessions(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("session_id").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+        F.sum("turns").alias("turns"), F.sum("cost").cast("double").alias("total_cost_usd"),
+        F.sum("error_turns").alias("error_turns"),
+        F.max("last").getField("workflow").alias("last_workflow"))
 
 
 def gap_sessions(turns: DataFrame, gap: str = "30 minutes", late: str = LATE,
@@ -72,23 +80,35 @@ def gap_sessions(turns: DataFrame, gap: str = "30 minutes", late: str = LATE,
                     F.col("w.end").alias("session_end"), "turns"))
 
 
-def usage_totals(calls: DataFrame) -> DataFrame:
-    """Running tokens and cost per session (update mode)."""
-    return calls.groupBy(sessions.session_key().alias("session_id")).agg(
-        F.sum(F.coalesce("prompt_tokens", F.lit(0))
-              + F.coalesce("completion_tokens", F.lit(0))).alias("total_tokens"),
-        F.sum(F.col("cost_usd").cast("decimal(20,6)")).cast("double").alias("total_cost_usd"),
-        F.count(F.lit(1)).alias("total_calls"))
+def usage_parts(calls: DataFrame, late: str = LATE, window: str = "1 day") -> DataFrame:
+    """Tokens and cost of each session in each window (update mode)."""
+    return (calls.withWatermark("ts", late)
+            .groupBy(sessions.session_key().alias("session_id"), F.window("ts", window).alias("w"))
+            .agg(F.sum(F.coalesce("prompt_tokens", F.lit(0))
+                       + F.coalesce("completion_tokens", F.lit(0))).alias("tokens"),
+                 F.sum(F.col("cost_usd").cast("decimal(20,6)")).alias("cost"),
+                 F.count(F.lit(1)).alias("calls")))
+
 
+def merge_usage(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("session_id").agg(
+        F.sum("tokens").alias("total_tokens"),
+        F.sum("cost").cast("double").alias("total_cost_usd"), F.sum("calls").alias("total_calls"))
 
-def daily_kpis(turns: DataFrame, zone: str = "America/Chicago", late: str = LATE) -> DataFrame:
-    """Daily counts by local day (update mode): the watermark follows true event time."""
-    day = F.to_date(F.from_utc_timestamp("ts", zone))
-    return (turns.withWatermark("ts", late).groupBy(day.alias("day")).agg(
+
+def kpi_parts(turns: DataFrame, late: str = LATE) -> DataFrame:
+    """Counts by quarter of an hour (update mode), the step that all zones' days are made of."""
+    return (turns.withWatermark("ts", late).groupBy(F.window("ts", "15 minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("turns"), F.count_if("had_error").alias("errors"),
         F.count_if(F.col("chunk_similarity_avg") < numeric.GAP_SIMILARITY).alias("gaps")))
 
 
+def merge_daily(parts: DataFrame, zone: str = "America/Chicago") -> DataFrame:
+    day = F.to_date(F.from_utc_timestamp("w.start", zone))
+    return parts.groupBy(day.alias("day")).agg(
+        *[F.sum(c).alias(c) for c in ("turns", "errors", "gaps")])
+
+
 def gap_alert(turns: DataFrame, late: str = LATE, length: str = "1 hour",
               slide: str = "5 minutes") -> DataFrame:
     """Sliding windows whose gap share is above the alert level."""

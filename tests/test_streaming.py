@@ -1,11 +1,13 @@
 """Streams over several micro-batches give the batch result."""
 
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from murmur.streaming import jobs
-from murmur.streaming.sinks import latest, run_available, start_flush
+from murmur.streaming.sinks import LateRows, latest, run_available, start_flush, write_batches
 
 START = dt.datetime(2024, 1, 1)
 
@@ -35,8 +37,8 @@ def rows(lo, hi):
 
 def test_session_summary_over_batches(spark, tmp_path):
     stream, batch = files(spark, tmp_path, [rows(0, 40), rows(40, 55), rows(55, 90)])
-    written = run_available(jobs.session_summary(stream, "10 days"), "t-sessions", "update")
-    got = {tuple(r) for r in latest(written, ["session_id"]).select(
+    written = run_available(jobs.session_parts(stream, "10 days", "20 minutes"), "t-sessions", "update")
+    got = {tuple(r) for r in jobs.merge_sessions(latest(written, ["session_id", "w"])).select(
         "session_id", "turns", "total_cost_usd", "error_turns", "last_workflow").collect()}
     assert written.select("batch_id").distinct().count() >= 3
     want = {}
@@ -56,8 +58,31 @@ def test_dedupe_across_batches(spark, tmp_path):
 def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     late = [(900 + i, "z", START - dt.timedelta(days=3), 0.0, False, "standard") for i in range(3)]
     stream, _ = files(spark, tmp_path, [rows(0, 90), rows(90, 100), late])
-    out = run_available(jobs.dedupe(stream.select("row_id", "ts"), late="10 minutes"), "t-late")
-    assert sorted(r["row_id"] for r in out.collect()) == list(range(100))
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        out = run_available(jobs.dedupe(stream.select("row_id", "ts"), late="10 minutes"), "t-late")
+        assert sorted(r["row_id"] for r in out.collect()) == list(range(100))
+        for _ in range(50):
+            if sum(listener.dropped.values()) == 3:
+                break
+            time.sleep(0.2)
+        assert sum(listener.dropped.values()) == 3
+    finally:
+        spark.streams.removeListener(listener)
+
+
+@pytest.mark.parametrize("job", [jobs.session_parts, jobs.kpi_parts])
+def test_state_goes_with_the_watermark(spark, tmp_path, job):
+    months = [[(100 * m + i, f"s{i}-{m}", START + dt.timedelta(days=60 * m, minutes=20 * i), 0.0, False, "standard")
+               for i in range(40)] for m in range(3)]
+    stream, _ = files(spark, tmp_path, months)
+    stream = stream.withColumn("chunk_similarity_avg", F.lit(0.5))
+    query = (write_batches(job(stream), str(tmp_path / "out")).outputMode("update")
+             .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 3 and max(held) <= 80 and held[-1] <= 40
 
 
 def test_flush_writes_once(spark, tmp_path):
