@@ -215,11 +215,22 @@ def weight_sweep(spark, sf):
                                        "earlier": vectors.EARLIER_WEIGHTS}, "current")
 
 
-@query("approx_topk")
+CELLS = """
+piv AS (SELECT * FROM (SELECT e AS c, row_number() OVER (ORDER BY md5(CAST(section_id AS VARCHAR)), section_id) - 1 AS cell FROM sec) WHERE cell < 16),
+own AS (SELECT section_id, arg_min(cell, list_dot_product(c, c) / 2 - list_dot_product(e, c)) AS cell FROM sec CROSS JOIN piv GROUP BY 1),
+probe AS (SELECT query_id, cell FROM (SELECT query_id, cell, row_number() OVER (
+  PARTITION BY query_id ORDER BY list_dot_product(c, c) / 2 - list_dot_product(qe, c), cell) AS r FROM q CROSS JOIN piv) WHERE r <= 8),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), section_id) AS INT) AS rank
+  FROM pairs JOIN own USING (section_id) JOIN probe USING (query_id, cell) WHERE tr <= qr)
+"""
+
+
+@query("approx_topk", with_(*BASE, CELLS) + f"""
+SELECT query_id, rank, section_id, round({L2_SCORE}, 6) AS score FROM near WHERE rank <= 5""")
 def approx_topk(spark, sf):
     sections, queries = _inputs(spark, sf)
     cells, centres = vectors.build_cells(sections, 16)
-    return vectors.approx_topk(sections, queries, cells, centres, n_probe=8)
+    return _shown(vectors.approx_topk(sections, queries, cells, centres, n_probe=8))
 
 
 @query("approx_topk_all_cells", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr"))
@@ -232,7 +243,9 @@ def approx_topk_all_cells(spark, sf):
                                split_rows=10).select("query_id", "rank", "section_id")
 
 
-@query("approx_recall")
+@query("approx_recall", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr"), CELLS) + f"""
+SELECT {big('count(*)')} AS exact_hits, {big('count(n.rank)')} AS found, count(n.rank) / count(*) AS recall
+FROM top t LEFT JOIN (SELECT query_id, section_id, rank FROM near WHERE rank <= 5) n USING (query_id, section_id)""")
 def approx_recall(spark, sf):
     sections, queries = _inputs(spark, sf)
     cells, centres = vectors.build_cells(sections, 16)

@@ -34,6 +34,7 @@ PROBE_ROWS = 100
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK = 2048
 SECTION_BLOCK = 65_536
+TILE_BYTES = 32 * 1024 * 1024
 DIGITS = 9
 METRICS = ("l2", "cosine", "cosine_distance")
 HITS = "query_id {q}, wanted int, section_id {s}, distance double"
@@ -57,10 +58,26 @@ class _Queries:
         norms = np.linalg.norm(self.matrix, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None]
         return 1.0 - dots / np.where(norms > 0, norms, 1.0)
 
+    def slices(self, rows: int) -> Iterator[tuple[int, "_Queries"]]:
+        """Parts of the queries whose distances to ``rows`` vectors fit into TILE_BYTES."""
+        step = max(1, TILE_BYTES // (8 * max(rows, 1)))
+        for at in range(0, len(self.ids), step):
+            part = slice(at, at + step)
+            yield at, _Queries(self.ids[part], self.matrix[part], self.limits[part],
+                               self.ranks[part])
+
     def nearest(self, ids: np.ndarray, block: np.ndarray, ranks: np.ndarray, metric: str):
-        """Best (id, vector row, distance) per query among one block; ties by id."""
+        """Best (query row, vector row, distance) among one block; ties by id."""
+        for at, part in self.slices(len(block)):
+            for i, rows, distances in part._nearest(ids, block, ranks, metric):
+                yield at + i, rows, distances
+
+    def _nearest(self, ids: np.ndarray, block: np.ndarray, ranks: np.ndarray, metric: str):
         rough = self.distances(block, metric)
         rough[ranks[None, :] > self.ranks[:, None]] = np.inf
+        # what cancellation may take from a squared distance grows with the norms
+        slack = 8 * block.shape[1] * np.finfo(float).eps * (
+            np.square(self.matrix).sum(1) + np.square(block).sum(1).max(initial=0.0))
         for i, limit in enumerate(self.limits):
             row = rough[i]
             usable = np.flatnonzero(np.isfinite(row))
@@ -68,7 +85,9 @@ class _Queries:
                 continue
             if len(usable) > limit:
                 edge = np.partition(row[usable], limit - 1)[limit - 1]
-                usable = usable[row[usable] <= edge + 1e-6]
+                if metric == "l2":
+                    edge = np.sqrt(edge * edge + slack[i])
+                usable = usable[row[usable] <= edge + 10.0 ** -DIGITS]
             if metric == "l2":
                 exact = np.linalg.norm(block[usable] - self.matrix[i], axis=1)
             else:
@@ -413,26 +432,24 @@ def weight_sweep(candidates: DataFrame, settings: dict[str, dict[str, float]],
 def choose_pivots(sections: DataFrame, n: int) -> DataFrame:
     """A reproducible spread of sections to act as cell centres."""
     return (sections.where(F.col("embedding").isNotNull())
-            .orderBy(F.xxhash64("section_id"), "section_id").limit(n)
+            .orderBy(F.md5(F.col("section_id").cast("string")), "section_id").limit(n)
             .select(F.col("section_id").alias("cell"), F.col("embedding").alias("centre")))
 
 
 def _nearest_cells(df: DataFrame, key: str, centres: list, n: int) -> DataFrame:
-    """(key, cell) for the n cells closest to each row's vector."""
-    shared = df.sparkSession.sparkContext.broadcast(
-        ([r["cell"] for r in centres], [list(r["centre"]) for r in centres]))
-    cell_type = "bigint"
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, cell {cell_type}"
+    """(key, cell) for the n cells closest to each row's vector; a cell is its centre's number."""
+    shared = df.sparkSession.sparkContext.broadcast([list(r["centre"]) for r in centres])
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, cell bigint"
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, matrix = np.asarray(shared.value[0]), np.asarray(shared.value[1], dtype=np.float64)
+        matrix = np.asarray(shared.value, dtype=np.float64)
         half = np.square(matrix).sum(1) / 2.0
         for batch in batches:
-            if len(batch):
+            if len(batch) and len(matrix):
                 gap = half[None, :] - _as_matrix(batch["embedding"]) @ matrix.T
                 near = np.argsort(gap, axis=1, kind="stable")[:, :n]
                 yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), near.shape[1]),
-                                    "cell": cells[near.ravel()]})
+                                    "cell": near.ravel()})
 
     return df.select(key, "embedding").mapInPandas(assign, schema)
 
@@ -468,8 +485,12 @@ def approx_topk(sections: DataFrame, queries: DataFrame, cells: DataFrame, centr
                                  "(cast(x as double) - y)), 0D, (a, v) -> a + v)"))
     else:
         distance = 1.0 - numeric.cosine("q", "s")
-    hits = pairs.select("query_id", "section_id", "k", distance.alias("distance"))
-    out = _ranked(hits, F.col("k"), F.round("distance", DIGITS), F.col("section_id"))
+    hits = pairs.select("query_id", "cell", "salt", "section_id", "k", distance.alias("distance"))
+    # Best k inside each part of a cell first: no more than that leaves the task of the join.
+    inside = Window.partitionBy("cell", "salt", "query_id").orderBy(
+        F.round("distance", DIGITS), "section_id")
+    best = hits.withColumn("__r", F.row_number().over(inside)).where(F.col("__r") <= F.col("k"))
+    out = _ranked(best, F.col("k"), F.round("distance", DIGITS), F.col("section_id"))
     return out.select("query_id", "rank", "section_id", "distance",
                       score_of(F.col("distance"), metric).alias("score"))
 

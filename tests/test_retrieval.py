@@ -146,3 +146,28 @@ def test_occurrence_rule_for_prominence(spark):
                                   (4, "alpha beta")], "doc_id int, text string")
     got = {r["doc_id"]: r["project_id"] for r in projects.prominent_project(docs, cat).collect()}
     assert got == {1: "p1", 3: "p1", 4: "p0"}
+
+
+def test_exact_search_of_long_vectors(spark):
+    """Rounding in rough distances grows with the norms; near-equal vectors must not get lost."""
+    g = np.random.default_rng(8)
+    x = 1e6 * np.ones((200, 8)) + g.normal(size=(200, 8))
+    s = spark.createDataFrame([(i, v.tolist(), "public") for i, v in enumerate(x)],
+                              "section_id long, embedding array<double>, sensitivity string")
+    q = spark.createDataFrame([(i, x[i].tolist(), "public", 5) for i in range(30)],
+                              "query_id long, embedding array<double>, tier string, k int")
+    want = set()
+    for i in range(30):
+        near = sorted(range(200), key=lambda j: (round(float(np.linalg.norm(x[j] - x[i])), 9), j))
+        want |= {(i, r + 1, j) for r, j in enumerate(near[:5])}
+    assert hits(vectors.vector_topk(s, q)) == want
+
+
+def test_approximate_search_with_text_ids_and_small_tiles(spark, monkeypatch):
+    s, q, want = vector_tables(spark)
+    monkeypatch.setattr(vectors, "TILE_BYTES", 4096)
+    named = s.withColumn("section_id", F.format_string("s%05d", "section_id"))
+    cells, centres = vectors.build_cells(named, 12)
+    got = hits(vectors.approx_topk(named, q, cells, centres, n_probe=12, split_rows=50))
+    assert got == {(a, b, f"s{c:05d}") for a, b, c in want}
+    assert hits(vectors.vector_topk(s, q)) == want
