@@ -78,12 +78,8 @@ def runs_from(files: DataFrame) -> DataFrame:
 
 
 def eval_load_runs(spark: SparkSession, path: str) -> DataFrame:
-    files = (spark.read.format("text").option("wholetext", True)
-             .option("pathGlobFilter", "eval_results_*")
-             .option("recursiveFileLookup", True).load(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"),
-                     F.col("_metadata.file_modification_time").alias("modified")))
-    return runs_from(files)
+    """All runs of the ``eval_results_*`` files below ``path``."""
+    return runs_from(_whole_files(spark, path, "eval_results_*"))
 
 
 def run_results(runs: DataFrame, key: str = "path") -> DataFrame:
@@ -112,6 +108,27 @@ def voice_samples_from(files: DataFrame) -> DataFrame:
     return out.where(F.col("text") != "")
 
 
+def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", True).load(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"),
+                    F.col("_metadata.file_modification_time").alias("modified")))
+
+
+def voice_samples_load(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of all Markdown files below ``path``."""
+    return voice_samples_from(_whole_files(spark, path, "*.md"))
+
+
+def answers_load(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Answers of a JSON-lines file or folder; ``limit`` keeps the first ones in file order."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    answers = answers_from(lines, carry=("line",))
+    if limit is not None:
+        answers = answers.orderBy("line").limit(limit)
+    return answers
+
+
 def answers_from(lines: DataFrame, value: str = "value", carry: tuple[str, ...] = ()
                  ) -> DataFrame:
     """JSON lines with both a question and an answer."""
