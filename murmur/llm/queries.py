@@ -19,6 +19,7 @@ from murmur.llm import (
     token_counts,
     token_files,
 )
+from murmur.llm.oracles import REPEATS
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
@@ -26,7 +27,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_suffix_dedup": REPEATS}
 
 
 def query(fn):
