@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-TASK_BYTES = 16 << 20  # text that one task keeps in hand at a time
+TASK_BYTES = 8 << 20  # text that one task keeps in hand at a time
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

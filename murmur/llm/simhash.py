@@ -28,6 +28,7 @@ from murmur.session import materialize
 SHINGLE = 3
 RADIUS = 3
 TILE = 1024
+WIDE_TILE = 8192  # where kinds are few and crowded, larger tiles meet fewer others
 BASE = 32
 PRINTS = "doc_id long, fingerprint binary, n_shingles long"
 _PAIRS = "a binary, b binary"
@@ -99,10 +100,11 @@ def quarter_steps(radius: int) -> list[int]:
 def _tiles(prints: DataFrame, tile: int) -> DataFrame:
     """Tiles of different fingerprints: ``kind, part, prints``."""
     rows = prints.select("fingerprint", "kind").distinct()
-    # parts of about half a tile by a hash; a kind has as many as its rows need
+    # parts of about half a tile by a hash; a kind has as many as its rows need. There are at
+    # most 17 ** 4 kinds of quarter counts, and a hundred of sizes.
     size = rows.groupBy(F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("fingerprint"), F.ceil(2 * F.col("n") / tile)).cast("int")
-    return (rows.join(size, F.col("kind") == F.col("k")).withColumn("part", part)
+    return (rows.join(F.broadcast(size), F.col("kind") == F.col("k")).withColumn("part", part)
             .groupBy("kind", "part").agg(F.listagg("fingerprint").alias("prints")))
 
 
@@ -193,12 +195,12 @@ def links(prints: DataFrame, radius: int, steps: list[int], words: int = 1,
 
 
 def groups(prints: DataFrame, radius: int, steps: list[int], words: int = 1,
-           width: int | None = None) -> DataFrame:
+           width: int | None = None, tile: int = TILE) -> DataFrame:
     """``prints`` with ``component_id``: the smallest ``doc_id`` reachable over links."""
     first = materialize(prints.groupBy("fingerprint", "kind").agg(F.min("doc_id").alias("first")),
                         "prints")
     named = first.where(F.col("first").isNotNull()).select("fingerprint", "first")
-    found = (links(first, radius, steps, words, width)
+    found = (links(first, radius, steps, words, width, tile)
              .join(named.toDF("a", "first_a"), "a").join(named.toDF("b", "first_b"), "b"))
     whole = components(found, "first_a", "first_b")
     member = (first.join(whole, F.col("first") == F.col("node"), "left")
@@ -244,4 +246,5 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     kind = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / -math.log(similarity)).cast("int")
     tagged = prints.withColumn("kind", kind).withColumn(
         "fingerprint", F.concat("fingerprint", F.unhex(F.lpad(F.hex("kind"), 4, "0"))))
-    return groups(tagged, similarity_radius(similarity, 64 * words), [0, 1], words, 8 * words + 2)
+    return groups(tagged, similarity_radius(similarity, 64 * words), [0, 1], words,
+                  8 * words + 2, WIDE_TILE)

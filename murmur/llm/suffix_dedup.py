@@ -31,7 +31,7 @@ from murmur.session import materialize
 
 MATCH = 100
 SEED = 50
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 ENTRY = np.dtype([("key", "<u8"), ("near", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("span", "<u1")])
 BLOB = ("bucket int, kind int, docs binary, spans binary, keys binary, nears binary, "
         "counts binary, places binary, widths binary")

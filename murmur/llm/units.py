@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 WHOLE = "\v"  # marks a text, or the head of one, that is not a part after a space
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
