@@ -220,13 +220,26 @@ def project_similarity(uses: DataFrame) -> DataFrame:
     ``uses`` has project, kind (methods or technologies), entity and optional detail;
     parallel edges of a pair with different details count as separate paths.
     """
-    paths = uses.distinct().groupBy("kind", "project", "entity").agg(
+    # Pairs are formed over numbers: names would be most of what the pair shuffles carry.
+    number = F.monotonically_increasing_id().alias("number")
+    projects = materialize(uses.select("project").distinct().select("project", number), "projects")
+    things = materialize(uses.select("kind", "entity").distinct().select("kind", "entity", number),
+                         "entities")
+    counted = uses.distinct().groupBy("kind", "project", "entity").agg(
         F.count(F.lit(1)).alias("paths"))
+    paths = (counted.join(projects.withColumnRenamed("number", "p"), "project")
+             .join(things.withColumnRenamed("number", "e"), ["kind", "entity"])
+             .select("kind", F.col("p").alias("project"), F.col("e").alias("entity"), "paths"))
     count_of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("shared")))
-    return _shared_paths(paths).groupBy("a", "b").agg(
+    found = _shared_paths(paths).groupBy("a", "b").agg(
         count_of("methods").alias("shared_methods"),
-        count_of("technologies").alias("shared_technologies")).withColumn(
-        "basis", F.when(F.col("shared_methods").isNotNull(), "methods").otherwise("technologies"))
+        count_of("technologies").alias("shared_technologies"))
+    named = (found.join(projects.toDF("name_a", "a"), "a").join(projects.toDF("name_b", "b"), "b"))
+    return named.select(
+        F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"),
+        "shared_methods", "shared_technologies",
+        F.when(F.col("shared_methods").isNotNull(), "methods").otherwise("technologies")
+        .alias("basis"))
 
 
 def projects_sharing_with(uses: DataFrame, project: str) -> DataFrame:
