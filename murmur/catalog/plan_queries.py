@@ -54,3 +54,27 @@ def plan_load_lines(spark, sf):
     _lines(spark, sf).select("value").write.text(path)
     chats, _, _ = logs.load_query_log(spark, path, owner_filter="row")
     return chats.groupBy("model").agg(F.count(F.lit(1)).alias("turns"))
+
+
+@query("plan_summary_export", with_(LOG) + f"""
+SELECT 'workflow' AS section, workflow AS name, {big('count(*)')} AS count FROM chats GROUP BY workflow
+UNION ALL SELECT 'model', model, {big('count(*)')} FROM chats GROUP BY model
+UNION ALL SELECT 'gaps', 'lowest', {big('least(20, count_if(chunk_similarity_avg < 0.55))')} FROM chats
+UNION ALL SELECT 'votes', 'disliked', {big('count_if(NOT liked)')} FROM votes""")
+def plan_summary_export(spark, sf):
+    """The export written and read again."""
+    from murmur.session import scratch_dir
+    chats, votes = logs.split_rows(tables.query_log(spark, sf).withColumn("message", F.lit("")))
+    path = scratch_dir(spark, "export")
+    reports.write_summary_export(reports.summary_export(chats, votes), path)
+    row = spark.read.json(f"{path}/summary", schema="workflow struct<workflows: map<string, struct<count: bigint>>>, "
+                          "model struct<models: map<string, struct<count: bigint>>>, "
+                          "knowledge_gaps struct<lowest: array<struct<row_id: bigint>>>")
+    part = lambda section, c: row.select(F.lit(section).alias("section"), F.explode(c).alias("name", "v")).select(
+        "section", "name", "v.count")
+    disliked = spark.read.option("header", True).csv(f"{path}/disliked")
+    return (part("workflow", "workflow.workflows").unionByName(part("model", "model.models"))
+            .unionByName(row.select(F.lit("gaps").alias("section"), F.lit("lowest").alias("name"),
+                                    F.size("knowledge_gaps.lowest").cast("bigint").alias("count")))
+            .unionByName(disliked.agg(F.count(F.lit(1)).alias("count")).select(
+                F.lit("votes").alias("section"), F.lit("disliked").alias("name"), "count")))

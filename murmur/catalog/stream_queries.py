@@ -162,3 +162,10 @@ SELECT session, pos, user_message FROM (SELECT CAST(conv_id AS VARCHAR) AS sessi
 WHERE role = 'assistant'""")
 def stream_vote_attribution(spark, sf):
     return _state(spark, sf).where(F.col("kind") == "vote").select("session", "pos", "user_message")
+
+
+@query("stream_vote_answer", """
+SELECT CAST(conv_id AS VARCHAR) AS session, turn AS pos, text AS answer FROM conversations WHERE role = 'assistant'""")
+def stream_vote_answer(spark, sf):
+    """Every vote goes to the answer it follows."""
+    return _state(spark, sf).where(F.col("kind") == "vote").select("session", "pos", "answer")

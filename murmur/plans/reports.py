@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from murmur.operators import breakdowns, filters, kpis, sessions, toplists
+from murmur.sources import sinks
 
 
 def dashboard(chats: DataFrame, votes: DataFrame, owner_mode: str = "session",
@@ -45,3 +47,35 @@ def file_report(chats: DataFrame, votes: DataFrame, owner_mode: str = "none",
             "daily_counts": breakdowns.daily_rollup(turns, votes, zone),
             "counters": breakdowns.category_counters(turns), "owner_views": views,
             "top_prompts": toplists.top_all_prompts(turns)}
+
+
+def _by_name(rows: DataFrame, name: str) -> DataFrame:
+    """One row: map from a configured name to the other columns."""
+    entry = F.struct(F.col(name), F.struct(*[c for c in rows.columns if c != name]).alias("v"))
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(f"{name}s"))
+
+
+def summary_export(turns: DataFrame, votes: DataFrame, n_gaps: int = 20) -> dict[str, DataFrame]:
+    """The nested summary as one row, and every disliked answer as a table of its own.
+
+    Workflows and models are configured names, so their maps stay small; the lowest gaps are a
+    top list. Disliked answers grow with the log and are written from the tasks.
+    """
+    totals = turns.agg(F.count(F.lit(1)).alias("turns"), F.count_if("had_error").alias("errors"))
+    flows = breakdowns.workflow_breakdown(turns).select(
+        "workflow", "count", F.round("avg_similarity", 3).alias("avg_similarity"),
+        F.floor("avg_latency_ms").alias("avg_latency_ms"))
+    models = breakdowns.model_usage(turns).select(
+        "model", "count", F.floor("avg_latency_ms").alias("avg_latency_ms"),
+        F.round("avg_similarity", 3).alias("avg_similarity"))
+    gaps = toplists.low_similarity(turns, n=n_gaps).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("chunk_similarity_avg").alias("similarity"), "row_id"))).alias("lowest"))
+    summary = sinks.summary_row(
+        totals=totals, votes=breakdowns.vote_summary(votes), workflow=_by_name(flows, "workflow"),
+        model=_by_name(models, "model"), knowledge_gaps=gaps)
+    return {"summary": summary, "disliked": toplists.disliked_responses(votes, None)}
+
+
+def write_summary_export(tables: dict[str, DataFrame], path: str) -> None:
+    sinks.write_summary(tables["summary"], f"{path}/summary")
+    sinks.write_csv(tables["disliked"], f"{path}/disliked")

@@ -13,7 +13,7 @@ from murmur.operators.enrich import TIER_RANKS, phrase_rank
 from murmur.streaming.sinks import use_rocksdb
 
 OUT = ("session string, pos bigint, kind string, turn_index bigint, audience_tier string, "
-       "is_owner boolean, user_message string")
+       "is_owner boolean, user_message string, answer string")
 TIER_NAMES = list(TIER_RANKS)
 
 
@@ -21,8 +21,8 @@ class SessionState(StatefulProcessor):
     """One small record per session. Rows of a session in a micro-batch are taken in ``pos``
     order; the size of a micro-batch is bounded by the source's own limits.
 
-    Kinds: user, assistant, system; vote (of an earlier answer); owner (sets the flag, the
-    last writer wins).
+    Kinds: user, assistant, system; vote (goes to the last question and the last answer before
+    it); owner (sets the flag, the last writer wins).
     """
 
     def __init__(self, ttl_hours: int | None = None) -> None:
@@ -30,11 +30,11 @@ class SessionState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._seen = handle.getValueState(
-            "seen", "turns bigint, tier int, owner boolean, said string", self._ttl)
+            "seen", "turns bigint, tier int, owner boolean, said string, answered string", self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        turns, tier, owner, said = (self._seen.get() if self._seen.exists()
-                                    else (0, 0, False, None))
+        turns, tier, owner, said, answered = (self._seen.get() if self._seen.exists()
+                                              else (0, 0, False, None, None))
         batch = pd.concat(list(rows)).sort_values(["pos", "kind"])
         out = []
         for pos, kind, text, rank, flag in zip(batch["pos"], batch["kind"], batch["text"],
@@ -43,11 +43,14 @@ class SessionState(StatefulProcessor):
                 owner = bool(flag)
             if kind == "user":
                 turns, tier, said = turns + 1, max(tier, int(rank)), text
+            if kind == "assistant":
+                answered = text
+            voted = kind == "vote"
             out.append((key[0], pos, kind, turns, TIER_NAMES[tier], owner,
-                        said if kind == "vote" else None))
-        self._seen.update((turns, tier, owner, said))
+                        said if voted else None, answered if voted else None))
+        self._seen.update((turns, tier, owner, said, answered))
         yield pd.DataFrame(out, columns=["session", "pos", "kind", "turn_index", "audience_tier",
-                                         "is_owner", "user_message"])
+                                         "is_owner", "user_message", "answer"])
 
     def close(self) -> None:
         pass
