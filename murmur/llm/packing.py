@@ -99,9 +99,8 @@ def _pack(tokenizer: str, end_id: int, capacity: int, least: int):
         next_id = TaskContext.get().partitionId() << 33
         rest = None
         for batch in pieces(batches, "text", 4 << 20):
-            ids, bounds = encoder.encode(batch.column("text").to_pylist())
-            ids = np.insert(ids, bounds[1:], np.uint32(end_id))
-            sizes = np.diff(bounds) + 1
+            ids, bounds = encoder.encode(batch.column("text").to_pylist(), end_id)
+            sizes = np.diff(bounds)
             doc, length = cut(sizes, capacity, least)
             ends = np.cumsum(length)
             first = np.cumsum(sizes) - sizes

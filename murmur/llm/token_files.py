@@ -35,6 +35,7 @@ BLOCK = 1 << 13
 FILE_IDS = 1 << 25
 LANES = 32
 FILES = "shard long, number long, path string, n_docs long, n_tokens long"
+NO_ID = -(1 << 63)  # stands for a null doc_id in a file
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -48,6 +49,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
         raise ValueError(f"an id does not fit into {bits} bits")
     lanes = np.zeros((-(-len(ids) // LANES), LANES), np.uint64)
     lanes.ravel()[:len(ids)] = ids
+    if bits in (8, 16, 32):  # the same bytes
+        return lanes.astype(f"<u{bits // 8}").tobytes()
     words = np.zeros((len(lanes), bits + 1), np.uint64)
     for lane in range(LANES):
         word, shift = divmod(lane * bits, 32)
@@ -58,6 +61,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}")[:n].astype(np.uint32)
     words = np.frombuffer(data, "<u4").reshape(-1, bits).astype(np.uint64)
     words = np.concatenate([words, np.zeros((len(words), 1), np.uint64)], axis=1)
     out = np.empty((len(words), LANES), np.uint32)
@@ -175,15 +180,12 @@ def _write(folder: str, tokenizer: str, end_id: int, block: int, file_ids: int):
                          writer.n_docs, writer.n_tokens))
 
         for batch in pieces(batches, "text", 4 << 20):
-            ids, bounds = encoder.encode(batch.column("text").to_pylist())
-            n = np.arange(1, len(bounds))
-            ids = np.insert(ids, bounds[1:], np.uint32(end_id))
-            bounds = np.append(0, bounds[1:] + n)
+            ids, bounds = encoder.encode(batch.column("text").to_pylist(), end_id)
             if writer is None:
                 name = f"{root}/part-{shard:06d}-{len(done):04d}"
                 names = (f"{name}.{context.taskAttemptId()}.tmp", f"{name}.tok")
                 writer = Writer(fs.open_output_stream(names[0]), bits, block)
-            writer.add(batch.column("doc_id").to_numpy(zero_copy_only=False), ids, bounds)
+            writer.add(batch.column("doc_id").to_numpy(), ids, bounds)
             if writer.n_tokens >= file_ids:
                 close()
                 writer = None
@@ -203,17 +205,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     Texts are encoded without added special tokens (null: empty), each followed by ``end_id``.
     Documents are dealt by ranges of ``doc_id``, so the files in the order of ``shard, number``
     hold all ids in order; ``start`` counts the ids before a file. Rows whose ``doc_id`` is
-    null are an error. Equal ids stay in separate rows, in the order of their texts.
+    null come first and are read back as null. Equal ids stay in separate rows, in the order of
+    their texts. Other columns are ignored.
     """
     if block % LANES:
         raise ValueError("a block must be a multiple of 32 ids")
     spark = docs.sparkSession
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"),
-                   F.raise_error(F.lit("token files need a doc_id in every row"))).alias("doc_id"),
-        "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     files = materialize(
         rows.repartitionByRange(shuffle_partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
@@ -232,8 +232,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = min(max(end, at + 1), len(reader.docs))
                 lo, hi = reader.starts[at], reader.starts[end]
                 bounds = reader.starts[at:end + 1] - lo
+                docs = reader.docs[at:end]
                 yield pa.record_batch(
-                    [pa.array(reader.docs[at:end]), pa.array(bounds[:-1] + lo + start),
+                    [pa.array(docs, mask=docs == NO_ID), pa.array(bounds[:-1] + lo + start),
                      pa.array(np.diff(bounds)),
                      binary_column(reader.ids(int(lo), int(hi)).astype("<u4"), bounds)],
                     ["doc_id", "start", "n_tokens", "ids"])

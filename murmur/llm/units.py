@@ -9,15 +9,13 @@ white space go to the library whole.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-CACHE_UNITS = 300_000
+CACHE_UNITS = 400_000
+END = "\f"  # marks an end id
 WHOLE = "\v"  # marks a text, or the head of one, that is not a part after a space
-_CONTROL = re.compile(r"[\x1c-\x1f]")
-_WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
 
 
 def parts_of(text: str) -> list[str]:
@@ -28,10 +26,10 @@ def parts_of(text: str) -> list[str]:
     """
     if not text:
         return []
-    if ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\t" in text
-            or "\r" in text or "\v" in text or "\f" in text or text[0] in " \n"
-            or text[-1] in " \n" or _CONTROL.search(text)
-            or not text.isascii() and _WIDE_SPACE.search(text)):
+    # printable characters hold no white space but the plain space
+    if ("  " in text or "\n " in text or " \n" in text or "\n\n" in text
+            or text[0] in " \n" or text[-1] in " \n"
+            or not text.replace("\n", "").isprintable()):
         return [WHOLE + text]
     parts = text.replace("\n", " \n").split(" ")
     parts[0] = WHOLE + parts[0]
@@ -108,16 +106,27 @@ class ByteUnits:
             out[np.repeat(~after, sizes)] = np.concatenate(whole)
         self._store(out, sizes)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the bounds of each text's share; null counts as empty."""
+    def encode(self, texts: list[str | None], end_id: int | None = None
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of each text's share; null counts as empty.
+
+        ``end_id``, if given, follows each text and belongs to its share.
+        """
         if self._known > CACHE_UNITS:
             self._clear()
+        end: list[str] = []
+        if end_id is not None:
+            end = [f"{END}{end_id}"]
+            if end[0] not in self._index:
+                self._index[end[0]] = len(self._index)
+                self._store(np.array([end_id], np.uint32), np.ones(1, np.int64))
         keys: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             parts = parts_of(text or "")
-            sizes[i] = len(parts)
+            sizes[i] = len(parts) + len(end)
             keys += parts
+            keys += end
         at = np.fromiter(map(self._index.__getitem__, keys), np.int64, len(keys))
         if self._index.new:
             self._learn(self._index.new)

@@ -168,6 +168,9 @@ def test_units_encode_like_the_library(byte_bpe):
         ids, bounds = units.encode(texts())
         for i, t in enumerate(texts()):
             assert ids[bounds[i]:bounds[i + 1]].tolist() == ids_of(byte_bpe, t, 0)[:-1].tolist()
+        ids, bounds = units.encode(texts(), 2)
+        for i, t in enumerate(texts()):
+            assert ids[bounds[i]:bounds[i + 1]].tolist() == ids_of(byte_bpe, t, 2).tolist()
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 31, 32])
@@ -178,6 +181,9 @@ def test_packed_ids_come_back(bits):
         data = token_files.pack(ids, bits)
         assert len(data) == -(-n // 32) * 4 * bits
         assert np.array_equal(token_files.unpack(data, bits, n), ids)
+        low_first = "".join(f"{int(i):0{bits}b}"[::-1] for i in ids)
+        stored = "".join(f"{b:08b}"[::-1] for b in data)
+        assert stored.startswith(low_first) and "1" not in stored[len(low_first):]
     with pytest.raises(ValueError):
         token_files.pack(np.array([1 << bits], np.uint64), bits)
 
@@ -205,12 +211,11 @@ def test_token_files_round_trip(spark, docs, byte_bpe):
 def test_token_files_of_nothing_and_without_id(spark, empty):
     files = token_files.write_tokens(empty, vocabulary(BYTE_BPE), scratch_dir(spark, "t"))
     assert token_files.read_tokens(files).count() == 0
-    odd = spark.createDataFrame([(None, "a")], "doc_id long, text string")
-    with pytest.raises(Exception, match="doc_id in every row"):
-        token_files.write_tokens(odd, vocabulary(BYTE_BPE), scratch_dir(spark, "t"))
-    twice = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id long, text string")
-    files = token_files.write_tokens(twice, vocabulary(BYTE_BPE), scratch_dir(spark, "t"))
-    assert [r[1:3] for r in collect(token_files.read_tokens(files))] == [(0, 2), (2, 2), (4, 2)]
+    odd = spark.createDataFrame([(1, "b"), (None, "c"), (1, "a"), (1, "a"), (None, None)],
+                                "doc_id long, text string")
+    files = token_files.write_tokens(odd, vocabulary(BYTE_BPE), scratch_dir(spark, "t"))
+    got = [tuple(r)[:3] for r in token_files.read_tokens(files).orderBy("start").collect()]
+    assert got == [(None, 0, 1), (None, 1, 2), (1, 3, 2), (1, 5, 2), (1, 7, 2)]
 
 
 def test_prefix_counts_are_those_of_the_library(spark, docs):

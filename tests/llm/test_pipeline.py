@@ -86,6 +86,23 @@ def test_mixed_and_packed_hold_the_same_tokens(stages):
     assert got == want
 
 
+def test_stages_take_odd_rows_and_none(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    good = good_text(1)
+    odd = [(1, good, None, None, None, "x"), (None, good_text(2), "en", "s", 5, None), (3, None, "en", "s", 0, "x"),
+           (4, "", "en", None, 0, "x"), (5, good_text(3) * 100, "en", "s", 9, "x"), (6, good, "en", "t", 7, "x"),
+           (6, good, "en", "t", 7, "x"), (None, None, None, None, None, None)]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SF), name)
+            if rows and name in ("quality", "near_copies", "repeats"):
+                found = [r.doc_id for r in docs.collect()]
+                assert {1, 5, None} <= set(found) and not {3, 4} & set(found)
+                assert (6 in found) == (name == "quality")
+        assert (docs.count() > 0) == bool(rows)
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).count() > 200
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
