@@ -218,7 +218,7 @@ def _found(e: np.ndarray, kind: int, match: int, parts: int) -> pa.RecordBatch:
     doc, lo, hi = e["doc"], e["lo"], e["lo"] + e["span"] + (match if kind == REPEATED else 1)
     if len(e):
         # documents and places in one growing number: a running maximum then stays in its document
-        number = np.cumsum(np.append(0, doc[1:] != doc[:-1])).astype(np.int64) << 40
+        number = np.cumsum(np.append(0, doc[1:] != doc[:-1])).astype(np.int64) << 33
         reach = np.maximum.accumulate(number + hi)
         at = np.flatnonzero(np.append(True, number[1:] + lo[1:] > reach[:-1]))
         hi = (reach - number)[np.append(at[1:], len(e)) - 1]
