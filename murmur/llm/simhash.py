@@ -7,11 +7,12 @@ differ in at least as many bits as these counts do, so tile pairs whose counts d
 than the radius are skipped without loss. The others are compared exactly, by exclusive-or and
 bit counts, in the same way skipping slices whose whole counts are too far apart. A tile pair
 passes on a forest of its links, never all of them, so a large group of near copies stays
-linear.
+linear. ``similar_groups`` takes such links as candidates only and compares the shingle sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -32,6 +33,9 @@ WIDE_TILE = 8192  # where kinds are few and crowded, larger tiles meet fewer oth
 BASE = 32
 PRINTS = "doc_id long, fingerprint binary, n_shingles long"
 _PAIRS = "a binary, b binary"
+NODE = 16  # bytes of the digest that stands for a set of shingles
+BLOCK_BYTES = 1 << 20  # of shingle hashes that a task compares with as many others
+_SET_PRINTS = "doc_id long, text_key long, fingerprint binary, n_shingles long, shingles binary"
 
 
 def fingerprint(words: list[bytes], shingle: int, seeds: tuple[int, ...],
@@ -223,28 +227,157 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def similarity_radius(similarity: float, bits: int) -> int:
-    """Differing bits up to which two shingle sets count as that similar.
+    """Differing bits that two shingle sets of that similarity practically never exceed.
 
     Sets of equal size with Jaccard J lie at an angle of arccos(2 J / (1 + J)); that share of pi
-    is the expected share of differing bits. One standard deviation more is allowed.
+    is the expected share of differing bits. Five standard deviations more are allowed, since
+    majorities of few shingles differ more often (at 4 of 5 shingles, 0.19 of the bits instead
+    of 0.15, which leaves three).
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
+
+
+def _set_prints(shingle: int, seeds: tuple[int, ...], with_set: bool):
+    """Fingerprints of the different shingles, followed by a digest of their hashes."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            data, bounds = utf8(batch.column("text"))
+            data = data.tobytes().lower()
+            prints, sizes, nodes, sets = [], [], [], []
+            for a, b in itertools.pairwise(bounds.tolist()):
+                words = data[a:b].split()
+                parts = {b" ".join(words[i:i + shingle])
+                         for i in range(max(len(words) - shingle + 1, min(len(words), 1)))}
+                out = b""
+                for seed in seeds:
+                    raw = b"".join([xxhash.xxh64_digest(s, seed) for s in parts])
+                    rows = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+                    ones = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+                    out += np.packbits(2 * ones > len(parts)).tobytes()
+                    if seed == seeds[0]:
+                        held = np.sort(np.frombuffer(raw, ">u8").astype("<u8")).tobytes()
+                prints.append(out)
+                nodes.append(hashlib.blake2b(held, digest_size=NODE).digest())
+                sizes.append(len(parts))
+                sets.append(held if with_set else None)
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("text_key"),
+                 pa.array([f + n for f, n in zip(prints, nodes)], pa.binary()),
+                 pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())],
+                ["doc_id", "text_key", "fingerprint", "n_shingles", "shingles"])
+    return run
+
+
+def _verify(similarity: float, radius: int, words: int):
+    """Links of block pairs whose shingle sets are as similar as asked, as a forest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for own, other in zip(batch.column("own"), batch.column("other")):
+                rows = own.as_py() + (other.as_py() or [])
+                split = len(own) if other.is_valid else 0
+                rows_a = np.arange(split or len(rows))
+                prints = b"".join(r["fingerprint"] for r in rows)
+                x = _array(prints, 8 * words + NODE, words)[0]
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+                size = np.array(list(map(len, sets)))
+                codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                start = np.cumsum(size) - size
+                here = np.zeros(codes.max(initial=0) + 1, bool)
+                found_a, found_b = [], []
+                for a in rows_a:
+                    b = np.arange(split or a + 1, len(rows))
+                    small, big = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                    b = b[small >= similarity * big - 1e-6]
+                    b = b[np.bitwise_count(x[a] ^ x[b]).sum(axis=1, dtype=np.int64) <= radius]
+                    if not len(b) or not size[a]:
+                        continue
+                    mine = codes[start[a]:start[a] + size[a]]
+                    here[mine] = True
+                    last = np.cumsum(size[b])
+                    at = np.arange(last[-1]) + np.repeat(start[b] - (last - size[b]), size[b])
+                    common = np.add.reduceat(here[codes[at]], last - size[b], dtype=np.int64)
+                    here[mine] = False
+                    b = b[common / (size[a] + size[b] - common) >= similarity]
+                    found_a.append(np.full(len(b), a))
+                    found_b.append(b)
+                if not found_a:
+                    continue
+                root = forest(np.concatenate(found_a), np.concatenate(found_b), len(rows))
+                for i in np.flatnonzero(root != np.arange(len(rows))):
+                    left.append(rows[i]["fingerprint"][-NODE:])
+                    right.append(rows[root[i]]["fingerprint"][-NODE:])
+            yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                                  ["a", "b"])
+    return run
+
+
+def _verified(docs: DataFrame, first: DataFrame, candidates: DataFrame, shingle: int,
+              seeds: tuple[int, ...], similarity: float, radius: int) -> DataFrame:
+    """``a, b``: links between nodes whose shingle sets have the similarity.
+
+    The members of each group of candidates are cut into blocks, and the blocks of a group meet
+    pairwise with their sets, so no row exists for a pair of members.
+    """
+    rough = components(candidates, "a", "b")
+    member = materialize(rough.select("node", F.col("component").alias("rough")).union(
+        rough.select("component", "component").distinct()), "members")
+    asked = first.join(member, "node").select(F.col("first").alias("doc_id")).distinct()
+    sets = (docs.join(asked, "doc_id", "left_semi")
+            .mapInArrow(_set_prints(shingle, seeds, True), _SET_PRINTS)
+            .withColumn("node", F.substring("fingerprint", 8 * len(seeds) + 1, NODE))
+            .select("node", "fingerprint", "shingles").dropDuplicates(["node"])
+            .join(member, "node").drop("node"))
+    sets = materialize(sets, "sets")
+    size = sets.groupBy(F.col("rough").alias("r")).agg(
+        F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).cast("int").alias("parts"))
+    size = materialize(size.withColumn("parts", F.greatest("parts", F.lit(1))), "sizes")
+    blocks = materialize(
+        sets.join(size, F.col("rough") == F.col("r"))
+        .withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+        .groupBy("rough", "part")
+        .agg(F.collect_list(F.struct("fingerprint", "shingles")).alias("members")), "blocks")
+    pairs = size.select(F.col("r").alias("rough"), "parts", F.explode(
+        F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
+        "rough", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("part_b"))
+    return (pairs.join(blocks.withColumnRenamed("members", "own"), ["rough", "part"])
+            .join(blocks.toDF("rough", "part_b", "other"), ["rough", "part_b"])
+            .select("own", F.when(F.col("part") != F.col("part_b"), F.col("other")).alias("other"))
+            .mapInArrow(_verify(similarity, radius, len(seeds)), _PAIRS).distinct())
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                    words: int = 4) -> DataFrame:
-    """Groups of documents whose sets of shingles have an estimated Jaccard of ``similarity``.
-
-    Fingerprints are made of the different shingles, in ``words`` words, and linked up to
-    ``similarity_radius``. Sets whose sizes differ by more than the factor cannot be that
-    similar, so the kind is the size on a logarithmic scale and only neighbouring kinds are
-    compared. Columns and special cases as in ``near_duplicates``.
+    """``doc_id, text_key, fingerprint, n_shingles, component_id``: groups of near copies.
+
+    Documents link if their sets of different shingles (by 64-bit hashes) have a Jaccard of at
+    least ``similarity``. Fingerprints of the sets, in ``words`` words, find candidates up to
+    ``similarity_radius``; the sets themselves decide. Sets whose sizes differ by more than the
+    factor cannot be that similar, so the kind is the size on a logarithmic scale and only
+    neighbouring kinds are compared. ``text_key`` is XXH64 of the text; special cases as in
+    ``near_duplicates``.
     """
-    prints = materialize(fingerprints(docs, shingle, tuple(range(42, 42 + words)), False),
-                         "fingerprints")
+    seeds, radius = tuple(range(42, 42 + words)), similarity_radius(similarity, 64 * words)
+    width = 8 * words + NODE
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.xxhash64("text").alias("text_key"), "text")
+    prints = materialize(keyed.mapInArrow(_set_prints(shingle, seeds, False), _SET_PRINTS)
+                         .drop("shingles"), "fingerprints")
     kind = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / -math.log(similarity)).cast("int")
-    tagged = prints.withColumn("kind", kind).withColumn(
-        "fingerprint", F.concat("fingerprint", F.unhex(F.lpad(F.hex("kind"), 4, "0"))))
-    return groups(tagged, similarity_radius(similarity, 64 * words), [0, 1], words,
-                  8 * words + 2, WIDE_TILE)
+    node = F.substring("fingerprint", 8 * words + 1, NODE)
+    first = materialize(prints.where(F.col("doc_id").isNotNull()).withColumn("kind", kind)
+                        .groupBy("fingerprint", "kind").agg(F.min("doc_id").alias("first"))
+                        .withColumn("node", node), "prints")
+    near = links(first, radius, [0, 1], words, width, WIDE_TILE).select(
+        *[F.substring(c, 8 * words + 1, NODE).alias(c) for c in ("a", "b")])
+    whole = components(_verified(keyed, first, near, shingle, seeds, similarity, radius))
+    member = materialize(
+        first.select("node", "first").join(whole, "node", "left")
+        .select("first", F.col("node").alias("__n"), F.coalesce("component", "node").alias("c")),
+        "members")
+    least = member.groupBy("c").agg(F.min("first").alias("component_id"))
+    named = member.join(least, "c").select("__n", "component_id")
+    return prints.join(named, node == F.col("__n"), "left").drop("__n")

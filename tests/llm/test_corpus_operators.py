@@ -133,6 +133,47 @@ def test_tiles_find_every_link(spark):
     assert len(edges) < len(near)
 
 
+def test_similar_groups_follow_the_shingle_sets(spark):
+    def text(tag, first, n):
+        return " ".join(f"{tag}w{i}" for i in range(first, first + n + 4))
+
+    # n shingles each, of which c are common: (n, c) for Jaccards 0.7, 0.79, 0.8, 0.85 and small sets
+    cases = [(340, 280), (358, 316), (180, 160), (370, 340), (9, 8), (6, 5), (8, 7), (50, 40)]
+    data = []
+    for k in range(12):
+        for j, (n, c) in enumerate(cases):
+            tag = f"t{k}c{j}"
+            data += [(1000 * k + 10 * j, text(tag, 0, n)), (1000 * k + 10 * j + 1, text(tag, n - c, n))]
+        # of four and five shingles, and a chain of different texts on one template
+        data += [(1000 * k + 100, text(f"s{k}", 0, 4)), (1000 * k + 101, text(f"s{k}", 0, 5))]
+        data += [(1000 * k + 200 + i, text(f"u{k}", 70 * i, 400)) for i in range(6)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(
+        spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for k in range(12):
+        for j, (n, c) in enumerate(cases):
+            a, b = 1000 * k + 10 * j, 1000 * k + 10 * j + 1
+            assert (got[a], got[b]) == (a, a if c / (2 * n - c) >= 0.8 else b), (n, c)
+        assert got[1000 * k + 101] == 1000 * k + 100
+        assert all(got[1000 * k + 200 + i] == 1000 * k + 200 + i for i in range(6))
+
+
+def test_similar_groups_hold_across_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(104)]
+    data = [(i, " ".join(base[i:] + base[:i])) for i in range(0, 60)]
+    data += [(100 + i, " ".join([*base, f"end{i}"])) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, t in data for w in [t.split()]}
+    want = {d: d for d in sets}
+    while True:
+        new = {a: min(want[b] for b in sets if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+               for a in sets}
+        if new == want:
+            break
+        want = new
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 8192)
+    assert dict(collect(simhash.similar_groups(df).select("doc_id", "component_id"))) == want
+
+
 def test_similar_groups_hold_near_copies(spark):
     a, b = prose(50, 300), prose(51, 300)
     w = a.split(" ")
