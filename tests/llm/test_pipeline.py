@@ -103,6 +103,23 @@ def test_stages_take_odd_rows_and_none(spark):
         assert (docs.count() > 0) == bool(rows)
 
 
+def test_two_texts_under_one_id_are_told_apart(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = good_text(1), good_text(2), good_text(3)
+    near = lambda i, t: (i, t, "en", "s", len(t))
+    docs = spark.createDataFrame([near(1, a), near(5, a), near(5, b), near(9, b), near(7, c)], schema)
+    kept = corpus_pipeline.without_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (5, b), (7, c)])
+    passage = " ".join(good_text(9000).split()[:60])
+    rows = [(1, passage), (5, a + " " + passage), (5, b + " " + passage), (7, c), (7, c)]
+    docs = spark.createDataFrame([near(*r) for r in rows] + [near(None, a)], schema)
+    got = corpus_pipeline.without_repeats(spark, docs, SF).collect()
+    five = sorted(r.text for r in got if r.doc_id == 5)
+    assert len(got) == 6 and len(five) == 2 and not any(passage in t for t in five)
+    # the full stop before the passage repeats as well
+    assert [t.rstrip(" .") for t in five] == sorted(t.rstrip(" .") for t in (a, b))
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).count() > 200
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
