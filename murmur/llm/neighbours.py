@@ -4,7 +4,8 @@ A table turns each unit vector by three rounds of random signs and a fast Hadama
 and assigns it to the nearest signed axis. A query looks into the axes next to it as well,
 in every table, and all candidates found there are scored exactly. Vectors of different
 lengths get one more coordinate that makes them equally long, which turns the largest inner
-product into the smallest angle.
+product into the smallest angle. Lengths are cut into geometric bands for that, each with its
+own longest vector; a query looks into every band. Bands of few vectors are searched whole.
 
 Equal vectors are held once, with as many of their smallest ids as a result can name. A crowded
 axis is cut into blocks on both sides; the blocks meet pairwise, so no task holds an axis.
@@ -30,6 +31,8 @@ BUCKET_ROWS = 64  # a table takes another hash while its buckets stay above this
 VECTORS_IN_BLOCK = 65_536
 QUERIES_IN_BLOCK = 4096
 SEED = 5
+BAND = 2 ** 0.5  # ratio of the lengths in a band
+WHOLE = 4096  # vectors up to which a band is searched whole
 _CODES = "id long, kind int, vector binary, codes array<bigint>"
 _FOUND = "query_id long, first long, score double"
 
@@ -83,22 +86,43 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _hash(kind: int, longest: float | None, tables: int, hashes: int, probes: int, dtype: str,
+def _hash(kind: int, bands: list[tuple], whole: int, tables: int, probes: int, dtype: str,
           seed: int):
+    """Keys of each row; ``bands`` has ``band, longest, hashes, base`` of those that are hashed.
+
+    All bands that are searched whole share the key 0.
+    """
+    place = {band: (longest, hashes, base) for band, longest, hashes, base in bands}
+
+    def keys(x: np.ndarray, band: int) -> np.ndarray:
+        longest, hashes, base = place[band]
+        unit = unit_rows(x, longest, kind == 0)
+        space = (2 * unit.shape[1]) ** hashes
+        return np.hstack([buckets(unit, t, hashes, probes if kind == 0 else 1, seed) + t * space
+                          for t in range(tables)]) + base
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column("embedding").flatten().to_numpy().astype(dtype)
             x = flat.reshape(batch.num_rows, -1)
-            unit = unit_rows(x.astype(np.float64), longest, kind == 0)
-            space = (2 * unit.shape[1]) ** hashes
-            codes = np.hstack([buckets(unit, t, hashes, probes if kind == 0 else 1, seed) + t * space
-                               for t in range(tables)])
+            wide = x.astype(np.float64)
+            if kind == 0:
+                parts = [keys(wide, band) for band in place]
+                parts += [np.zeros((len(x), 1), np.int64)] if whole else []
+                codes = list(np.hstack(parts))
+            else:
+                codes = [np.zeros(1, np.int64)] * len(x)
+                own = batch.column("band").to_numpy()
+                for band in set(own.tolist()) & set(place):
+                    rows = np.flatnonzero(own == band)
+                    for i, row in zip(rows, keys(wide[rows], band)):
+                        codes[i] = row
             yield pa.record_batch(
                 [batch.column("id"), pa.array(np.full(len(x), kind, np.int32)),
                  pa.array([row.tobytes() for row in x], pa.binary()),
-                 pa.array(list(codes), pa.list_(pa.int64()))], ["id", "kind", "vector", "codes"])
+                 pa.array(codes, pa.list_(pa.int64()))], ["id", "kind", "vector", "codes"])
     return run
 
 
@@ -184,19 +208,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
         .where(F.col("nth") <= top + 1).groupBy("embedding")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
         .withColumn("id", F.col("ids")[0]), "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") ** 2))
-    size = held.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"),
-                    F.min(norm).alias("least")).first()
-    longest = size.most if size.least < size.most * (1 - 1e-3) else None
-    width = 2 << (common.n + (longest is not None) - 1).bit_length()
-    hashes = max(1, int(np.log(max(size.n / BUCKET_ROWS, 1)) / np.log(width)))
+    # lengths by the largest component, which neither overflows nor vanishes
+    top_part = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    norm = F.col("m") * F.sqrt(F.aggregate(
+        "embedding", F.lit(0.0), lambda s, v: s + (v.cast("double") / F.col("m")) ** 2))
+    placed = held.withColumn("m", top_part).withColumn("norm", norm).withColumn(
+        "band", F.floor(F.log("norm") / float(np.log(BAND)) + 0.25).cast("int"))
+    sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"),
+                                       F.min("norm").alias("least")).orderBy("band").collect()
+    bands, base = [], 1
+    for size in sizes:
+        if size.n <= WHOLE:
+            continue
+        longest = size.most if size.least < size.most * (1 - 1e-3) else None
+        width = 2 << (common.n + (longest is not None) - 1).bit_length()
+        hashes = max(1, int(np.log(max(size.n / BUCKET_ROWS, 1)) / np.log(width)))
+        bands.append((size.band, longest, hashes, base))
+        base += tables * width ** hashes
+    whole = len(bands) < len(sizes)
 
     def hashed(df: DataFrame, kind: int) -> DataFrame:
-        return df.select("id", "embedding").mapInArrow(
-            _hash(kind, longest, tables, hashes, probes, dtype, seed), _CODES)
+        return df.mapInArrow(_hash(kind, bands, whole, tables, probes, dtype, seed), _CODES)
 
     asked = asked.where(F.size("embedding") == common.n).distinct()
-    codes = materialize(hashed(held, 1).union(
+    codes = materialize(hashed(placed.select("id", "embedding", "band"), 1).union(
         hashed(asked.withColumnRenamed("vec_id", "id"), 0)), "codes")
     # the number of buckets bounds the rows of this table: tables times width ** hashes
     crowd = (codes.select("kind", F.explode("codes").alias("key")).groupBy("key").agg(

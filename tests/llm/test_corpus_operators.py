@@ -558,6 +558,29 @@ def test_neighbours_reach_the_recall(spark, scale):
         assert sorted(found, key=lambda f: (-f[2], f[1])) == found
 
 
+def recall(spark, x, asked):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, df.where(F.col("vec_id").isin(asked))).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :min(20, len(x) - 1)]
+    return np.mean([len(got[q] & set(b.tolist())) / len(b) for q, b in zip(asked, best)])
+
+
+@pytest.mark.parametrize("lengths", ["one long", "log-normal"])
+def test_neighbours_of_uneven_lengths(spark, lengths):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "one long":
+        x[77] *= 10
+    else:
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    assert recall(spark, x, list(range(0, 12_000, 300))) > 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(i, [1.0, 0.0, 2.0]) for i in range(100, 160)]  # one common vector
