@@ -18,7 +18,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import shuffle_partitions
@@ -33,6 +33,7 @@ QUERIES_IN_BLOCK = 4096
 SEED = 5
 BAND = 2 ** 0.5  # ratio of the lengths in a band
 WHOLE = 4096  # vectors up to which a band is searched whole
+TRIED, RECALL = 64, 0.95  # queries searched exactly as well, and the recall they must show
 _CODES = "id long, kind int, vector binary, codes array<bigint>"
 _FOUND = "query_id long, first long, score double"
 
@@ -191,8 +192,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     ``vectors`` and ``queries`` have ``vec_id`` and ``embedding``. Returns ``query_id, rank, vec_id,
     score``; the row of the query's own id is no candidate, ties go to the smaller id. Vectors
     that are null, zero or hold null or non-finite components take no part, neither do rows
-    without an id or of another length than most vectors. Repeated rows count once. Every
-    other vector is indexed; a query gets fewer rows only if its buckets hold fewer vectors.
+    without an id or of another length than most vectors. Repeated rows count once. A query
+    gets fewer rows only if there are fewer candidates: what the buckets leave short or
+    doubtful (see ``_doubtful``) is searched exactly.
     """
     spark = vectors.sparkSession
     valid, asked = _valid(vectors), _valid(queries)
@@ -208,11 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
         .where(F.col("nth") <= top + 1).groupBy("embedding")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
         .withColumn("id", F.col("ids")[0]), "vectors")
-    # lengths by the largest component, which neither overflows nor vanishes
-    top_part = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
-    norm = F.col("m") * F.sqrt(F.aggregate(
-        "embedding", F.lit(0.0), lambda s, v: s + (v.cast("double") / F.col("m")) ** 2))
-    placed = held.withColumn("m", top_part).withColumn("norm", norm).withColumn(
+    placed = held.withColumn("norm", norm_of(F.col("embedding"))).withColumn(
         "band", F.floor(F.log("norm") / float(np.log(BAND)) + 0.25).cast("int"))
     sizes = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"),
                                        F.min("norm").alias("least")).orderBy("band").collect()
@@ -233,6 +231,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     asked = asked.where(F.size("embedding") == common.n).distinct()
     codes = materialize(hashed(placed.select("id", "embedding", "band"), 1).union(
         hashed(asked.withColumnRenamed("vec_id", "id"), 0)), "codes")
+    found = _found(codes, held, top, dtype)
+    if not bands:
+        return found
+    found = materialize(found, "found")
+    everywhere = lambda df: df.withColumn("codes", F.array(F.lit(0).cast("long")))
+    whole_table = everywhere(codes.where("kind = 1"))
+    lengths = materialize(asked.select(F.col("vec_id").alias("id"), norm_of(F.col("embedding")).alias("norm"))
+                          .groupBy("id").agg(F.max("norm").alias("norm")), "asked")
+    tried = lengths.orderBy(F.xxhash64("id"), "id").limit(TRIED).select("id")
+    sample = materialize(_found(whole_table.union(everywhere(codes.where("kind = 0").join(
+        F.broadcast(tried), "id", "left_semi"))), held, top, dtype), "sample")
+    redo = materialize(_doubtful(found, sample, lengths, top), "doubtful")
+    if redo.isEmpty():
+        return found
+    again = _found(whole_table.union(everywhere(codes.where("kind = 0").join(redo, "id", "left_semi"))),
+                   held, top, dtype)
+    return found.join(redo, F.col("query_id") == F.col("id"), "left_anti").union(again)
+
+
+def _doubtful(found: DataFrame, sample: DataFrame, lengths: DataFrame, top: int) -> DataFrame:
+    """``id`` of the queries to search exactly.
+
+    These have fewer than ``top`` rows, or a worst kept score (by the query's length) that lies
+    far below the typical one or in the range where ``sample``, the exact result of some
+    queries, shows a recall under ``RECALL``.
+    """
+    worst = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
+    state = lengths.join(worst, F.col("id") == F.col("query_id"), "left").select(
+        "id", F.coalesce("n", F.lit(0)).alias("n"), (F.col("worst") / F.col("norm")).alias("worst"))
+    low, mid = state.agg(F.percentile_approx("worst", F.array(F.lit(0.25), F.lit(0.5)))).first()[0] or (0, 0)
+    hit = found.select("query_id", "vec_id", F.lit(1).alias("hit"))
+    tried = (sample.join(hit, ["query_id", "vec_id"], "left").groupBy("query_id")
+             .agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+             .join(state, F.col("query_id") == F.col("id")).where(F.col("worst").isNotNull())
+             .orderBy("worst").select("worst", "recall").collect())
+    bound = mid - 4 * (mid - low)
+    for at, row in enumerate(tried):
+        # the worst scores first: all up to the last start whose queries miss the recall
+        if np.mean([r.recall for r in tried[:at + 1]]) < RECALL:
+            bound = max(bound, tried[at + 1].worst if at + 1 < len(tried) else np.inf)
+    return state.where((F.col("n") < top) | (F.col("worst") < F.lit(float(bound)))).select("id")
+
+
+def _found(codes: DataFrame, held: DataFrame, top: int, dtype: str) -> DataFrame:
+    """Result rows of the queries among the vectors that share a key with them."""
+    spark = codes.sparkSession
     # the number of buckets bounds the rows of this table: tables times width ** hashes
     crowd = (codes.select("kind", F.explode("codes").alias("key")).groupBy("key").agg(
         F.ceil(F.count_if(F.col("kind") == 1) / VECTORS_IN_BLOCK).alias("parts"),
@@ -260,6 +304,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
             .where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"))
 
 
+def norm_of(x: Column) -> Column:
+    """Length of a vector, by its largest component, so that squares neither overflow nor vanish."""
+    most = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
+    return most * F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v.cast("double") / most) ** 2))
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))

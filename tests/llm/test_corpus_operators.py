@@ -581,6 +581,16 @@ def test_neighbours_of_uneven_lengths(spark, lengths):
     assert recall(spark, x, list(range(0, 12_000, 300))) > 0.9
 
 
+@pytest.mark.parametrize("n", [15, 12_000])
+def test_neighbours_of_isolated_queries_are_whole(spark, n):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 64))
+    if n > 20:  # all but the queries lie in one cone
+        x[40:] = 0.1 * x[40:] + np.eye(64)[0] * 3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x, list(range(min(n, 40)))) > (0.9 if n > 20 else 0.999)
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(i, [1.0, 0.0, 2.0]) for i in range(100, 160)]  # one common vector
