@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import (
+    byte_bpe,
+    divergence,
     licences,
     mixing,
     neighbours,
@@ -18,16 +20,18 @@ from murmur.llm import (
     suffix_dedup,
     token_counts,
     token_files,
+    whitening,
 )
-from murmur.llm.oracles import REPEATS
+from murmur.llm.oracles import DIVERGENCE, REPEATS
 from murmur.session import scratch_dir
 from murmur.sources.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op10_suffix_dedup": REPEATS}
+ORACLES: dict[str, str] = {"op10_suffix_dedup": REPEATS, "op13_divergence": DIVERGENCE}
 
 
 def query(fn):
@@ -108,3 +112,28 @@ def op9_packing(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return white.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"),
+                        "whitened", "explained", "identity_error")
+
+
+@query
+def op12_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    ranks = vocabulary(MULTI_BPE)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    ids = F.col("ids")
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
