@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.session import prepare
+from murmur.session import materialize, prepare, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,28 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             .parquet(sf_dir))
 
 
+def replay(rows: DataFrame, ts: str, late_seconds: int, batches: int = 4) -> DataFrame:
+    """Rows as a stream of ``batches`` files, each read by a batch of its own.
+
+    Every row arrives up to ``late_seconds`` after its event time (by a hash of it), so rows come
+    out of order within and across batches; a watermark of that lateness loses none.
+    """
+    spark = rows.sparkSession
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(late_seconds * 1_000_000))
+    arrived = materialize(rows.withColumn("__arrived", F.unix_micros(ts) + late), "arrivals")
+    first, last = arrived.agg(F.min("__arrived"), F.max("__arrived")).first()
+    path = scratch_dir(spark, "replay")
+    if first is not None:
+        width = (last - first) // batches + 1
+        batch = F.floor((F.col("__arrived") - first) / width)
+        for i in range(batches):
+            arrived.where(batch == i).drop("__arrived").coalesce(1).write.parquet(f"{path}/{i}")
+    else:
+        rows.write.parquet(f"{path}/0")
+    return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", True).parquet(path))
+
+
 def log_from(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.col("ts").cast("timestamp")

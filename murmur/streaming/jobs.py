@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import numeric
 from murmur.operators import enrich, sessions
 from murmur.session import scratch_dir
 from murmur.sources import logs
-from murmur.streaming.sinks import run_available
+from murmur.streaming.ordered import Job, finish, run_ordered
+from murmur.streaming.sinks import run_and_keep, run_available
 
 LATE = "2 hours"
 
@@ -80,6 +81,14 @@ def gap_sessions(turns: DataFrame, gap: str = "30 minutes", late: str = LATE,
                     F.col("w.end").alias("session_end"), "turns"))
 
 
+def open_gap_sessions(spark: SparkSession, checkpoint: str, key: str = "user") -> DataFrame:
+    """Sessions of ``gap_sessions`` that the watermark has not closed, from the job's state."""
+    held = spark.read.format("statestore").load(checkpoint)
+    window = "value.session_window"
+    return held.select(F.col(f"value.{key}").alias(key), F.col(f"{window}.start").alias("session_start"),
+                       F.col(f"{window}.end").alias("session_end"), F.col("value.count").alias("turns"))
+
+
 def usage_parts(calls: DataFrame, late: str = LATE, window: str = "1 day") -> DataFrame:
     """Tokens and cost of each session in each window (update mode)."""
     return (calls.withWatermark("ts", late)
@@ -127,3 +136,15 @@ def dedupe(rows: DataFrame, key: str = "row_id", late: str = LATE) -> DataFrame:
 
 def run(frame: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return run_available(frame, label, mode)
+
+
+def run_to_end(events: DataFrame, job: Job, label: str, late: str) -> DataFrame:
+    """All output of an ordered job, what waits at the end of the input included."""
+    rows, checkpoint = run_and_keep(run_ordered(events, job, late), label)
+    return rows.drop("batch_id").unionByName(finish(events, job, checkpoint))
+
+
+def whole_gap_sessions(turns: DataFrame) -> DataFrame:
+    """Closed sessions and those still open at the end of the input."""
+    closed, checkpoint = run_and_keep(gap_sessions(turns), "gap-sessions")
+    return closed.drop("batch_id").unionByName(open_gap_sessions(turns.sparkSession, checkpoint))

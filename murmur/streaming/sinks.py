@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 from murmur.session import scratch_dir
 
@@ -23,15 +24,19 @@ def write_batches(frame: DataFrame, path: str):
     return frame.writeStream.foreachBatch(write)
 
 
-def run_available(frame: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Process all input that is there now; returns the written rows with their batch."""
+def run_and_keep(frame: DataFrame, label: str, mode: str = "append") -> tuple[DataFrame, str]:
+    """Process all input that is there now; the written rows with their batch, and the checkpoint."""
     spark = frame.sparkSession
     out, checkpoint = scratch_dir(spark, label), scratch_dir(spark, f"{label}-checkpoint")
     query = (write_batches(frame, out).outputMode(mode)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    schema = frame.schema.add("batch_id", "long")
-    return spark.read.schema(schema).parquet(out)
+    schema = StructType([*frame.schema.fields, StructField("batch_id", LongType())])
+    return spark.read.schema(schema).parquet(out), checkpoint
+
+
+def run_available(frame: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    return run_and_keep(frame, label, mode)[0]
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,71 +2,104 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from murmur.operators.enrich import TIER_RANKS, phrase_rank
-from murmur.streaming.sinks import use_rocksdb
+from murmur.streaming.ordered import MICROS, Job, Step, run_ordered
 
 OUT = ("session string, pos bigint, kind string, turn_index bigint, audience_tier string, "
        "is_owner boolean, user_message string, answer string")
-TIER_NAMES = list(TIER_RANKS)
+ROWS = "at bigint, pos bigint, kind string, text string, flag boolean, tier_rank int"
+TIER_NAMES = np.array(list(TIER_RANKS), dtype=object)
+
+
+def _latest(mark: np.ndarray, values: np.ndarray, before) -> np.ndarray:
+    """At each row, the value of the last marked row so far, ``before`` ahead of the first."""
+    at = np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1))
+    out = np.full(len(mark), before, dtype=object)
+    out[at >= 0] = values[at[at >= 0]]
+    return out
+
+
+def advance_session(carry: tuple, ready: pd.DataFrame, now: int | None) -> Step:
+    """Kinds: user, assistant, system; vote (goes to the last question and the last answer before
+    it); owner (sets the flag, the last writer wins)."""
+    if not len(ready):
+        return Step(pd.DataFrame(), carry, ready)
+    turns, tier, owner, said, answered = carry
+    kind, text = ready["kind"].to_numpy(), ready["text"].to_numpy()
+    user, vote = kind == "user", kind == "vote"
+    index = turns + np.cumsum(user)
+    ranks = ready["tier_rank"].map(lambda r: r or 0).to_numpy(np.int64)
+    tiers = np.maximum(tier, np.maximum.accumulate(np.where(user, ranks, 0)))
+    owners = _latest(kind == "owner", ready["flag"].map(bool).to_numpy(), owner)
+    said, answered = _latest(user, text, said), _latest(kind == "assistant", text, answered)
+    out = pd.DataFrame({
+        "pos": ready["pos"], "kind": kind, "turn_index": index, "audience_tier": TIER_NAMES[tiers],
+        "is_owner": owners.astype(bool), "user_message": np.where(vote, said, None),
+        "answer": np.where(vote, answered, None)})
+    last = (int(index[-1]), int(tiers[-1]), bool(owners[-1]), said[-1], answered[-1])
+    return Step(out, last, ready.iloc[:0])
+
+
+SESSION = Job("session", ROWS, ["pos", "kind"],
+              "turns bigint, tier int, owner boolean, said string, answered string",
+              (0, 0, False, None, None), OUT, advance_session)
+
 
+def session_events(events: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
+    """Events with the tier their phrases ask for; matching stays in the JVM."""
+    return events.withColumn("tier_rank", phrase_rank(F.col("text"), phrases))
 
-class SessionState(StatefulProcessor):
-    """One small record per session. Rows of a session in a micro-batch are taken in ``pos``
-    order; the size of a micro-batch is bounded by the source's own limits.
 
-    Kinds: user, assistant, system; vote (goes to the last question and the last answer before
-    it); owner (sets the flag, the last writer wins).
+def session_state(events: DataFrame, phrases: dict[str, list[str]], late: str,
+                  forget_hours: int | None = None) -> DataFrame:
+    """``events``: session, ts, pos, kind, text, flag, in any order up to ``late``.
+
+    Give ``forget_hours`` to jobs that run for good: sessions without rows for so long start anew.
     """
+    return run_ordered(session_events(events, phrases), SESSION, late, forget_hours)
+
+
+# --- flush by count or time -----------------------------------------------------------
+
+# A buffer is written at so many turns or after so much time.
+FLUSH_TURNS = 10
+FLUSH_SECONDS = 300
+# end of fixed values
 
-    def __init__(self, ttl_hours: int | None = None) -> None:
-        self._ttl = None if ttl_hours is None else ttl_hours * 3_600_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState(
-            "seen", "turns bigint, tier int, owner boolean, said string, answered string", self._ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        turns, tier, owner, said, answered = (self._seen.get() if self._seen.exists()
-                                              else (0, 0, False, None, None))
-        batch = pd.concat(list(rows)).sort_values(["pos", "kind"])
-        out = []
-        for pos, kind, text, rank, flag in zip(batch["pos"], batch["kind"], batch["text"],
-                                               batch["tier_rank"], batch["flag"]):
-            if kind == "owner":
-                owner = bool(flag)
-            if kind == "user":
-                turns, tier, said = turns + 1, max(tier, int(rank)), text
-            if kind == "assistant":
-                answered = text
-            voted = kind == "vote"
-            out.append((key[0], pos, kind, turns, TIER_NAMES[tier], owner,
-                        said if voted else None, answered if voted else None))
-        self._seen.update((turns, tier, owner, said, answered))
-        yield pd.DataFrame(out, columns=["session", "pos", "kind", "turn_index", "audience_tier",
-                                         "is_owner", "user_message", "answer"])
-
-    def close(self) -> None:
-        pass
-
-
-def session_state(events: DataFrame, phrases: dict[str, list[str]],
-                  ttl_hours: int | None = None) -> DataFrame:
-    """``events``: session, pos, kind, text, flag. Phrase matching stays in the JVM.
-
-    Give ``ttl_hours`` to jobs that run for good: idle sessions are then forgotten. A job
-    that stops at the end of its input must leave it out, since expiry by processing time
-    keeps the query ticking.
+
+def flush_job(turns: int = FLUSH_TURNS, seconds: int = FLUSH_SECONDS) -> Job:
+    """Buffers of a session's turns, written at the ``turns``-th or ``seconds`` after the first.
+
+    A row comes out when its buffer is written, with the number of the buffer and why: ``count``,
+    ``time``, or ``end`` for what the end of the input leaves open.
     """
-    use_rocksdb(events.sparkSession)
-    ranked = events.select("session", "pos", "kind", "text", "flag",
-                           phrase_rank(F.col("text"), phrases).alias("tier_rank"))
-    return ranked.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=SessionState(ttl_hours), outputStructType=OUT, outputMode="Append",
-        timeMode="None" if ttl_hours is None else "ProcessingTime")
+    def advance(carry: tuple, ready: pd.DataFrame, now: int | None) -> Step:
+        flushes = carry[0]
+        at = ready["at"].to_numpy(np.int64)
+        numbers, reasons = np.zeros(len(at), np.int64), np.full(len(at), None, object)
+        lo = 0
+        while lo < len(at):
+            due = at[lo] + seconds * MICROS
+            hi = min(lo + turns, int(np.searchsorted(at, due)))
+            if hi - lo == turns:
+                reason = "count"
+            elif hi < len(at) or (now is not None and now >= due):
+                reason = "time"
+            elif now is None:
+                reason = "end"
+            else:
+                break
+            flushes += 1
+            numbers[lo:hi], reasons[lo:hi] = flushes, reason
+            lo = hi
+        out = ready.iloc[:lo][["row_id"]].assign(flush=numbers[:lo], reason=reasons[:lo])
+        wake = int(at[lo]) + seconds * MICROS if lo < len(at) else None
+        return Step(out, (flushes,), ready.iloc[lo:], wake)
+
+    return Job("session", "at bigint, row_id bigint", ["row_id"], "flushes bigint", (0,),
+               "session string, row_id bigint, flush bigint, reason string", advance)
