@@ -124,8 +124,8 @@ def stream_daily_kpis(spark, sf):
 SELECT * FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * i AS window_start, {big('count(*)')} AS turns,
   100.0::DOUBLE * count_if(chunk_similarity_avg < 0.55) / count(*) AS gap_pct FROM chats CROSS JOIN range(12) r(i) GROUP BY 1) WHERE gap_pct > 20""")
 def stream_gap_alert(spark, sf):
-    return latest(jobs.run(jobs.gap_alert(_turns(spark, sf)), "alerts", "update"),
-                  ["window_start"])
+    windows = jobs.run(jobs.gap_windows(_turns(spark, sf)), "alerts", "update")
+    return jobs.gap_alerts(latest(windows, ["window_start"]))
 
 
 @query("stream_dedupe", with_(LOG) + "SELECT row_id, model FROM log")
@@ -147,7 +147,7 @@ def _events(spark, sf):
              .when(F.col("role") == "system", F.array(F.lit("owner")))
              .otherwise(F.array(F.col("role"))))
     rows = c.select(F.col("conv_id").cast("string").alias("session"),
-                    F.timestamp_seconds(F.col("conv_id") * 300 + F.col("turn") * 60).alias("ts"),
+                    F.timestamp_seconds(FIRST_DAY // 1_000_000 + F.col("conv_id") * 300 + F.col("turn") * 60).alias("ts"),
                     F.col("turn").alias("pos"), F.explode(kinds).alias("kind"), "text",
                     (F.length("text") % 2 == 0).alias("flag"))
     return state.session_events(tables.replay(rows, "ts", 3600), PHRASES)

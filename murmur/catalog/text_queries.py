@@ -542,19 +542,17 @@ def workflow_label(spark, sf):
 
 
 @query("prompt_reference_block", with_(CATALOGUE) + """
-SELECT project_id, concat_ws(chr(10), concat('[WALKTHROUGH PROJECT: ', title, ']'), concat('Summary: ', summary),
-  CASE WHEN design_insight <> '' THEN concat('What makes it distinctive: ', design_insight) END,
-  concat('Walkthrough notes: ', walkthrough_context),
-  concat('Project links (use these exact URLs only, do not modify or invent others):', chr(10), '  - demo: ', demo),
-  CASE WHEN post_title IS NOT NULL THEN concat('Related writing (link when visitors want the story behind the project):',
-    chr(10), '  - "', post_title, '": ', post_url) END) AS block FROM cat""")
+SELECT project_id, concat_ws(chr(10), concat('Project: ', title), concat('In short: ', summary),
+  CASE WHEN design_insight <> '' THEN concat('Design idea: ', design_insight) END,
+  concat('Notes: ', walkthrough_context), concat('Links:', chr(10), '- demo <', demo, '>'),
+  CASE WHEN post_title IS NOT NULL THEN concat('Articles:', chr(10), '- ', post_title, ' <', post_url, '>') END) AS block FROM cat""")
 def prompt_reference_block(spark, sf):
     return projects.reference_block(tables.catalogue(spark, sf))
 
 
 @query("composite_text", with_(CATALOGUE) + """
 SELECT project_id, title, "order", concat_ws(chr(10) || chr(10), concat(title, ': ', summary),
-  CASE WHEN design_insight <> '' THEN concat('What makes it distinctive: ', design_insight) END,
-  walkthrough_context, concat('Tags: ', array_to_string(tags, ', '))) AS full_text FROM cat WHERE walkthrough_context <> ''""")
+  CASE WHEN design_insight <> '' THEN concat('Design idea: ', design_insight) END,
+  walkthrough_context, concat('Topics: ', array_to_string(tags, ', '))) AS full_text FROM cat WHERE walkthrough_context <> ''""")
 def composite_text(spark, sf):
     return projects.composite_text(tables.catalogue(spark, sf))

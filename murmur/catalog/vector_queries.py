@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from murmur.catalog.registry import query
 from murmur.catalog.sqlparts import (COS_ORDER, DOCS, L2_ORDER, L2_SCORE, LOG, SECTIONS, SIGNALS,
                                      big, rerank_cte, topk_cte, with_)
-from murmur.operators import vectors
+from murmur.operators import inverted, vectors
 from murmur.sources import tables
 
 BASE = (DOCS, SECTIONS)
@@ -215,39 +215,40 @@ def weight_sweep(spark, sf):
                                        "earlier": vectors.EARLIER_WEIGHTS}, "current")
 
 
-CELLS = """
-piv AS (SELECT * FROM (SELECT e AS c, row_number() OVER (ORDER BY md5(CAST(section_id AS VARCHAR)), section_id) - 1 AS cell FROM sec) WHERE cell < 16),
-own AS (SELECT section_id, arg_min(cell, list_dot_product(c, c) / 2 - list_dot_product(e, c)) AS cell FROM sec CROSS JOIN piv GROUP BY 1),
-probe AS (SELECT query_id, cell FROM (SELECT query_id, cell, row_number() OVER (
-  PARTITION BY query_id ORDER BY list_dot_product(c, c) / 2 - list_dot_product(qe, c), cell) AS r FROM q CROSS JOIN piv) WHERE r <= 8),
-near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), section_id) AS INT) AS rank
-  FROM pairs JOIN own USING (section_id) JOIN probe USING (query_id, cell) WHERE tr <= qr)
-"""
+def _trained(spark, sf, metric="l2"):
+    sections, queries = _inputs(spark, sf)
+    return inverted.train_cells(sections, queries, metric), sections, queries
 
 
-@query("approx_topk", with_(*BASE, CELLS) + f"""
-SELECT query_id, rank, section_id, round({L2_SCORE}, 6) AS score FROM near WHERE rank <= 5""")
+@query("approx_topk")
 def approx_topk(spark, sf):
-    sections, queries = _inputs(spark, sf)
-    cells, centres = vectors.build_cells(sections, 16)
-    return _shown(vectors.approx_topk(sections, queries, cells, centres, n_probe=8))
+    """Trained cells; what k-means finds has no SQL, ``approx_recall`` holds it against the exact search."""
+    index, _, queries = _trained(spark, sf)
+    return _shown(inverted.approx_topk(index, queries))
 
 
 @query("approx_topk_all_cells", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr"))
        + "SELECT query_id, rank, section_id FROM top")
 def approx_topk_all_cells(spark, sf):
-    """Probing every cell must give the exact answer, also with split cells."""
-    sections, queries = _inputs(spark, sf)
-    cells, centres = vectors.build_cells(sections, 16)
-    return vectors.approx_topk(sections, queries, cells, centres, n_probe=16,
-                               split_rows=10).select("query_id", "rank", "section_id")
+    """Visiting every cell must give the exact answer."""
+    index, _, queries = _trained(spark, sf)
+    return inverted.approx_topk(index, queries, probes=len(index.centres)).select(
+        "query_id", "rank", "section_id")
 
 
-@query("approx_recall", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr"), CELLS) + f"""
-SELECT {big('count(*)')} AS exact_hits, {big('count(n.rank)')} AS found, count(n.rank) / count(*) AS recall
-FROM top t LEFT JOIN (SELECT query_id, section_id, rank FROM near WHERE rank <= 5) n USING (query_id, section_id)""")
+@query("bounded_topk", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr")) + f"""
+SELECT query_id, rank, section_id, round({L2_SCORE}, 6) AS score FROM top""")
+def bounded_topk(spark, sf):
+    """The radii of the cells make the answer of the nearest ones exact."""
+    index, _, queries = _trained(spark, sf)
+    return _shown(inverted.bounded_topk(index, queries))
+
+
+@query("approx_recall", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr")) + f"""
+SELECT {big('count(*)')} AS exact_hits, true AS reached, true AS quarter FROM top""")
 def approx_recall(spark, sf):
-    sections, queries = _inputs(spark, sf)
-    cells, centres = vectors.build_cells(sections, 16)
-    return vectors.recall(vectors.vector_topk(sections, queries),
-                          vectors.approx_topk(sections, queries, cells, centres, n_probe=8))
+    """Whether at least 0.95 of the exact hits are found in at most a quarter of the cells."""
+    index, sections, queries = _trained(spark, sf)
+    share = inverted.recall(vectors.vector_topk(sections, queries), inverted.approx_topk(index, queries))
+    return share.select("exact_hits", (F.col("recall") >= inverted.TARGET).alias("reached"),
+                        F.lit(4 * index.probes <= len(index.centres)).alias("quarter"))

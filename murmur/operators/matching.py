@@ -1,57 +1,113 @@
-"""Which terms occur in which texts, without pairing every text with every term."""
+"""Which of many terms occur in which texts, without pairing texts with terms.
+
+Terms are cut into blocks of bounded size. A block becomes one automaton that finds all of its terms
+in a single pass over a text; the texts are scanned once for each block, in place, so neither texts
+nor pairs are shuffled. Nearly every list is one block.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.scale import small_rows
+from murmur.session import materialize
+
+BLOCK_BYTES = 8 << 20  # of terms and what belongs to them; the driver holds one block at a time
+
+
+class Automaton:
+    """All occurrences of some distinct, non-empty terms in one pass over a text."""
+
+    def __init__(self, terms: list[str]):
+        import ahocorasick
+
+        self.terms = terms
+        self._trie = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            self._trie.add_word(term, i)
+        if terms:
+            self._trie.make_automaton()
+
+    def found(self, text: str | None) -> list[int]:
+        """Numbers of the terms that occur, each once."""
+        if not text or not self.terms:
+            return []
+        return list({i for _, i in self._trie.iter(text)})
+
+    def ends(self, text: str | None) -> dict[int, tuple[int, int]]:
+        """First and last position where each term ends."""
+        out: dict[int, tuple[int, int]] = {}
+        if text and self.terms:
+            for at, i in self._trie.iter(text):
+                out[i] = (out[i][0] if i in out else at, at)
+        return out
+
+
+_built: dict[str, object] = {}
+
 
-GRAM = 4
-INLINE_TERMS = 512
+def _once(key: str, build: Callable):
+    """What a worker builds from a block, kept while tasks of the same scan run."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = build()
+    return _built[key]
+
+
+def blocks(listed: DataFrame, limit: int | None = None) -> Iterator[list]:
+    """Rows of ``listed`` in blocks of bounded size; their ``__bytes`` column gives the size."""
+    block, size = [], 0
+    for row in listed.toLocalIterator():
+        if block and size + row["__bytes"] > (limit or BLOCK_BYTES):
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += row["__bytes"]
+    if block:
+        yield block
+
+
+def scan(texts: DataFrame, listed: DataFrame, build: Callable, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(built, batch)`` over all texts, for what ``build`` makes of each block."""
+    spark = texts.sparkSession
+
+    def one(block: list) -> DataFrame:
+        shared, key = spark.sparkContext.broadcast([r.asDict(recursive=True) for r in block]), uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            built = _once(key, lambda: build(shared.value))
+            for batch in batches:
+                if len(batch):
+                    yield kernel(built, batch)
+
+        return texts.mapInPandas(run, schema)
+
+    parts, ahead = [], None
+    for block in blocks(listed):
+        if ahead is not None:
+            parts.append(materialize(one(ahead), "matches"))
+        ahead = block
+    if ahead is None:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [*parts, one(ahead)])
 
 
 def term_hits(texts: DataFrame, text_id: str, text_col: str, terms: DataFrame,
-              term_col: str = "term", inline_limit: int = INLINE_TERMS) -> DataFrame:
-    """(text_id, term) for every distinct lower-cased term that is a substring of the text.
-
-    A short term list is folded into the scan of the texts as a literal array. A longer
-    one goes through an equi-join on character grams, then the containment is verified.
-    """
-    listed = (terms.select(F.lower(F.col(term_col)).alias("term"))
-              .where(F.length("term") > 0).distinct())
-    low = texts.select(F.col(text_id), F.lower(F.col(text_col)).alias("__low"))
-    few = small_rows(listed, inline_limit)
-    if few is not None:
-        if not few:
-            return low.select(text_id, F.lit("").alias("term")).where(F.lit(False))
-        values = F.array(*[F.lit(r["term"]) for r in sorted(few)])
-        found = F.filter(values, lambda t: F.contains(F.col("__low"), t))
-        return low.select(text_id, F.explode(found).alias("term"))
-    return _gram_hits(low, text_id, listed)
-
-
-def _grams(size: int):
-    """Distinct substrings of one length."""
-    last = F.length("__low") - (size - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(
-        starts, lambda i: F.substring(F.col("__low"), i, F.lit(size))))
-
-
-def _gram_hits(low: DataFrame, text_id: str, listed: DataFrame) -> DataFrame:
-    """Every term is looked up by its first gram (the whole term when it is shorter)."""
-    keyed = listed.withColumn("__len", F.least(F.length("term"), F.lit(GRAM))).withColumn(
-        "__gram", F.expr("substring(term, 1, __len)"))
-    parts = []
-    for size in range(1, GRAM + 1):
-        wanted = keyed.where(F.col("__len") == size)
-        parts.append(low.select(text_id, F.explode(_grams(size)).alias("__gram"))
-                     .join(wanted.select("__gram", "term"), "__gram")
-                     .select(text_id, "term"))
-    pairs = reduce(lambda a, b: a.unionByName(b), parts)
-    return (pairs.join(low, text_id)
-            .where(F.contains(F.col("__low"), F.col("term"))).select(text_id, "term"))
+              term_col: str = "term") -> DataFrame:
+    """(text_id, term) for every distinct lower-cased term that is a substring of the text."""
+    listed = (terms.select(F.lower(F.col(term_col)).alias("term")).where(F.length("term") > 0).distinct()
+              .withColumn("__bytes", F.octet_length("term") + 64))
+    low = texts.select(F.col(text_id).alias("id"), F.lower(F.col(text_col)).alias("low"))
+
+    def kernel(built: Automaton, batch: pd.DataFrame) -> pd.DataFrame:
+        out = [(key, built.terms[i]) for key, text in zip(batch["id"], batch["low"]) for i in built.found(text)]
+        return pd.DataFrame(out, columns=["id", "term"])
+
+    kind = texts.schema[text_id].dataType.simpleString()
+    return scan(low, listed, lambda rows: Automaton([r["term"] for r in rows]), kernel,
+                f"id {kind}, term string").withColumnRenamed("id", text_id)

@@ -1,4 +1,4 @@
-"""Nearest sections per query vector: exact, approximate, and re-ranked with graph signals.
+"""Nearest sections per query vector: exact, and re-ranked with graph signals.
 
 Exact search never forms a row per (query, section) pair. Query vectors go to every
 section partition when there are few enough of them to broadcast; otherwise sections
@@ -425,79 +425,3 @@ def weight_sweep(candidates: DataFrame, settings: dict[str, dict[str, float]],
             part = rank_compare(ranked[base], frame).withColumn("setting", F.lit(name))
             out = part if out is None else out.unionByName(part)
     return out
-
-
-# --- approximate search -----------------------------------------------------
-
-def choose_pivots(sections: DataFrame, n: int) -> DataFrame:
-    """A reproducible spread of sections to act as cell centres."""
-    return (sections.where(F.col("embedding").isNotNull())
-            .orderBy(F.md5(F.col("section_id").cast("string")), "section_id").limit(n)
-            .select(F.col("section_id").alias("cell"), F.col("embedding").alias("centre")))
-
-
-def _nearest_cells(df: DataFrame, key: str, centres: list, n: int) -> DataFrame:
-    """(key, cell) for the n cells closest to each row's vector; a cell is its centre's number."""
-    shared = df.sparkSession.sparkContext.broadcast([list(r["centre"]) for r in centres])
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, cell bigint"
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = np.asarray(shared.value, dtype=np.float64)
-        half = np.square(matrix).sum(1) / 2.0
-        for batch in batches:
-            if len(batch) and len(matrix):
-                gap = half[None, :] - _as_matrix(batch["embedding"]) @ matrix.T
-                near = np.argsort(gap, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), near.shape[1]),
-                                    "cell": near.ravel()})
-
-    return df.select(key, "embedding").mapInPandas(assign, schema)
-
-
-def build_cells(sections: DataFrame, n_cells: int = 256) -> tuple[DataFrame, list]:
-    """(section_id → cell, centres). Write the table partitioned by cell to reuse it."""
-    centres = choose_pivots(sections, n_cells).collect()
-    return _nearest_cells(sections.where(F.col("embedding").isNotNull()), "section_id",
-                          centres, 1), centres
-
-
-def approx_topk(sections: DataFrame, queries: DataFrame, cells: DataFrame, centres: list,
-                n_probe: int = 8, metric: str = "l2", split_rows: int = 100_000) -> DataFrame:
-    """k nearest among the sections of each query's closest cells.
-
-    Crowded cells are split by a salt and the probes of such a cell are copied to every
-    part, so a cell with a third of the sections is many tasks.
-    """
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("__n")).withColumn(
-        "__parts", F.ceil(F.col("__n") / split_rows).cast("int"))
-    probes = (_nearest_cells(queries, "query_id", centres, n_probe).join(sizes, "cell")
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-              .join(queries.select("query_id", F.col("embedding").alias("q"), "tier", "k"),
-                    "query_id"))
-    placed = (sections.where(F.col("embedding").isNotNull())
-              .select("section_id", F.col("embedding").alias("s"), "sensitivity")
-              .join(cells, "section_id").join(sizes.select("cell", "__parts"), "cell")
-              .withColumn("salt", F.pmod(F.xxhash64("section_id"), F.col("__parts")).cast("int")))
-    pairs = probes.join(placed.drop("__parts"), ["cell", "salt"]).where(
-        tier_allows(F.col("sensitivity"), F.col("tier")))
-    if metric == "l2":
-        distance = F.sqrt(F.expr("aggregate(zip_with(q, s, (x, y) -> (cast(x as double) - y) * "
-                                 "(cast(x as double) - y)), 0D, (a, v) -> a + v)"))
-    else:
-        distance = 1.0 - numeric.cosine("q", "s")
-    hits = pairs.select("query_id", "cell", "salt", "section_id", "k", distance.alias("distance"))
-    # Best k inside each part of a cell first: no more than that leaves the task of the join.
-    inside = Window.partitionBy("cell", "salt", "query_id").orderBy(
-        F.round("distance", DIGITS), "section_id")
-    best = hits.withColumn("__r", F.row_number().over(inside)).where(F.col("__r") <= F.col("k"))
-    out = _ranked(best, F.col("k"), F.round("distance", DIGITS), F.col("section_id"))
-    return out.select("query_id", "rank", "section_id", "distance",
-                      score_of(F.col("distance"), metric).alias("score"))
-
-
-def recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
-    """Share of the exact hits the approximate search found."""
-    hit = approx.select("query_id", "section_id").withColumn("__hit", F.lit(1))
-    return exact.join(hit, ["query_id", "section_id"], "left").agg(
-        F.count(F.lit(1)).alias("exact_hits"), F.count("__hit").alias("found")).withColumn(
-        "recall", F.col("found") / F.col("exact_hits"))

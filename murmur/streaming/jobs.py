@@ -118,17 +118,22 @@ def merge_daily(parts: DataFrame, zone: str = "America/Chicago") -> DataFrame:
         *[F.sum(c).alias(c) for c in ("turns", "errors", "gaps")])
 
 
-def gap_alert(turns: DataFrame, late: str = LATE, length: str = "1 hour",
-              slide: str = "5 minutes") -> DataFrame:
-    """Sliding windows whose gap share is above the alert level."""
+def gap_windows(turns: DataFrame, late: str = LATE, length: str = "1 hour",
+                slide: str = "5 minutes") -> DataFrame:
+    """Turns and gap share of sliding windows (update mode)."""
     pct = 100.0 * F.count_if(F.col("chunk_similarity_avg") < numeric.GAP_SIMILARITY) / F.count(
         F.lit(1))
     return (turns.withWatermark("ts", late).groupBy(F.window("ts", length, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("turns"), pct.alias("gap_pct"))
-            .where(F.col("gap_pct") > enrich.ALERT_GAP_PCT)
             .select(F.col("w.start").alias("window_start"), "turns", "gap_pct"))
 
 
+def gap_alerts(windows: DataFrame) -> DataFrame:
+    """Windows above the alert level. Later turns may take a window out again, so this comes after
+    ``latest``."""
+    return windows.where(F.col("gap_pct") > enrich.ALERT_GAP_PCT)
+
+
 def dedupe(rows: DataFrame, key: str = "row_id", late: str = LATE) -> DataFrame:
     """First copy of every event id within the watermark."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])

@@ -1,27 +1,31 @@
 """Matching, ranking and similarity against brute force on small random data."""
 
+import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from murmur.operators import evals, graph, matching, projects, vectors
+from murmur.operators import evals, graph, inverted, matching, projects, vectors
 
 rng = random.Random(3)
 
 
-def test_gram_path_equals_inline_path(spark):
-    texts = ["".join(rng.choice("abc d") for _ in range(rng.randint(0, 60))) for _ in range(80)]
-    terms = ["".join(rng.choice("abc d") for _ in range(rng.randint(1, 7))) for _ in range(40)] + ["A B"]
+def test_terms_in_one_block_or_many(spark, monkeypatch):
+    texts = ["".join(rng.choice("abc d") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None]
+    terms = ["".join(rng.choice("abc d") for _ in range(rng.randint(1, 7))) for _ in range(40)] + ["A B", "", None]
     t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     w = spark.createDataFrame([(x,) for x in terms], "term string")
-    want = {(i, x.lower()) for i, s in enumerate(texts) for x in terms if x.lower() in s}
-    for limit in (1000, 0):
-        got = {(r["id"], r["term"]) for r in
-               matching.term_hits(t, "id", "text", w, inline_limit=limit).collect()}
-        assert got == want
+    want = {(i, x.lower()) for i, s in enumerate(texts) for x in terms if x and s and x.lower() in s}
+    for size in (1 << 20, 500):
+        monkeypatch.setattr(matching, "BLOCK_BYTES", size)
+        got = [(r["id"], r["term"]) for r in matching.term_hits(t, "id", "text", w).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert matching.term_hits(t, "id", "text", w.where(F.lit(False))).collect() == []
 
 
 def vector_tables(spark, n=300, q=25, d=8):
@@ -52,13 +56,56 @@ def test_exact_search_both_paths(spark, monkeypatch):
     assert hits(vectors.vector_topk(s, q, broadcast_bytes=0)) == want
 
 
-def test_approximate_search(spark):
+def test_inverted_file_of_all_cells_is_exact(spark, monkeypatch):
     s, q, want = vector_tables(spark)
-    cells, centres = vectors.build_cells(s, 12)
-    assert hits(vectors.approx_topk(s, q, cells, centres, n_probe=12, split_rows=7)) == want
-    some = vectors.approx_topk(s, q, cells, centres, n_probe=6)
-    share = vectors.recall(vectors.vector_topk(s, q), some).collect()[0]["recall"]
-    assert share > 0.6
+    monkeypatch.setattr(inverted, "SHARD_ROWS", 7)  # crowded cells in several parts
+    index = inverted.train_cells(s, q, n_cells=12)
+    assert hits(inverted.approx_topk(index, q, probes=12)) == want
+    assert hits(inverted.bounded_topk(index, q)) == want
+    named = s.withColumn("section_id", F.format_string("s%05d", "section_id"))
+    monkeypatch.setattr(vectors, "TILE_BYTES", 4096)
+    index = inverted.train_cells(named, q, n_cells=12)
+    assert hits(inverted.approx_topk(index, q, probes=12)) == {(a, b, f"s{c:05d}") for a, b, c in want}
+
+
+def clustered(spark, n, clusters, d, seed):
+    g = np.random.default_rng(seed)
+    middle = g.normal(size=(clusters, d)) * 3
+    x = middle[np.where(g.random(n) < 0.35, 0, g.integers(0, clusters, n))] + g.normal(size=(n, d))
+    s = spark.createDataFrame([(i, v.tolist(), "public") for i, v in enumerate(x)],
+                              "section_id long, embedding array<double>, sensitivity string")
+    picks = x[g.permutation(n)[:160]] + 0.3 * g.normal(size=(160, d))
+    q = spark.createDataFrame([(i, v.tolist(), "public", 5) for i, v in enumerate(picks)],
+                              "query_id long, embedding array<double>, tier string, k int")
+    return s, q
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine_distance"])
+@pytest.mark.parametrize("clusters,d", [(1, 16), (20, 24)])
+def test_inverted_file_reaches_its_recall(spark, clusters, d, metric):
+    s, q = clustered(spark, 4000, clusters, d, clusters)
+    tune, other = q.where(F.col("query_id") < 80), q.where(F.col("query_id") >= 80)
+    index = inverted.train_cells(s, tune, metric)
+    assert len(index.centres) >= 500 and 4 * index.probes <= len(index.centres)
+    assert index.recall >= inverted.TARGET and index.sizes.sum() == 4000
+    exact = vectors.vector_topk(s, other, metric)
+    found = inverted.recall(exact, inverted.approx_topk(index, other, metric)).collect()[0]
+    assert found["exact_hits"] == 400 and found["recall"] >= inverted.TARGET
+    assert hits(inverted.bounded_topk(index, other, metric)) == hits(exact)
+
+
+def test_inverted_file_of_odd_tables(spark):
+    _, q, _ = vector_tables(spark)
+    schema = "section_id long, embedding array<double>, sensitivity string"
+    for rows, want in (([], 0), ([(1, None, "public")], 0), ([(1, [1.0] * 8, "public"), (2, None, "public")], 1),
+                       ([(i, [1.0] * 8, "public") for i in range(30)], 6)):
+        index = inverted.train_cells(spark.createDataFrame(rows, schema), q)
+        got = inverted.approx_topk(index, q).collect()
+        assert max([r["rank"] for r in got], default=0) == want
+        assert hits(inverted.bounded_topk(index, q)) == {(r["query_id"], r["rank"], r["section_id"]) for r in got}
+    none = q.where(F.lit(False))
+    index = inverted.train_cells(vector_tables(spark)[0], none)
+    assert inverted.approx_topk(index, none).collect() == []
 
 
 def test_rank_compare_of_itself_has_no_drift(spark):
@@ -125,6 +172,60 @@ def test_mention_scores(spark):
     assert best == {"a": "p1", "b": "p1"}
 
 
+def scores_by_definition(msg, cat):
+    out = {}
+    for m, body in msg:
+        low, words = (body or "").lower(), set(re.findall(r"\w+", (body or "").lower()))
+        for p, order, title, _, tags, kws in cat:
+            full = bool(title) and title.lower() in low
+            named = {w for w in re.findall(r"\w+", (title or "").lower()) if len(w) >= 4}
+            score = (10 * sum(k.lower() in low for k in kws or [] if k) + (8 if full else 2 * len(named & words))
+                     + len(set(tags or []) & words))
+            if score > 0:
+                out[(m, p)] = (score, order)
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 20, 900])
+def test_projects_of_many_messages_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(matching, "BLOCK_BYTES", size)
+    g = random.Random(11)
+    words = ["common", "Stone", "river", "crop", "map", "the", "walk", "of", "ledger", "corn", "x1", "tide", "of"]
+    phrase = lambda lo, hi: " ".join(g.choice(words) for _ in range(g.randint(lo, hi)))
+    cat = [(f"p{i}", g.randint(0, 9), phrase(0, 3) if i else None, phrase(0, 6), ["common", *phrase(0, 2).split()],
+            [phrase(0, 2), phrase(1, 2)] if i % 5 else None) for i in range(40)]
+    cat = [(*c[:4], list(map(str.lower, c[4])), c[5]) for c in cat]
+    msg = [(f"m{i}", None if i == 3 else phrase(0, 7)) for i in range(120)]
+    c = spark.createDataFrame(cat, "project_id string, order int, title string, summary string, "
+                                   "tags array<string>, mention_keywords array<string>")
+    m = spark.createDataFrame(msg, "message_id string, message string")
+    want = scores_by_definition(msg, cat)
+    got = {(r["message_id"], r["project_id"]): r["score"] for r in projects.mention_scores(m, c).collect()}
+    assert got == {k: s for k, (s, _) in want.items()}
+    best = {}
+    for (k, p), (score, order) in want.items():
+        if score >= projects.MENTION_THRESHOLD:
+            best.setdefault(k, []).append((-score, order, p))
+    found = {r["message_id"]: (-r["score"], r["project_id"]) for r in projects.find_mentioned(m, c).collect()}
+    assert found.keys() == best.keys()
+    assert all((s, p) in {(a, q) for a, o, q in best[k] if (a, o) == min(best[k])[:2]} for k, (s, p) in found.items())
+    chosen = {r["message_id"]: r for r in projects.walkthrough_select(m, c, F.lit(True)).collect()}
+    assert len(chosen) == len(msg)
+    ids = [p for _, p in sorted((o, p) for p, o, *_ in cat)]
+    for k, body in msg:
+        meaning = {w for w in re.findall(r"\w+", (body or "").lower()) if len(w) > 2} - set(projects.GENERIC_WORDS)
+        draw = lambda *parts: hashlib.md5("|".join(parts).encode()).hexdigest()
+        common = {p: len(meaning & set(re.findall(r"\w+", " ".join([(t or ""), s, *tags]).lower())))
+                  for p, _, t, s, tags, _ in cat}
+        if k in best:
+            assert chosen[k]["how"] == "mention" and chosen[k]["project_id"] == found[k][1]
+        elif len(meaning) >= 2 and max(common.values()):
+            top = min((-n, draw(k, p, "0"), p) for p, n in common.items() if n)
+            assert (chosen[k]["how"], chosen[k]["project_id"]) == ("overlap", top[2])
+        else:
+            assert (chosen[k]["how"], chosen[k]["project_id"]) == ("draw", ids[int(draw(k, "0")[:8], 16) % len(ids)])
+
+
 def test_relationship_status(spark):
     df = spark.createDataFrame([(1, 2, 3), (2, 1, 3), (3, 1, 1), (4, 0, 2)],
                                "q int, n_found int, n_expected int")
@@ -161,13 +262,3 @@ def test_exact_search_of_long_vectors(spark):
         near = sorted(range(200), key=lambda j: (round(float(np.linalg.norm(x[j] - x[i])), 9), j))
         want |= {(i, r + 1, j) for r, j in enumerate(near[:5])}
     assert hits(vectors.vector_topk(s, q)) == want
-
-
-def test_approximate_search_with_text_ids_and_small_tiles(spark, monkeypatch):
-    s, q, want = vector_tables(spark)
-    monkeypatch.setattr(vectors, "TILE_BYTES", 4096)
-    named = s.withColumn("section_id", F.format_string("s%05d", "section_id"))
-    cells, centres = vectors.build_cells(named, 12)
-    got = hits(vectors.approx_topk(named, q, cells, centres, n_probe=12, split_rows=50))
-    assert got == {(a, b, f"s{c:05d}") for a, b, c in want}
-    assert hits(vectors.vector_topk(s, q)) == want
