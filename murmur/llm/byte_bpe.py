@@ -34,6 +34,7 @@ LOOK = 2  # characters after a match that may decide about it
 WIDEN = 16
 CACHE_BYTES = 48 << 20
 CACHED_CHARS = 48
+DECODED_ROWS = 256  # in hand at a time
 LETTER, DIGIT, SPACE, OTHER = (ord(c) for c in "A0\t!")  # ASCII stand-ins of each class
 CODED = ("row long, doc_id long, no int, ids array<int>, head array<struct<pos: int, at: int>>, "
          "tail array<struct<pos: int, at: int>>")
@@ -54,12 +55,14 @@ def _encoding(pattern: str, ranks: dict[bytes, int]):
 def stand_ins() -> np.ndarray:
     """ASCII stand-in of every code point, by the classes the library's patterns use."""
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
     single = {bytes([b]): b for b in range(256)}
-    text = "".join(map(chr, points))
     for pattern, sign in ((r"\p{L}", LETTER), (r"\p{N}", DIGIT), (r"\s", SPACE)):
-        found = bytes(_encoding(pattern, single).encode_ordinary(text)).decode()
-        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = sign
+        library = _encoding(pattern, single)
+        for at in range(0, 0x110000, 0x800):  # in blocks, to stay small in memory
+            if not 0xD800 <= at < 0xE000:
+                text = "".join(map(chr, range(at, at + 0x800)))
+                found = bytes(library.encode_ordinary(text)).decode()
+                table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = sign
     table[:0x80] = np.arange(0x80)
     return table
 
@@ -259,7 +262,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes that the row's ``ids`` stand for; null ids count as none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_bytes(path)
-        for batch in batches:
+        for batch in (b.slice(at, DECODED_ROWS) for b in batches for at in range(0, b.num_rows, DECODED_ROWS)):
             rows = [b"".join(map(tokens.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid
                     else b"" for ids in batch.column("ids")]
             bounds = np.cumsum([0, *map(len, rows)])
