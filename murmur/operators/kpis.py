@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import numeric
 from murmur.operators import filters, sessions
-from murmur.scale import Quantile, exact_quantiles
+from murmur.scale import Quantile, counted_quantiles, grains
 
 GAP, SLOW, VERBOSE = numeric.GAP_SIMILARITY, numeric.SLOW_MS, numeric.VERBOSE_CHARS
 
@@ -20,31 +20,50 @@ def _beside(*one_row_frames: DataFrame) -> DataFrame:
     return out.drop("__one")
 
 
-def _session_sizes_stats(sizes: DataFrame) -> DataFrame:
+def _session_sizes_stats(sizes: DataFrame, turns: str = "__c") -> DataFrame:
+    n = F.col(turns)
     return sizes.agg(
         F.count(F.lit(1)).alias("total_sessions"),
-        F.coalesce(F.sum("turns"), F.lit(0)).alias("__turns"),
-        F.count_if(F.col("turns") == 1).alias("one_turn_sessions"))
+        F.coalesce(F.sum(n), F.lit(0)).alias("__turns"),
+        F.count_if(n == 1).alias("one_turn_sessions"))
 
 
-def _median(df: DataFrame, column: str, name: str, width: float = 1024.0) -> DataFrame:
-    return exact_quantiles(df, column, [Quantile(name, 1, 2)], width=width).drop("n")
+def _sizes(sizes: DataFrame, turns: str = "__c") -> DataFrame:
+    """How many sessions have how many turns."""
+    return sizes.groupBy(F.col(turns).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def _quantiles(counts: dict[str, DataFrame], wanted: dict[str, list[Quantile]]) -> DataFrame:
+    """One row with the quantiles of several columns, from their counted values."""
+    both = None
+    for tag in wanted:
+        part = counts[tag].where(F.col("__v").isNotNull()).select(
+            F.lit(tag).alias("tag"), F.col("__v").cast("double").alias("__v"), "__c")
+        both = part if both is None else both.unionByName(part)
+    found = counted_quantiles(both, [q for part in wanted.values() for q in part], ("tag",))
+    return found.agg(*[F.max(F.when(F.col("tag") == tag, F.col(q.name))).alias(q.name)
+                       for tag, part in wanted.items() for q in part])
 
 
 def overall_kpis(turns: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """The 13 headline KPIs; a missing similarity counts in the gap denominator."""
-    sizes = (summary or sessions.session_sizes(turns)).select("session_id", "turns")
-    facts = turns.agg(
+    facts = [
         F.count(F.lit(1)).alias("total_chat_turns"),
         F.count_if("had_error").alias("had_error_turns"),
         F.count_if("empty_response").alias("empty_response_turns"),
         numeric.exact_mean(F.col("latency_ms")).alias("avg_latency_ms"),
         numeric.exact_mean(F.col("chunk_similarity_avg")).alias("avg_similarity"),
         F.count_if(F.col("chunk_similarity_avg") < GAP).alias("__gaps"),
-        F.coalesce(numeric.exact_sum(F.col("cost_usd")), F.lit(0.0)).alias("total_cost_usd"))
-    p95 = exact_quantiles(turns, "latency_ms", [Quantile("p95_latency_ms", 95, 100)]).drop("n")
-    wide = _beside(facts, _session_sizes_stats(sizes),
-                   _median(sizes, "turns", "median_turns_per_session"), p95)
+        F.coalesce(numeric.exact_sum(F.col("cost_usd")), F.lit(0.0)).alias("total_cost_usd")]
+    keys = {"latency": F.col("latency_ms")}
+    if summary is None:
+        keys["session"] = sessions.session_key()
+    parts = grains(turns, facts, keys)
+    sizes = parts["session"] if summary is None else summary.select(F.col("turns").alias("__c"))
+    parts["size"] = _sizes(sizes)
+    wide = _beside(parts[""], _session_sizes_stats(sizes), _quantiles(parts, {
+        "size": [Quantile("median_turns_per_session", 1, 2)],
+        "latency": [Quantile("p95_latency_ms", 95, 100)]}))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return wide.select(
         "total_chat_turns", "total_sessions",
@@ -63,7 +82,7 @@ def overall_kpis(turns: DataFrame, summary: DataFrame | None = None) -> DataFram
 
 def summary_stats(turns: DataFrame, votes: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Analyzer totals (default-fill profile); p95 is the exclusive quantile, null under 20 rows."""
-    facts = turns.agg(
+    facts = [
         F.count(F.lit(1)).alias("total_queries"),
         F.min_by("ts", F.struct("ts", "row_id")).alias("first_ts"),
         F.max_by("ts", F.struct("ts", "row_id")).alias("last_ts"),
@@ -78,15 +97,15 @@ def summary_stats(turns: DataFrame, votes: DataFrame, artifacts: DataFrame) -> D
         F.count_if("tool_called").alias("tool_calls"),
         F.count_if("had_error").alias("errors"),
         F.count_if(F.col("n_chunks_retrieved") == 0).alias("zero_retrieval"),
-        F.count_if("empty_response").alias("empty_responses"))
-    latency = exact_quantiles(turns, "latency_ms", [
-        Quantile("latency_median", 1, 2),
-        Quantile("latency_p95", 19, 20, "exclusive", min_rows=20)]).select(
-        F.floor("latency_median").alias("latency_median"),
-        F.floor("latency_p95").alias("latency_p95"))
-    chars = exact_quantiles(turns, "response_chars", [Quantile("m", 1, 2)]).select(
-        F.floor("m").alias("response_chars_median"))
-    similarity = _median(turns, "chunk_similarity_avg", "similarity_median", width=0.01)
+        F.count_if("empty_response").alias("empty_responses")]
+    parts = grains(turns, facts, {c: F.col(c) for c in ("latency_ms", "response_chars", "chunk_similarity_avg")})
+    middles = _quantiles(parts, {
+        "latency_ms": [Quantile("latency_median", 1, 2),
+                       Quantile("latency_p95", 19, 20, "exclusive", min_rows=20)],
+        "response_chars": [Quantile("response_chars_median", 1, 2)],
+        "chunk_similarity_avg": [Quantile("similarity_median", 1, 2)]})
+    middles = middles.withColumns({c: F.floor(c) for c in (
+        "latency_median", "latency_p95", "response_chars_median")})
     voted = votes.agg(
         F.count(F.lit(1)).alias("total_votes"),
         F.count_if(F.col("liked")).alias("likes"),
@@ -94,14 +113,13 @@ def summary_stats(turns: DataFrame, votes: DataFrame, artifacts: DataFrame) -> D
     odd = artifacts.agg(
         F.count(F.lit(1)).alias("artifacts_total"),
         F.count_if("is_owner_traffic").alias("artifacts_owner_marked"))
-    return _beside(facts, latency, chars, similarity, voted, odd).withColumn(
+    return _beside(parts[""], middles, voted, odd).withColumn(
         "satisfaction_rate", numeric.rate_pct(F.col("likes"), F.col("likes") + F.col("dislikes")))
 
 
 def engagement_summary(turns: DataFrame, votes: DataFrame) -> DataFrame:
     """Totals of the file report; turns must already be analysable."""
-    sizes = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
-    facts = turns.agg(
+    facts = [
         F.count(F.lit(1)).alias("total_chat_turns"),
         F.count_if("empty_response").alias("empty_responses"),
         F.count_if("had_error").alias("had_errors"),
@@ -109,10 +127,12 @@ def engagement_summary(turns: DataFrame, votes: DataFrame) -> DataFrame:
         numeric.exact_mean(F.col("chunk_similarity_avg")).alias("avg_chunk_similarity"),
         numeric.exact_mean(F.col("response_chars")).alias("avg_response_chars"),
         F.coalesce(numeric.exact_sum(F.col("cost_usd")), F.lit(0.0)).alias("total_cost_usd"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+    parts = grains(turns, facts, {"session": F.col("session_id")})
     voted = votes.agg(F.count(F.lit(1)).alias("total_vote_events"))
-    wide = _beside(facts, _session_sizes_stats(sizes),
-                   _median(sizes, "turns", "median_turns_per_session"), voted)
+    parts["size"] = _sizes(parts["session"])
+    wide = _beside(parts[""], _session_sizes_stats(parts["session"]), _quantiles(
+        parts, {"size": [Quantile("median_turns_per_session", 1, 2)]}), voted)
     per_session = F.col("__turns") / F.when(F.col("total_sessions") > 0, F.col("total_sessions"))
     return wide.select(
         "total_chat_turns", "total_sessions",
@@ -182,14 +202,15 @@ def reliability_counts(turns: DataFrame, malformed: DataFrame) -> DataFrame:
 
 def retrieval_health(turns: DataFrame) -> DataFrame:
     """Retrieval means; a missing similarity counts as 0 only for the last counter."""
-    facts = turns.agg(
+    facts = [
         numeric.exact_mean(F.col("n_chunks_retrieved")).alias("avg_chunks_retrieved"),
         numeric.exact_mean(F.col("chunk_similarity_avg")).alias("avg_similarity"),
         F.max("chunk_similarity_max").alias("max_similarity"),
         F.count_if(F.coalesce("n_chunks_retrieved", F.lit(0)) == 0).alias("zero_retrieval_rows"),
         F.count_if(F.coalesce("chunk_similarity_avg", F.lit(0.0)) < 0.10)
-        .alias("low_similarity_rows"))
-    return _beside(facts, _median(turns, "chunk_similarity_avg", "median_similarity", width=0.01))
+        .alias("low_similarity_rows")]
+    parts = grains(turns, facts, {"similarity": F.col("chunk_similarity_avg")})
+    return _beside(parts[""], _quantiles(parts, {"similarity": [Quantile("median_similarity", 1, 2)]}))
 
 
 def _grade(rate: Column, high: float, some: float) -> Column:
@@ -199,13 +220,15 @@ def _grade(rate: Column, high: float, some: float) -> Column:
 def health_rates(turns: DataFrame) -> DataFrame:
     """Rates over real sessions with their severity; thresholds 20/10, 10/5, 5/0, 60/40."""
     real = turns.where(F.trim(F.coalesce("session_id", F.lit(""))) != "")
-    sizes = real.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"))
-    facts = real.agg(
+    facts = [
         F.count(F.lit(1)).alias("turns_total"),
         F.count_if(F.col("chunk_similarity_avg") < GAP).alias("gaps"),
         F.count_if(F.col("latency_ms") > SLOW).alias("slow"),
-        F.count_if("had_error").alias("errors"))
-    wide = _beside(facts, _session_sizes_stats(sizes), _median(sizes, "turns", "median_turns"))
+        F.count_if("had_error").alias("errors")]
+    parts = grains(real, facts, {"session": F.col("session_id")})
+    parts["size"] = _sizes(parts["session"])
+    wide = _beside(parts[""], _session_sizes_stats(parts["session"]), _quantiles(
+        parts, {"size": [Quantile("median_turns", 1, 2)]}))
     n, s = F.col("turns_total"), F.col("total_sessions")
     rated = wide.select(
         numeric.rate_pct(F.col("gaps"), n).alias("gap_rate"),

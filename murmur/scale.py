@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.session import materialize
+
 
 @dataclass(frozen=True)
 class Running:
@@ -136,30 +138,42 @@ class Quantile:
     min_rows: int = 1
 
 
+SPLITTERS = 256  # value ranges of each key
+
+
 def exact_quantiles(df: DataFrame, value: str, wanted: list[Quantile],
-                    keys: tuple[str, ...] = (), width: float = 1024.0) -> DataFrame:
+                    keys: tuple[str, ...] = ()) -> DataFrame:
     """Exact quantiles without holding a column's values in one buffer.
 
-    Values are counted first (map-side combined), ranks are then accumulated
-    inside value buckets of ``width`` and offset by per-bucket totals.
+    Values are counted first (map-side combined), see ``counted_quantiles``.
     Returns ``keys``, ``n`` and one column per quantile.
     """
-    keys = list(keys)
     counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-              .withColumn("__b", F.floor(F.col("__v") / F.lit(width))))
-    totals = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    below = totals.select(
-        *keys, "__b",
-        F.coalesce(F.sum("__t").over(
-            per_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)).alias("__below"),
-        F.sum("__t").over(per_key).alias("n"))
-    local = (Window.partitionBy(*keys, "__b").orderBy("__v")
+              .groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    return counted_quantiles(counts, wanted, keys)
+
+
+def counted_quantiles(counts: DataFrame, wanted: list[Quantile], keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same from ``keys, __v, __c``: different values with their counts.
+
+    Each key's values are cut into ranges of about equally many different values, by splitters
+    drawn from the values themselves; ranks are accumulated inside a range and offset by the
+    totals of the ranges before it.
+    """
+    keys = list(keys)
+    cuts = F.percentile_approx("__v", [i / SPLITTERS for i in range(1, SPLITTERS)], 10 * SPLITTERS)
+    stats = counts.groupBy(*keys).agg(cuts.alias("__s"), F.sum("__c").alias("n"))
+    one = [] if keys else [F.lit(0).alias("__one")]
+    by = keys or ["__one"]
+    placed = _null_safe(counts.select("*", *one), stats.select("*", *one), by, "left").withColumn(
+        "__b", F.size(F.filter("__s", lambda s: s < F.col("__v")))).drop("__s")
+    totals = placed.groupBy(*by, "__b").agg(F.sum("__c").alias("__t"))
+    below = totals.select(*by, "__b", F.coalesce(F.sum("__t").over(
+        Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__below"))
+    local = (Window.partitionBy(*by, "__b").orderBy("__v")
              .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (_null_safe(counts.withColumn("__hi", F.sum("__c").over(local)), below,
-                         [*keys, "__b"], "left")
+    ranked = (_null_safe(placed.withColumn("__hi", F.sum("__c").over(local)), below, [*by, "__b"], "left")
               .withColumn("__hi", F.col("__hi") + F.col("__below"))
               .withColumn("__lo", F.col("__hi") - F.col("__c")))
 
@@ -192,6 +206,28 @@ def exact_quantiles(df: DataFrame, value: str, wanted: list[Quantile],
     return grouped.select(*keys, "n", *outputs)
 
 
+def grains(df: DataFrame, facts: list[Column], keys: dict[str, Column]) -> dict[str, DataFrame]:
+    """Aggregates at several grains by one scan and one exchange.
+
+    ``facts`` over the whole table come under ``""`` (one row); every name in ``keys`` gives
+    ``__v, __c``, its different values with their numbers of rows. What combines is written
+    once; it has a row for each different value, not for each row.
+    """
+    named = {f"__k{i}": c for i, c in enumerate(keys.values())}
+    # grouping sets read the key copies, so that facts may use the columns themselves
+    sets = [[], *[[k] for k in named]]
+    table = materialize(df.withColumns(named).groupingSets(sets, *named).agg(
+        F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("__c"), *facts), "grains")
+    every = (1 << len(named)) - 1
+    whole = table.where(F.col("__g") == every).drop("__g", "__c", *named)
+    # grouping sets give nothing for an empty table, plain aggregates a row
+    out = {"": df.where(F.lit(False)).agg(*facts) if table.isEmpty() else whole}
+    for i, (name, key) in enumerate(zip(keys, named)):
+        mine = every & ~(1 << (len(named) - 1 - i))
+        out[name] = table.where(F.col("__g") == mine).select(F.col(key).alias("__v"), "__c")
+    return out
+
+
 def small_rows(df: DataFrame, limit: int):
     """Rows of ``df`` when there are at most ``limit`` of them, else None.
 
