@@ -32,8 +32,8 @@ def vector_topk(spark, sf):
 @query("vector_topk_blocks", with_(*BASE, topk_cte("top", L2_ORDER, 5, "tr <= qr")) + f"""
 SELECT query_id, rank, section_id, round({L2_SCORE}, 6) AS score FROM top""")
 def vector_topk_blocks(spark, sf):
-    """The path taken when the query vectors are too many to broadcast."""
-    return _shown(vectors.vector_topk(*_inputs(spark, sf), broadcast_bytes=0))
+    """More query vectors than a block holds."""
+    return _shown(vectors.vector_topk(*_inputs(spark, sf), block_bytes=9_000))
 
 
 @query("vector_topk_cosine_distance", with_(*BASE, topk_cte("top", COS_ORDER, 5, "tr <= qr")) + """

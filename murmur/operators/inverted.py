@@ -50,8 +50,7 @@ class Cells:
     def scaled(self, matrix: np.ndarray) -> np.ndarray:
         if not self.unit:
             return matrix
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return matrix / np.where(norms > 0, norms, 1.0)
+        return vectors._units(matrix)
 
     def gaps(self, matrix: np.ndarray) -> np.ndarray:
         """Distance of every row to every centre."""
@@ -187,12 +186,10 @@ class _Probing(vectors._Queries):
                 out[at, lo:hi] = some.distances(block[lo:hi], metric)
         return out
 
-    def slices(self, rows: int) -> Iterator[tuple[int, vectors._Queries]]:
-        step = max(1, vectors.TILE_BYTES // (8 * max(rows, 1)))
-        for at in range(0, len(self.ids), step):
-            p = slice(at, at + step)
-            yield at, _Probing(self.ids[p], self.matrix[p], self.limits[p], self.ranks[p], self.looks[p],
-                               self.bounds, self.slots)
+    def take(self, at) -> vectors._Queries:
+        picked = np.arange(len(self.ids))[at]
+        return _Probing(self.ids[picked], self.matrix[picked], self.limits[picked], self.ranks[picked],
+                        [self.looks[i] for i in picked], self.bounds, self.slots)
 
 
 def _hits(index: Cells, probes: DataFrame, queries: DataFrame, metric: str) -> DataFrame:

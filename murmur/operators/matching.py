@@ -7,17 +7,15 @@ nor pairs are shuffled. Nearly every list is one block.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.session import materialize
+from murmur.scale import scan_blocks
 
-BLOCK_BYTES = 8 << 20  # of terms and what belongs to them; the driver holds one block at a time
+BLOCK_BYTES = 8 << 20  # of terms and what belongs to them
 
 
 class Automaton:
@@ -48,53 +46,15 @@ class Automaton:
         return out
 
 
-_built: dict[str, object] = {}
-
-
-def _once(key: str, build: Callable):
-    """What a worker builds from a block, kept while tasks of the same scan run."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = build()
-    return _built[key]
-
-
-def blocks(listed: DataFrame, limit: int | None = None) -> Iterator[list]:
-    """Rows of ``listed`` in blocks of bounded size; their ``__bytes`` column gives the size."""
-    block, size = [], 0
-    for row in listed.toLocalIterator():
-        if block and size + row["__bytes"] > (limit or BLOCK_BYTES):
-            yield block
-            block, size = [], 0
-        block.append(row)
-        size += row["__bytes"]
-    if block:
-        yield block
-
-
 def scan(texts: DataFrame, listed: DataFrame, build: Callable, kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(built, batch)`` over all texts, for what ``build`` makes of each block."""
-    spark = texts.sparkSession
-
-    def one(block: list) -> DataFrame:
-        shared, key = spark.sparkContext.broadcast([r.asDict(recursive=True) for r in block]), uuid.uuid4().hex
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            built = _once(key, lambda: build(shared.value))
-            for batch in batches:
-                if len(batch):
-                    yield kernel(built, batch)
-
-        return texts.mapInPandas(run, schema)
-
-    parts, ahead = [], None
-    for block in blocks(listed):
-        if ahead is not None:
-            parts.append(materialize(one(ahead), "matches"))
-        ahead = block
-    if ahead is None:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, [*parts, one(ahead)])
+    """``kernel(built, batch)`` over all texts, for what ``build`` makes of each block of terms."""
+    def batchwise(built, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield kernel(built, batch)
+
+    return scan_blocks(texts, listed, BLOCK_BYTES, lambda rows: [r.asDict(recursive=True) for r in rows],
+                       build, batchwise, schema)
 
 
 def term_hits(texts: DataFrame, text_id: str, text_col: str, terms: DataFrame,

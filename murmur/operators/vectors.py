@@ -1,9 +1,9 @@
 """Nearest sections per query vector: exact, and re-ranked with graph signals.
 
-Exact search never forms a row per (query, section) pair. Query vectors go to every
-section partition when there are few enough of them to broadcast; otherwise sections
-and queries are cut into blocks of bounded size and each block pair is one task. Either
-way a task multiplies two matrices and passes on only its best rows per query.
+Exact search never forms a row per (query, section) pair, and sections are never shuffled: they are
+scanned in place for each block of query vectors (of bounded size, nearly always one). A task
+multiplies matrices and passes on only its best rows per query; a batch of sections whose ball lies
+beyond a query's worst kept hit is skipped for that query.
 
 ``sections``: section_id, embedding, sensitivity. ``queries``: query_id, embedding, tier, k.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import numeric
 from murmur.operators.enrich import tier_allows, tier_rank
-from murmur.scale import small_rows
+from murmur.scale import scan_blocks
 from murmur.session import materialize
 
 # Over-fetch, re-ranking weights and caps, probe thresholds.
@@ -31,9 +31,7 @@ LONG_SECTION_CHARS = 2000
 PROBE_ROWS = 100
 # end of fixed values
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-QUERY_BLOCK = 2048
-SECTION_BLOCK = 65_536
+QUERY_BYTES = 32 * 1024 * 1024  # of a block of query vectors
 TILE_BYTES = 32 * 1024 * 1024
 DIGITS = 9
 METRICS = ("l2", "cosine", "cosine_distance")
@@ -58,18 +56,32 @@ class _Queries:
         norms = np.linalg.norm(self.matrix, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None]
         return 1.0 - dots / np.where(norms > 0, norms, 1.0)
 
-    def slices(self, rows: int) -> Iterator[tuple[int, "_Queries"]]:
-        """Parts of the queries whose distances to ``rows`` vectors fit into TILE_BYTES."""
-        step = max(1, TILE_BYTES // (8 * max(rows, 1)))
-        for at in range(0, len(self.ids), step):
-            part = slice(at, at + step)
-            yield at, _Queries(self.ids[part], self.matrix[part], self.limits[part],
-                               self.ranks[part])
+    def take(self, at) -> "_Queries":
+        return _Queries(self.ids[at], self.matrix[at], self.limits[at], self.ranks[at])
+
+    def reach(self, block: np.ndarray, metric: str, worst: np.ndarray) -> np.ndarray:
+        """Queries to which a vector of the block may be nearer than their ``worst`` kept hit.
+
+        No vector is nearer than the block's centre less its radius.
+        """
+        if not np.isfinite(worst).any():
+            return np.arange(len(self.ids))
+        mine, theirs = self.matrix, block
+        if metric != "l2":
+            mine, theirs = _units(mine), _units(theirs)
+        centre = theirs.mean(0)
+        radius = np.sqrt(np.square(theirs - centre).sum(1).max())
+        gap = np.sqrt(np.square(mine - centre).sum(1))
+        least = np.maximum(gap - radius - 1e-6 * (1 + gap + radius), 0)
+        if metric != "l2":
+            least = np.square(least) / 2 - 1e-6
+        return np.flatnonzero(least <= worst)
 
     def nearest(self, ids: np.ndarray, block: np.ndarray, ranks: np.ndarray, metric: str):
         """Best (query row, vector row, distance) among one block; ties by id."""
-        for at, part in self.slices(len(block)):
-            for i, rows, distances in part._nearest(ids, block, ranks, metric):
+        step = max(1, TILE_BYTES // (8 * max(len(block), 1)))
+        for at in range(0, len(self.ids), step):
+            for i, rows, distances in self.take(slice(at, at + step))._nearest(ids, block, ranks, metric):
                 yield at + i, rows, distances
 
     def _nearest(self, ids: np.ndarray, block: np.ndarray, ranks: np.ndarray, metric: str):
@@ -96,6 +108,11 @@ class _Queries:
             yield i, usable[order], exact[order]
 
 
+def _units(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms > 0, norms, 1.0)
+
+
 def _as_matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
@@ -121,17 +138,23 @@ def _frame(queries: _Queries, best: dict) -> pd.DataFrame:
 
 def _search(batches: Iterator[pd.DataFrame], queries: _Queries, metric: str) -> pd.DataFrame:
     best: dict = {}
+    worst = np.full(len(queries.ids), np.inf)
     for batch in batches:
-        if len(batch):
-            ids = batch["section_id"].to_numpy()
-            ranks = batch["tier_rank"].to_numpy(dtype=np.int64)
-            for q, at, dist in queries.nearest(ids, _as_matrix(batch["embedding"]), ranks, metric):
-                _merge(best, q, ids[at], dist, int(queries.limits[q]))
+        if not len(batch):
+            continue
+        ids, block = batch["section_id"].to_numpy(), _as_matrix(batch["embedding"])
+        ranks = batch["tier_rank"].to_numpy(dtype=np.int64)
+        near = queries.reach(block, metric, worst)
+        for i, at, dist in queries.take(near).nearest(ids, block, ranks, metric):
+            q = int(near[i])
+            _merge(best, q, ids[at], dist, int(queries.limits[q]))
+            if len(best[q][1]) == queries.limits[q]:
+                worst[q] = best[q][1][-1] + 10.0 ** -DIGITS
     return _frame(queries, best)
 
 
 def _candidates(sections: DataFrame, queries: DataFrame, metric: str, tier_filter: bool,
-                factor: int, broadcast_bytes: int) -> DataFrame:
+                factor: int, block_bytes: int) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     kernel_metric = "l2" if metric == "l2" else "cosine"
@@ -139,47 +162,20 @@ def _candidates(sections: DataFrame, queries: DataFrame, metric: str, tier_filte
     s = (sections.where(F.col("embedding").isNotNull())
          .select("section_id", "embedding", rank.alias("tier_rank")))
     visitor = tier_rank(F.col("tier")) if tier_filter else F.lit(0)
-    q = queries.select("query_id", "embedding", (F.col("k") * factor).cast("int").alias("limit"),
-                       visitor.alias("visitor_rank"))
+    q = queries.where(F.col("embedding").isNotNull()).select(
+        "query_id", "embedding", (F.col("k") * factor).cast("int").alias("limit"),
+        visitor.alias("visitor_rank"), (8 * F.size("embedding") + 64).alias("__bytes"))
     schema = HITS.format(q=queries.schema["query_id"].dataType.simpleString(),
                          s=sections.schema["section_id"].dataType.simpleString())
-    head = q.select(F.size("embedding").alias("d")).limit(1).collect()
-    dim = head[0]["d"] if head else 1
-    few = small_rows(q, max(1, broadcast_bytes // (8 * max(dim, 1))))
-    if few is not None:
-        shared = queries.sparkSession.sparkContext.broadcast([
-            [r["query_id"] for r in few], [list(r["embedding"]) for r in few],
-            [r["limit"] for r in few], [r["visitor_rank"] for r in few]])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if shared.value[0]:
-                yield _search(batches, _Queries(*shared.value), kernel_metric)
-
-        return s.mapInPandas(scan, schema)
-    return _block_search(s, q, kernel_metric, schema)
-
-
-def _block_search(s: DataFrame, q: DataFrame, metric: str, schema: str) -> DataFrame:
-    """All block pairs, each with at most about SECTION_BLOCK × QUERY_BLOCK rows."""
-    n_q = -(-q.count() // QUERY_BLOCK)
-    n_s = max(1, -(-s.count() // SECTION_BLOCK))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = s.withColumn("sb", block("section_id", n_s)).withColumn("qb", every(n_q))
-    right = (q.withColumn("qb", block("query_id", n_q)).withColumn("sb", every(n_s))
-             .withColumn("sb", F.col("sb").cast("bigint")))
-    left = left.withColumn("qb", F.col("qb").cast("bigint"))
-
-    def pair(sections: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(sections) or not len(queries):
-            return pd.DataFrame({"query_id": queries["query_id"][:0], "wanted": [],
-                                 "section_id": sections["section_id"][:0], "distance": []})
-        found = _Queries(queries["query_id"], _as_matrix(queries["embedding"]),
-                         queries["limit"], queries["visitor_rank"])
-        return _search(iter([sections]), found, metric)
-
-    return (left.groupBy("sb", "qb").cogroup(right.groupBy("sb", "qb"))
-            .applyInPandas(pair, schema))
+
+    def pack(rows: list) -> tuple:
+        return ([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64),
+                [r["limit"] for r in rows], [r["visitor_rank"] for r in rows])
+
+    def kernel(built: _Queries, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield _search(batches, built, kernel_metric)
+
+    return scan_blocks(s, q, block_bytes, pack, lambda packed: _Queries(*packed), kernel, schema)
 
 
 def score_of(distance: Column, metric: str) -> Column:
@@ -198,9 +194,9 @@ def _ranked(hits: DataFrame, limit: Column, *order: Column) -> DataFrame:
 
 def vector_topk(sections: DataFrame, queries: DataFrame, metric: str = "l2",
                 tier_filter: bool = True, factor: int = 1,
-                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                block_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, section_id, distance, score: tier filter first, then the k nearest."""
-    hits = _candidates(sections, queries, metric, tier_filter, factor, broadcast_bytes)
+    hits = _candidates(sections, queries, metric, tier_filter, factor, block_bytes)
     out = _ranked(hits, F.col("wanted"), F.round("distance", DIGITS), F.col("section_id"))
     return out.select("query_id", "rank", "section_id", "distance",
                       score_of(F.col("distance"), metric).alias("score"))

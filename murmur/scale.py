@@ -8,9 +8,12 @@ a key that owns a third of the rows is spread like any other.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,10 +231,53 @@ def grains(df: DataFrame, facts: list[Column], keys: dict[str, Column]) -> dict[
     return out
 
 
-def small_rows(df: DataFrame, limit: int):
-    """Rows of ``df`` when there are at most ``limit`` of them, else None.
+_built: dict[str, object] = {}
 
-    At most ``limit + 1`` rows reach the driver whatever the input size.
+
+def _once(key: str, build: Callable):
+    """What a worker builds from a block, kept while tasks of the same scan run."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = build()
+    return _built[key]
+
+
+def row_blocks(listed: DataFrame, limit: int) -> Iterator[list]:
+    """Rows of ``listed`` in blocks of at most ``limit`` bytes, by their ``__bytes`` column."""
+    block, size = [], 0
+    for row in listed.toLocalIterator():
+        if block and size + row["__bytes"] > limit:
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += row["__bytes"]
+    if block:
+        yield block
+
+
+def scan_blocks(df: DataFrame, listed: DataFrame, limit: int, pack: Callable, build: Callable,
+                kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(built, batches)`` over the partitions of ``df``, for each block of ``listed``.
+
+    The larger side stays in place, however long the list is: it is scanned once for each block of
+    bounded size, nearly always once. A block is packed on the driver, which holds one at a
+    time, broadcast, and built once a worker.
     """
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    spark = df.sparkSession
+
+    def one(block: list) -> DataFrame:
+        shared, key = spark.sparkContext.broadcast(pack(block)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from kernel(_once(key, lambda: build(shared.value)), batches)
+
+        return df.mapInPandas(run, schema)
+
+    parts, ahead = [], None
+    for block in row_blocks(listed, limit):
+        if ahead is not None:
+            parts.append(materialize(one(ahead), "block"))
+        ahead = block
+    if ahead is None:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [*parts, one(ahead)])

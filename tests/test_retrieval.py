@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,12 +49,44 @@ def hits(df):
     return {(r["query_id"], r["rank"], r["section_id"]) for r in df.collect()}
 
 
-def test_exact_search_both_paths(spark, monkeypatch):
+def test_exact_search_in_one_block_or_many(spark, monkeypatch):
     s, q, want = vector_tables(spark)
     assert hits(vectors.vector_topk(s, q)) == want
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
-    monkeypatch.setattr(vectors, "SECTION_BLOCK", 64)
-    assert hits(vectors.vector_topk(s, q, broadcast_bytes=0)) == want
+    assert hits(vectors.vector_topk(s, q, block_bytes=900)) == want
+    monkeypatch.setattr(vectors, "TILE_BYTES", 4096)
+    assert hits(vectors.vector_topk(s, q)) == want
+    nulls = q.unionByName(q.limit(1).withColumn("embedding", F.lit(None).cast("array<double>")).withColumn(
+        "query_id", F.lit(99).cast("long")))
+    assert hits(vectors.vector_topk(s, nulls)) == want
+    assert "Exchange" not in vectors._candidates(s, q, "l2", True, 1, 1 << 20)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine_distance"])
+def test_balls_out_of_reach_are_skipped(spark, monkeypatch, metric):
+    """Batches of far clusters are left out, and nothing that counts is lost."""
+    g = np.random.default_rng(2)
+    middles = g.normal(size=(12, 6)) * 40
+    x = np.concatenate([m + g.normal(size=(50, 6)) for m in middles])
+    asked = x[::31] + 0.1
+    reached = []
+    own = vectors._Queries.reach
+
+    def counting(self, block, metric, worst):
+        near = own(self, block, metric, worst)
+        reached.append(len(near))
+        return near
+
+    monkeypatch.setattr(vectors._Queries, "reach", counting)
+    queries = vectors._Queries(np.arange(len(asked)), asked, np.full(len(asked), 4), np.zeros(len(asked)))
+    batches = [pd.DataFrame({"section_id": np.arange(at, at + 50), "embedding": list(x[at:at + 50]), "tier_rank": 0})
+               for at in range(0, len(x), 50)]
+    kind = "l2" if metric == "l2" else "cosine"
+    got = vectors._search(iter(batches), queries, kind)
+    exact = queries.distances(x, kind)
+    for i in range(len(asked)):
+        mine = got[got["query_id"] == i].sort_values(["distance", "section_id"])["section_id"].tolist()
+        assert mine == sorted(range(len(x)), key=lambda j: (round(exact[i, j], 9), j))[:4]
+    assert sum(reached) < 0.7 * len(asked) * len(batches)
 
 
 def test_inverted_file_of_all_cells_is_exact(spark, monkeypatch):
