@@ -260,13 +260,11 @@ def doc_id_for(spark, sf):
 SELECT page_id, title, body FROM (
   SELECT page_id,
     replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title,
-    regexp_replace(regexp_replace(regexp_replace(
+    trim(regexp_replace(regexp_replace(
       replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-      '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body
+      '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS body
   FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g') AS t,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-      '(?is)<(script|style|head|nav|footer|aside|form)\b[^>]*>.*?</(script|style|head|nav|footer|aside|form)>', '', 'g'),
-      '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|article|section)>', chr(10), 'g'), '<[^>]+>', '', 'g') AS b FROM pages))
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(p|h1|br)>', chr(10), 'g'), '<[^>]+>', '', 'g') AS b FROM pages))
 WHERE length(body) >= 80""")
 def page_main_text(spark, sf):
     from murmur.operators import corpus

@@ -200,17 +200,6 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def page_main_text(html: Column) -> Column:
-    """Readable text of a page: boilerplate blocks and tags out, blocks to lines."""
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    body = F.regexp_replace(
-        body, r"(?is)<(script|style|head|nav|footer|aside|form)\b[^>]*>.*?</(script|style|head|nav|footer|aside|form)>", "")
-    body = F.regexp_replace(body, r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|article|section)>", "\n")
-    body = F.regexp_replace(body, r"<[^>]+>", "")
-    body = F.regexp_replace(unescape(body), r"[ \t]+", " ")
-    return strip(F.regexp_replace(body, r" ?\n[ \n]*", "\n"))
-
-
 def url_path(url: Column, base: Column | None = None) -> Column:
     """Path of a URL without its base and outer slashes; 'home' when empty."""
     if base is None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.functions import numeric, text
+from murmur.functions.pages import page_main_text
 from murmur.functions.loose import strip
 
 # Sizes, labels and names that results depend on.
@@ -49,7 +50,7 @@ def extract_pages(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFram
     tail = F.element_at(F.split("url", "/"), -1)
     out = pages.select(
         "page_id", "url", text.page_title(F.col("html")).alias("__t"),
-        text.page_main_text(F.col("html")).alias("text"))
+        page_main_text(F.col("html")).alias("text"))
     title = F.coalesce(F.nullif(F.col("__t"), F.lit("")), F.nullif(tail, F.lit("")), F.lit("home"))
     return out.where(F.length("text") >= min_chars).withColumn("title", title).drop("__t")
 
