@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 FEATURES = 3000  # n-grams that training knows
-VARIANTS = 24  # of each template in the training rows
-ORDINARY = 2000  # paragraphs of the corpus that show the unknown class
+VARIANTS, SHORT_VARIANTS, SHORT = 24, 6, 6  # of each template in the training rows; words of a short one
+ORDINARY = 2000  # paragraphs of the corpus that show the unknown class, half of them with a cue
 WINDOW, STEP = 48, 24  # words
 FALSE_RATE = 0.005
-COVERAGE, PAIRS = 0.6, 3
+COVERAGE, PAIRS = 0.6, 3  # share and number of common word pairs; a shorter text needs all it has
+UNLIKE = 0.3  # paragraphs with a lower coverage by every template show the unknown class
+FOLLOWING, LINE_CHARS = 12, 600  # lines that a window may run on to, and what is read of each
 WORD = r"[a-z0-9]+(?:[.+'-][a-z0-9]+)*\+?"
 
 # Sentences by which licences are announced or that their texts are made of.
@@ -105,6 +107,16 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
         "International License.",
     ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+        "International License.",
+    ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+        "International License.",
+    ],
     "CC-BY-ND": [
         "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
@@ -116,6 +128,29 @@ TEMPLATES = {
         "This software is proprietary and confidential; unauthorized copying is prohibited.",
     ],
 }
+# Short names and identifiers of the families, and how notices use them.
+NAMES = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0", "Apache 2.0", "Apache Version 2.0"],
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL v3", "GPLv3", "GNU GPL v3"],
+    "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL v2", "GPLv2", "GNU GPL v2"],
+    "LGPL": ["LGPL-2.1", "LGPL-3.0", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "GNU LGPL", "LGPLv3"],
+    "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL v3", "AGPLv3", "GNU AGPL v3"],
+    "BSD": ["BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD 2-Clause", "BSD 3-Clause", "New BSD", "Simplified BSD"],
+    "MPL-2.0": ["MPL-2.0", "MPL 2.0", "Mozilla Public 2.0"], "ISC": ["ISC"],
+    "CC0-1.0": ["CC0-1.0", "CC0 1.0", "CC0"], "CC-BY": ["CC-BY-4.0", "CC BY 4.0", "CC-BY"],
+    "CC-BY-SA": ["CC-BY-SA-4.0", "CC BY-SA 4.0", "CC-BY-SA"],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC 4.0", "CC-BY-NC"],
+    "CC-BY-NC-SA": ["CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "CC-BY-NC-SA"],
+    "CC-BY-NC-ND": ["CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0", "CC-BY-NC-ND"],
+    "CC-BY-ND": ["CC-BY-ND-4.0", "CC BY-ND 4.0", "CC-BY-ND"],
+}
+NOTICES = ["SPDX-License-Identifier: {}", "{} License", "{} licensed", "Licensed under {}", "Licensed under the {}",
+           "under the {} License", "License: {}", "released under {}"]
+TITLES = {"Apache-2.0": ["Apache License Version 2.0, January 2004"],
+          "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU GPL v3", "GPLv3"],
+          "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GNU GPL v2", "GPLv2"],
+          "LGPL": ["GNU LESSER GENERAL PUBLIC LICENSE"], "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3"],
+          "MPL-2.0": ["Mozilla Public License Version 2.0"], "MIT": ["The MIT License (MIT)"]}
 # Sentences with the same words that grant nothing.
 ORDINARY_SENTENCES = [
     "The driver had to show a valid license at the border.",
@@ -132,8 +167,8 @@ ORDINARY_SENTENCES = [
     "The company licensed its patents to a rival for a fee.",
 ]
 #: A paragraph without any of these words is unknown; each template has at least one.
-CUES = (r"(?i)licen[cs]|copyright|\bgpl|redistribut|warrant|permission|public domain|all rights|"
-        r"free software|cc0|proprietary|public licen|creative commons|source code")
+CUES = (r"(?i)licen[cs]|copyright|\b[al]?gpl|redistribut|warrant|permission|public domain|all rights|"
+        r"free software|cc0|proprietary|public licen|creative commons|source code|\bcc[ -]by|released under")
 
 
 @dataclass(frozen=True)
@@ -148,8 +183,14 @@ def _rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*cells)))
 
 
+def template_texts() -> list[tuple[str, str]]:
+    """Family and text: sentences, titles, and notices with every short name."""
+    named = [(k, notice.format(name)) for k, names in NAMES.items() for name in names for notice in NOTICES]
+    return [(k, t) for group in (TEMPLATES, TITLES) for k, ts in group.items() for t in ts] + named
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    return _rows(spark, [(k, t) for k, ts in TEMPLATES.items() for t in ts])
+    return _rows(spark, template_texts())
 
 
 def words(text: Column) -> Column:
@@ -163,48 +204,85 @@ def pairs(ws: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, start, words``: windows of the lines that hold a cue.
+    """``doc_id, line, start, words``: windows that start in a line that holds a cue.
 
-    A line is a paragraph; long ones are read in overlapping windows, so that a notice inside
-    does not get lost among other words. Every line of every whole text is looked at.
+    A window is read as it stands in its line, and run on over the next lines of its paragraph, up
+    to a blank line, so that a hard-wrapped notice is read whole; long lines are read in overlapping windows, so that a
+    notice inside does not get lost among other words. Every line of every whole text is
+    looked at. A window without a cue is no licence by definition.
     """
-    lines = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-             .where(F.col("text").rlike(CUES))
-             .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-             .where(F.col("text").rlike(CUES)).withColumn("all", words(F.col("text"))))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STEP))
-    return (lines.withColumn("start", F.explode(starts))
-            .withColumn("words", F.slice("all", F.col("start") + 1, WINDOW))
+    lines = F.split("text", "\n")
+    rest = F.slice("lines", F.col("at.line") + 2, FOLLOWING)
+    blank = F.array_position(F.transform(rest, lambda t: F.trim(t) == ""), F.lit(True))
+    rest = F.transform(F.when(blank > 0, F.slice(rest, F.lit(1), blank.cast("int") - 1)).otherwise(rest),
+                       lambda t: F.substring(t, 1, LINE_CHARS))
+    cued = F.filter(F.transform("lines", lambda t, i: F.struct(i.alias("line"), t.alias("text"))),
+                    lambda r: r["text"].rlike(CUES))
+    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+             .where(F.col("text").rlike(CUES)).select("doc_id", lines.alias("lines"))
+             .select("doc_id", "lines", F.explode(cued).alias("at"))
+             .select("doc_id", "at.line", words(F.col("at.text")).alias("own"),
+                     words(F.array_join(rest, " ")).alias("next")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("own") - 1, F.lit(0)), F.lit(STEP))
+    window = lambda ws: F.slice(ws, F.col("start") + 1, WINDOW)
+    return (found.withColumn("start", F.explode(starts))
+            .withColumn("words", F.explode(F.array_distinct(F.array(
+                window(F.col("own")), window(F.concat("own", "next"))))))
             .where((F.col("start") == 0) | (F.size("words") > WINDOW - STEP))
-            .where(F.array_join("words", " ").rlike(CUES)).drop("all", "text"))
+            .where(F.array_join("words", " ").rlike(CUES)).drop("own", "next"))
+
+
+def _common(known: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Templates with their pairs, and number and share of the pairs that a text has in common."""
+    own = _with_grams(known.withColumn("words", words(F.col("text")))).select(
+        F.col("family").alias("known"), F.col("text").alias("template"), F.col("pairs").alias("own"),
+        F.col("words").alias("own_words"))
+    # a single word is compared as it stands
+    both = F.when((F.size("own") == 0) | (F.size("pairs") == 0),
+                  (F.col("words") == F.col("own_words")).cast("int")).otherwise(
+        F.size(F.array_intersect("pairs", "own")))
+    shorter = F.greatest(F.least(F.size("pairs"), F.size("own")), F.lit(1))
+    return own, both, both / shorter
 
 
 def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``family, words, held_out``: varied templates, and ordinary paragraphs as unknown.
 
     A variant drops a tenth of a template's words and, every other one, stands between other
-    words. Ordinary paragraphs are a sample of at most ``ORDINARY`` lines of the corpus that
-    hold no cue, and the fixed sentences.
+    words. Unknown are the fixed sentences and two samples of the corpus, ``ORDINARY`` / 2 each at
+    most: lines without a cue, and windows as they get scored that are unlike every template.
     """
-    known = templates(spark).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
+    many = F.when(F.size(words(F.col("text"))) <= SHORT, SHORT_VARIANTS).otherwise(VARIANTS)
+    known = templates(spark).withColumn("variant", F.explode(F.sequence(F.lit(0), many - 1)))
     dropped = F.filter(words(F.col("text")), lambda w, i: (F.col("variant") < 4) | (F.pmod(
         F.xxhash64(w, i, F.col("variant"), F.col("text")), F.lit(10)) > 0))
     plain = _rows(spark, [(UNKNOWN, t) for t in ORDINARY_SENTENCES])
     plain = plain.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     # about as many documents, by a hash of their ids
     share = int(1e6 * min(1.0, ORDINARY / max(docs.count(), 1)))
-    lines = (docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= share)
-             .select(F.explode(F.split("text", "\n")).alias("text"))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= share)
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("draw", F.xxhash64("words")).dropDuplicates(["draw"]).orderBy("draw")
+                .limit(ORDINARY // 2).select(F.lit(UNKNOWN).alias("family"), "words",
+                                             F.pmod("draw", F.lit(1024)).cast("int").alias("variant")))
+
+    lines = (some.select(F.explode(F.split("text", "\n")).alias("text"))
              .where((F.length("text") > 0) & ~F.col("text").rlike(CUES))
-             .withColumn("draw", F.xxhash64("text")).orderBy("draw", "text").limit(ORDINARY)
-             .select(F.lit(UNKNOWN).alias("family"), "text",
-                     F.pmod("draw", F.lit(1024)).cast("int").alias("variant")))
+             .select(F.slice(words(F.col("text")), 1, WINDOW).alias("words")).where(F.size("words") > 0))
+    windows = _with_grams(paragraphs(some).select("words").distinct()).withColumn("w", F.xxhash64("words"))
+    own = _with_grams(templates(spark).withColumn("words", words(F.col("text")))).select(
+        F.col("text").alias("template"), F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
+    like = (windows.select("w", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
+            .join(F.broadcast(own), "pair").groupBy("w", "template")
+            .agg((F.count(F.lit(1)) / F.max(F.least("n", "size"))).alias("coverage"))
+            .where(F.col("coverage") >= UNLIKE))
+    unlike = windows.join(like, "w", "left_anti").select("words")
     filler = F.slice(words(F.lit(" ".join(ORDINARY_SENTENCES))),
                      F.pmod(F.xxhash64("variant", "text"), F.lit(60)).cast("int") + 1, 12)
     varied = known.unionByName(plain).withColumn("words", dropped).withColumn(
         "words", F.when(F.col("variant") % 2 == 1, F.concat(filler, "words")).otherwise(F.col("words")))
-    out = varied.select("family", "words", "variant").unionByName(
-        lines.select("family", F.slice(words(F.col("text")), 1, WINDOW).alias("words"), "variant"))
+    out = varied.select("family", "words", "variant").unionByName(drawn(lines)).unionByName(drawn(unlike))
     return out.select("family", "words", (F.pmod("variant", F.lit(4)) == 2).alias("held_out"))
 
 
@@ -242,21 +320,19 @@ def fit(spark: SparkSession, docs: DataFrame) -> LicenceModel:
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """Licences found: ``doc_id, line, family, probability, template, coverage``.
 
-    ``line`` counts from 0, ``template`` is the sentence that confirmed the family and ``coverage``
+    ``line`` counts from 0 (where the notice's window starts), ``template`` is the sentence that confirmed the family and ``coverage``
     the share of common word pairs in the shorter of both. A line may name several families.
     Null and empty texts hold none; rows with a null id are reported under null; a repeated row
     counts once. Other columns are ignored.
     """
     found = (_probable(model.pipeline, model.labels, _with_grams(paragraphs(docs)))
-             .where(F.col("p") >= model.threshold).select("doc_id", "line", "family", "p", "pairs"))
-    known = _with_grams(templates(docs.sparkSession).withColumn("words", words(F.col("text")))).select(
-        F.col("family").alias("known"), F.col("text").alias("template"), F.col("pairs").alias("own"))
-    common = F.size(F.array_intersect("pairs", "own"))
+             .where(F.col("p") >= model.threshold).select("doc_id", "line", "family", "p", "pairs", "words"))
+    own, common, coverage = _common(templates(docs.sparkSession))
+    least = F.least(F.lit(PAIRS), F.greatest(F.least(F.size("pairs"), F.size("own")), F.lit(1)))
     # the templates are the fixed values above
-    confirmed = (found.join(F.broadcast(known), F.col("family") == F.col("known"))
-                 .withColumn("common", common)
-                 .withColumn("coverage", F.col("common") / F.least(F.size("pairs"), F.size("own")))
-                 .where((F.col("common") >= PAIRS) & (F.col("coverage") >= COVERAGE)))
+    confirmed = (found.join(F.broadcast(own), F.col("family") == F.col("known"))
+                 .withColumn("common", common).withColumn("coverage", coverage)
+                 .where((F.col("common") >= least) & (F.col("coverage") >= COVERAGE)))
     best = F.max(F.struct("coverage", "common", "template"))
     return (confirmed.groupBy("doc_id", "line", "family")
             .agg(F.max("p").alias("probability"), best.alias("best"))

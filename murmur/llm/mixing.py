@@ -13,6 +13,7 @@ Every node is seeded by its place, so reruns agree and a lost task draws the sam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,21 +111,21 @@ def shard_quotas(quotas: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int
 def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """What the mix takes of each document.
 
-    Returns a row for each row of ``docs``: ``doc_id, source, size, source_size, target, taken``
-    (words, repeats counted) and ``copies``, an array of ``copy, shard, words``, empty if the
+    Returns a row for each row of ``docs``: ``doc_id, source, size, text_key`` (hash of the text),
+    ``source_size, target, taken`` (words, repeats counted) and ``copies``, an array of ``copy, shard, words``, empty if the
     mix takes nothing. A null text has size 0 and a null source is a source. Sizes come from
     whole texts; a document is taken at most twice, so ``taken`` is at most twice its size.
     """
     sizes = materialize(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")),
-        "sizes")
+        F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("text_key")), "sizes")
     sources = materialize(
         targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
         .withColumn("blocks", F.greatest(F.lit(1), F.least(
             F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / block_words)))), "sources")
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
     placed = (sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-              .select("doc_id", "d.source", "size", "source_size", "target", "rank",
+              .select("doc_id", "d.source", "size", "text_key", "source_size", "target", "rank",
                       F.pmod(key, "blocks").alias("block"), key.alias("key")))
     passes = F.array(*[F.lit(c) for c in range(REPEATS)])
     units = (placed.groupBy("rank", "block").agg(F.sum("size").alias("words"),
@@ -144,7 +145,7 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> D
              .select("rank", "shard", F.col("nth").cast("int").alias("nth")))
     blocks = (units.join(drawn, ["rank", "nth"]).groupBy("rank", "block").agg(
         F.array_sort(F.collect_list(F.struct("copy", "shard", "take"))).alias("drawn")))
-    inside = Window.partitionBy("rank", "block").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("rank", "block").orderBy("key", "doc_id", "size", "text_key")
     start = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = placed.withColumn("start", start).join(blocks, ["rank", "block"], "left")
     words = lambda u: F.greatest(F.lit(0), F.least(F.col("size"), u["take"] - F.col("start")))
@@ -153,7 +154,7 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> D
             u["copy"].alias("copy"), u["shard"].alias("shard"), words(u).alias("words"))),
         lambda u: u["words"] > 0)
     return joined.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "text_key", "source_size", "target",
         F.aggregate("copies", F.lit(0).cast("long"), lambda n, u: n + u["words"]).alias("taken"),
         "copies")
 
@@ -163,16 +164,22 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Da
 
     The one document of a source at which its target ends keeps its first words. Rows lie
     together by shard, in shuffled order inside it. Rows of equal ``doc_id`` are told apart by
-    their source and size. Documents without words are not taken.
+    their source, size and text; where all of these agree, one stands for the other. Documents
+    without words are not taken.
     """
-    nth = lambda *c: F.row_number().over(Window.partitionBy("doc_id").orderBy(*c))
-    rows = docs.withColumn("__n", n_words(F.col("text")))
-    rows = rows.withColumn("__nth", nth("source", "__n"))
-    taken = plan(docs, block_words, seed).withColumn("__nth", nth("source", "size")).where(
-        F.size("copies") > 0).select(F.col("doc_id").alias("__d"), F.col("__nth").alias("__m"), "copies")
-    out = (rows.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
-                     & (F.col("__nth") == F.col("__m")))
-           .withColumn("__c", F.explode("copies")))
+    known = ["__d", "__s", "__n", "__t"]
+
+    def keyed(df: DataFrame, *values: Column) -> DataFrame:
+        df = df.withColumns(dict(zip(known, values)))
+        return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*known).orderBy(F.lit(0))))
+
+    rows = keyed(docs, F.col("doc_id").cast("long"), F.col("source"), n_words(F.col("text")), F.xxhash64("text"))
+    taken = keyed(plan(docs, block_words, seed), *map(F.col, ("doc_id", "source", "size", "text_key"))).select(
+        *known, "__nth", F.col("copies").alias("__copies")).where(F.size("__copies") > 0)
+    same = [rows[c].eqNullSafe(taken[c]) for c in known] + [rows["__nth"] == taken["__nth"]]
+    out = (rows.join(taken, reduce(lambda x, y: x & y, same))
+           .select(*[rows[c] for c in docs.columns], rows["__n"], "__copies")
+           .withColumn("__c", F.explode("__copies")))
     with_gap = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORDS), F.lit(0))
     text = F.when(F.col("__c.words") < F.col("__n"),
                   F.array_join(F.slice(with_gap, F.lit(1), F.col("__c.words").cast("int")), "")

@@ -1,4 +1,9 @@
-"""Removal of long passages that repeat an earlier one, by a family of suffix arrays.
+"""Removal of long passages that repeat an earlier one, by a logarithmic family of sorted suffixes.
+
+Departure from plain suffix arrays: the levels are sorted by a hash of the leading bytes, not by
+the bytes, and equality is equality of hashes, not a comparison of common prefixes. Order only
+has to bring equal prefixes together; a true suffix order would need the texts wherever two
+entries meet, which does not fit the disk (an entry has some 30 bytes, its suffix has no end).
 
 Suffixes are indexed at content-defined places only: of each ``match``-byte string the suffix
 that starts at its smallest ``SEED``-byte hash. Equal strings choose equal places, so two
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import TASK_BYTES, binary_column, pieces, runs, shuffle_partitions, utf8
@@ -404,6 +409,25 @@ def _whole_characters(text: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return spans[spans[:, 0] < spans[:, 1]]
 
 
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """``doc_id, text_key, number`` if an id has several texts, else None.
+
+    Numbers rise with the id and, under one id, with the hash of the text. Rows without an id
+    have no number.
+    """
+    keys = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_key())
+    several = keys.groupBy("doc_id").agg((F.min("text_key") < F.max("text_key")).alias("several"))
+    if several.where("several").isEmpty():
+        return None
+    # the ids of ranges rise with the ranges, and inside one with its rows
+    order = keys.distinct().repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
+    return materialize(order.withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
+def text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
+
+
 def _cut(characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -421,7 +445,7 @@ def _cut(characters: bool):
                 rows.append((len(text), len(text) - len(kept), len(spans),
                              spans.astype("<u4").tobytes(), kept))
             yield pa.record_batch(
-                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(
+                [batch.column("id"), *[pa.array(c, t) for c, t in zip(
                     zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))]],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"])
     return run
@@ -438,8 +462,9 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None,
     only some bytes are covered stays, so that ``kept`` is a text.
 
     A null text counts as empty. Rows whose ``doc_id`` is null come back whole and are compared
-    with nothing; rows that share a ``doc_id`` count as copies of one row and get one result
-    each. Other columns are ignored. Texts shorter than ``match`` stay whole.
+    with nothing. Rows that share ``doc_id`` and text count as copies of one row and get one
+    result each; texts that share only the id are documents of their own, in the order of their
+    hashes. Other columns are ignored. Texts shorter than ``match`` stay whole.
     """
     seed = seed or match // 2
     if not 8 <= seed <= match or match - seed > 255:
@@ -447,18 +472,24 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None,
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     buckets = 4 * n
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    numbers = numbered(rows.withColumnRenamed("id", "doc_id"))
+    if numbers is None:
+        rows = rows.withColumn("doc_id", F.col("id"))
+    else:
+        known = numbers.select(F.col("doc_id").alias("id"), "text_key", F.col("number").alias("doc_id"))
+        rows = rows.withColumn("text_key", text_key()).join(known, ["id", "text_key"], "left").drop("text_key")
     settled = materialize(
-        rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= match))
+        rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= match)).select("doc_id", "text")
         .mapInArrow(_scan(match, seed, buckets, n), BLOB)
         .repartition(n, "bucket").mapInArrow(_index(match, 6, True, n), FOUND)
         .repartition(n, "bucket").mapInArrow(_gather, SPANS), "repeats")
     # one exchange of the texts serves the second pass and the cutting
     placed = rows.join(settled.withColumnRenamed("doc_id", "__d"),
                        F.col("doc_id") == F.col("__d"), "left").drop("__d")
-    more = (placed.mapInArrow(_scan_open(match, buckets, n), BLOB)
+    more = (placed.select("doc_id", "text", "open").mapInArrow(_scan_open(match, buckets, n), BLOB)
             .repartition(n, "bucket").mapInArrow(_index(match, 4, False, n), FOUND)
             .repartition(n, "bucket").mapInArrow(_gather, SPANS)
             .select(F.col("doc_id").alias("__d"), F.col("removed").alias("more")))
     return (placed.join(more, F.col("doc_id") == F.col("__d"), "left")
-            .select("doc_id", "text", "removed", "more").mapInArrow(_cut(characters), DOC))
+            .select("id", "text", "removed", "more").mapInArrow(_cut(characters), DOC))

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from os.path import commonprefix
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from murmur.llm.arrow import pieces
 
-CACHE_UNITS = 600_000
+CACHE_BYTES = 96 << 20  # units and their tables; a batch of texts may add its own units
+FITS = 200_000  # pairs of tokens
+LONG_UNIT = 256  # characters; tables of longer units are made anew for each batch
 SPACE = "▁"
 TABLE = "doc_id long, n_bytes long, n_chars long, n_tokens long, steps binary"
 _UNITS = re.compile("\n|[▁ ]+[^▁ \n]*|[^▁ \n]+")
@@ -50,6 +53,7 @@ class PrefixTables:
         self._endings.update(dict.fromkeys(self._ids, True))
         self._fits: dict[tuple[str, str], bool] = {}
         self._cache: dict[str, bytes] = {}
+        self.held = 0  # bytes of the cache
 
     def _count(self, texts: list[str]) -> list[int]:
         """Library's counts of texts that follow a line feed, so that no space is put before."""
@@ -59,7 +63,7 @@ class PrefixTables:
     def _fit(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are where they meet."""
         ids = self._library.encode("\n" + left + right, num_threads=1)[2:]
-        if len(self._fits) > 4 * CACHE_UNITS:
+        if len(self._fits) > FITS:
             self._fits.clear()
         self._fits[left, right] = known = ids == [self._ids[left], self._ids[right]]
         return known
@@ -111,19 +115,24 @@ class PrefixTables:
 
     def steps(self, texts: list[str | None]) -> list[bytes]:
         """One byte for each character of each text; null counts as empty."""
-        if len(self._cache) > CACHE_UNITS:
+        if self.held > CACHE_BYTES:
             self._cache.clear()
+            self.held = 0
         split = [units_of(t or "") for t in texts]
         cache = self._cache
         new = set().union(*split).difference(cache)
         if new:
             self._learn(sorted(new))
+            self.held += sum(getsizeof(u) + getsizeof(cache[u]) + 120 for u in new)
         out = []
         for units in split:
             raw = b"".join(map(cache.__getitem__, units))
             # the first unit starts with a space that is not in the text
             out.append(raw[:0] if not raw else
                        ((raw[0] + raw[1]) & 255).to_bytes() + raw[2:] if len(raw) > 1 else raw)
+        for unit in new:
+            if len(unit) > LONG_UNIT:
+                self.held -= getsizeof(unit) + getsizeof(cache.pop(unit)) + 120
         return out
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 
-CACHE_UNITS = 400_000
+CACHE_BYTES = 64 << 20  # parts and their ids; a batch of texts may add its own parts
 END = "\f"  # marks an end id
 WHOLE = "\v"  # marks a text, or the head of one, that is not a part after a space
 
@@ -70,6 +71,7 @@ class ByteUnits:
         self._ids = np.zeros(1 << 20, np.uint32)
         self._bounds = np.zeros(1 << 16, np.int64)
         self._known = 0
+        self.held = 0  # bytes of the cache
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32)
@@ -88,6 +90,7 @@ class ByteUnits:
     def _learn(self, keys: list[str]) -> None:
         """Encode new keys; those after a space are joined to texts, the ids then cut by bytes."""
         keys, self._index.new = keys, []
+        self.held += sum(map(getsizeof, keys)) + 120 * len(keys)
         alone = [i for i, k in enumerate(keys) if k[0] == WHOLE]
         joined = [k if k[0] == "\n" else " " + k for k in keys if k[0] != WHOLE]
         texts = ["".join(joined[i:i + 256]) for i in range(0, len(joined), 256)]
@@ -105,6 +108,7 @@ class ByteUnits:
         if whole:
             out[np.repeat(~after, sizes)] = np.concatenate(whole)
         self._store(out, sizes)
+        self.held += out.nbytes
 
     def encode(self, texts: list[str | None], end_id: int | None = None
                ) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +116,7 @@ class ByteUnits:
 
         ``end_id``, if given, follows each text and belongs to its share.
         """
-        if self._known > CACHE_UNITS:
+        if self.held > CACHE_BYTES:
             self._clear()
         end: list[str] = []
         if end_id is not None:

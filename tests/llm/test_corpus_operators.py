@@ -387,6 +387,21 @@ def test_mixed_documents_hold_the_planned_words(docs):
     assert len(got) == len(planned) and count == want
 
 
+def test_rows_that_differ_only_in_their_text_are_mixed_each(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    data = [(7, " ".join([w] * 30), "s") for w in words] + [(None, " ".join([w.upper()] * 20), None) for w in words] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    taken = collections.Counter()
+    for x in mixing.plan(df, 40).collect():
+        taken[x.text_key] += x.taken
+    keys = {x.text: x.k for x in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    got = collections.Counter()
+    for x in mixing.mix(df, 40).collect():
+        key = next(k for t, k in keys.items() if t.startswith(x.text))
+        got[key] += len(x.text.split())
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in taken.items() if n}
+
+
 def test_splitting_tree_is_exact():
     counts = np.array([500, 3, 0, 97])
     for width in (1, 3):
@@ -502,6 +517,30 @@ def test_estimation_finds_the_better_labellers():
     assert np.allclose(model.accuracies(), right, atol=0.05) and abs(prior - 0.7) < 0.05
 
 
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    """Tabbed texts are whole keys, texts without spaces whole units."""
+    from murmur.llm import token_counts as counts
+    from murmur.llm import units
+
+    monkeypatch.setattr(units, "CACHE_BYTES", 2 << 20)
+    own = ByteUnits(vocabulary(BYTE_BPE))
+    tabbed = ["\t".join(f"w{i}x{j}" for j in range(60)) for i in range(20_000)]
+    most = 0
+    for at in range(0, len(tabbed), 500):
+        own.encode(tabbed[at:at + 500])
+        most = max(most, own.held)
+    assert 0 < most < 4 << 20
+    assert own._bounds.nbytes + own._ids.nbytes < 16 << 20
+    monkeypatch.setattr(counts, "CACHE_BYTES", 1 << 20)
+    tables = counts.PrefixTables(vocabulary(PIECE_BPE))
+    dense = ["日本語の文" * 80 + str(i) for i in range(60)] + [f"plain words {i}" for i in range(40_000)]
+    most = 0
+    for at in range(0, len(dense), 2000):
+        tables.steps(dense[at:at + 2000])
+        most = max(most, tables.held)
+    assert most < 2 << 20 and max(map(len, tables._cache)) <= counts.LONG_UNIT
+
+
 # ---- licences --------------------------------------------------------------------------
 
 def test_licences_are_named_and_confirmed(spark, empty):
@@ -526,8 +565,78 @@ def test_licences_are_named_and_confirmed(spark, empty):
 
 
 def test_every_template_holds_a_cue():
-    for ts in licences.TEMPLATES.values():
-        assert all(re.search(licences.CUES, t) for t in ts)
+    assert all(re.search(licences.CUES, t) for _, t in licences.template_texts())
+
+
+SHORT = [("MIT", "MIT License"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0", "GNU GPL v3"),
+         ("MIT", "Code licensed under MIT"), ("CC-BY-NC-SA", "Licensed under CC BY-NC-SA 4.0"),
+         ("MIT", "The plugin was released under the\nMIT License."), ("MIT", "Released under the MIT License."),
+         ("BSD", "// SPDX-License-Identifier: BSD-3-Clause"), ("GPL-2.0", "License: GPL-2.0-or-later"),
+         ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004")]
+WRAPPED = [
+    ("MIT", """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""),
+    ("Apache-2.0", """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
+    ("GPL-3.0", """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""),
+    ("BSD", """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer."""),
+    ("MPL-2.0", """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""),
+]
+HARMLESS = [
+    "He renewed his driving license and paid for the copyright of the song.", "The museum gave permission to film.",
+    "A warranty covers the pump for three years; the source code of the game was lost.",
+    "The fishing license is sold by the town hall, all rights to the lake belong to the village.",
+    "Free software was a topic of the fair, next to public domain maps.", "The licensee shall pay the licensor.",
+    "Creative commons meetings take place in the library.", "Its licence plate was blue.",
+]
+
+
+def test_short_and_wrapped_licences_are_found(spark):
+    cases = SHORT + WRAPPED
+    data = [(i, t) for i, (_, t) in enumerate(cases)]
+    data += [(100 + i, good_text(i) + "\n\n" + t + "\n\n" + good_text(i + 1)) for i, (_, t) in enumerate(cases)]
+    data += [(300 + i, t) for i, t in enumerate(HARMLESS)]
+    data += [(400 + i, good_text(i) + " " + t + " " + good_text(i + 2)) for i, t in enumerate(HARMLESS)]
+    data += [(500 + i, good_text(i)) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    model = licences.fit(spark, df)
+    got = collections.defaultdict(set)
+    for r in licences.scan(df, model).collect():
+        got[r.doc_id].add(r.family)
+    missed = [(i, k, got[i]) for i, (k, _) in enumerate(cases) if k not in got[i]]
+    missed += [(100 + i, k, got[100 + i]) for i, (k, _) in enumerate(cases) if k not in got[100 + i]]
+    assert not missed
+    wrong = [(i, got[i] - {k}) for i, (k, _) in enumerate(cases) if got[i] - {k}]
+    assert len(wrong) <= 1, wrong
+    assert not [i for i in got if i >= 300 and got[i]]
 
 
 # ---- neighbours ------------------------------------------------------------------------
@@ -676,6 +785,20 @@ def test_repeats_of_nothing_and_of_odd_rows(spark, empty):
     assert got == sorted([(None, 0), (None, 0), (4, 0), (4, 0), (5, n), (6, 0)], key=repr)
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    p, q, r = (prose(90 + i, 90) for i in range(3))
+    data = [(1, p), (5, p + q), (5, r), (6, p), (6, None), (7, r), (7, r), (None, p)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.n_bytes, x.n_removed, bytes(x.kept)) for x in suffix_dedup.remove_repeats(df).collect()]
+    size = lambda t: len(t.encode())
+    assert (5, size(r), 0, r.encode()) in got  # it shares nothing with what came before
+    assert (1, size(p), 0, p.encode()) in got and (6, size(p), size(p), b"") in got
+    cut = next(x for x in got if x[0] == 5 and x[1] == size(p + q))
+    assert cut[2] >= size(p) and (p + q).encode().endswith(cut[3])
+    assert (6, 0, 0, b"") in got and got.count((7, size(r), size(r), b"")) == 2
+    assert (None, size(p), 0, p.encode()) in got and len(got) == len(data)
+
+
 def test_index_family_keeps_the_earliest():
     rng = np.random.default_rng(4)
     family, lost, added = suffix_dedup.IndexFamily(), [], []
