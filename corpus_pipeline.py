@@ -13,10 +13,6 @@ from murmur.sources.tables import table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _text_key():
-    return F.xxhash64("text").alias("text_key")
-
-
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on these documents, does not reject."""
     return quality.keep_good(docs.select(*COLUMNS), quality.fit(docs))
@@ -29,32 +25,20 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     copies = (simhash.similar_groups(docs).where(F.col("component_id") < F.col("doc_id"))
               .select("doc_id", "text_key").distinct())
-    return (docs.select(*COLUMNS, _text_key()).join(copies, ["doc_id", "text_key"], "left_anti")
+    return (docs.select(*COLUMNS, suffix_dedup.text_key()).join(copies, ["doc_id", "text_key"], "left_anti")
             .select(*COLUMNS))
 
 
-def _numbered(docs: DataFrame) -> DataFrame | None:
-    """``doc_id, text_key, number`` in order of ids and texts, if an id has several texts."""
-    keys = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _text_key())
-    several = keys.groupBy("doc_id").agg((F.min("text_key") < F.max("text_key")).alias("several"))
-    if several.where("several").isEmpty():
-        return None
-    keys = materialize(keys.where(F.col("text_key").isNotNull()).distinct(), "keys")
-    rows = keys.orderBy("doc_id", "text_key").rdd.zipWithIndex()
-    return materialize(rows.map(lambda r: (*r[0], r[1])).toDF(
-        "doc_id long, text_key long, number long"), "numbers")
-
-
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that repeat earlier ones; a text that loses everything goes.
 
     Texts under one id are cut each on its own, in the order of their hashes.
     """
-    numbers = _numbered(docs)
+    numbers = suffix_dedup.numbered(docs)
     if numbers is None:
         rows = docs.select(*COLUMNS, F.col("doc_id").alias("number"))
     else:
-        rows = docs.select(*COLUMNS, _text_key()).join(
+        rows = docs.select(*COLUMNS, suffix_dedup.text_key()).join(
             numbers, ["doc_id", "text_key"], "left").select(*COLUMNS, "number")
     cut = (suffix_dedup.remove_repeats(rows.select(F.col("number").alias("doc_id"), "text"),
                                        characters=True).where(F.col("n_removed") > 0)
