@@ -5,7 +5,11 @@ and assigns it to the nearest signed axis. A query looks into the axes next to i
 in every table, and all candidates found there are scored exactly. Vectors of different
 lengths get one more coordinate that makes them equally long, which turns the largest inner
 product into the smallest angle. Lengths are cut into geometric bands for that, each with its
-own longest vector; a query looks into every band. Bands of few vectors are searched whole.
+own longest vector; a query looks into every band. A band with no more vectors than a query would
+visit buckets for it is one bucket.
+
+Queries whose result is short or doubtful visit several times as many buckets in a second round;
+only those that even then miss rows meet all vectors.
 
 Equal vectors are held once, with as many of their smallest ids as a result can name. A crowded
 axis is cut into blocks on both sides; the blocks meet pairwise, so no task holds an axis.
@@ -32,7 +36,7 @@ VECTORS_IN_BLOCK = 65_536
 QUERIES_IN_BLOCK = 4096
 SEED = 5
 BAND = 2 ** 0.5  # ratio of the lengths in a band
-WHOLE = 4096  # vectors up to which a band is searched whole
+MORE = 6  # times the buckets in the second round
 TRIED, RECALL = 64, 0.95  # queries searched exactly as well, and the recall they must show
 _CODES = "id long, kind int, vector binary, codes array<bigint>"
 _FOUND = "query_id long, first long, score double"
@@ -88,18 +92,21 @@ def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
 
 
 def _hash(kind: int, bands: list[tuple], whole: int, tables: int, probes: int, dtype: str,
-          seed: int):
+          seed: int, more: int = 1):
     """Keys of each row; ``bands`` has ``band, longest, hashes, base`` of those that are hashed.
 
-    All bands that are searched whole share the key 0.
+    A query visits about ``more`` times ``probes ** hashes`` buckets a table. All bands that are
+    one bucket share the key 0.
     """
     place = {band: (longest, hashes, base) for band, longest, hashes, base in bands}
 
     def keys(x: np.ndarray, band: int) -> np.ndarray:
         longest, hashes, base = place[band]
         unit = unit_rows(x, longest, kind == 0)
-        space = (2 * unit.shape[1]) ** hashes
-        return np.hstack([buckets(unit, t, hashes, probes if kind == 0 else 1, seed) + t * space
+        width = 2 * unit.shape[1]
+        space = width ** hashes
+        near = min(width, int(np.ceil(probes * more ** (1 / hashes)))) if kind == 0 else 1
+        return np.hstack([buckets(unit, t, hashes, near, seed) + t * space
                           for t in range(tables)]) + base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +201,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     that are null, zero or hold null or non-finite components take no part, neither do rows
     without an id or of another length than most vectors. Repeated rows count once. A query
     gets fewer rows only if there are fewer candidates: what the buckets leave short or
-    doubtful (see ``_doubtful``) is searched exactly.
+    doubtful (see ``_doubtful``) is searched in more buckets, and what is short still, exactly.
     """
     spark = vectors.sparkSession
     valid, asked = _valid(vectors), _valid(queries)
@@ -216,7 +223,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
                                        F.min("norm").alias("least")).orderBy("band").collect()
     bands, base = [], 1
     for size in sizes:
-        if size.n <= WHOLE:
+        if size.n <= tables * probes:
             continue
         longest = size.most if size.least < size.most * (1 - 1e-3) else None
         width = 2 << (common.n + (longest is not None) - 1).bit_length()
@@ -225,19 +232,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
         base += tables * width ** hashes
     whole = len(bands) < len(sizes)
 
-    def hashed(df: DataFrame, kind: int) -> DataFrame:
-        return df.mapInArrow(_hash(kind, bands, whole, tables, probes, dtype, seed), _CODES)
+    def hashed(df: DataFrame, kind: int, more: int = 1) -> DataFrame:
+        return df.mapInArrow(_hash(kind, bands, whole, tables, probes, dtype, seed, more), _CODES)
 
-    asked = asked.where(F.size("embedding") == common.n).distinct()
-    codes = materialize(hashed(placed.select("id", "embedding", "band"), 1).union(
-        hashed(asked.withColumnRenamed("vec_id", "id"), 0)), "codes")
+    asked = asked.where(F.size("embedding") == common.n).distinct().withColumnRenamed("vec_id", "id")
+    codes = materialize(hashed(placed.select("id", "embedding", "band"), 1).union(hashed(asked, 0)), "codes")
     found = _found(codes, held, top, dtype)
     if not bands:
         return found
     found = materialize(found, "found")
     everywhere = lambda df: df.withColumn("codes", F.array(F.lit(0).cast("long")))
     whole_table = everywhere(codes.where("kind = 1"))
-    lengths = materialize(asked.select(F.col("vec_id").alias("id"), norm_of(F.col("embedding")).alias("norm"))
+    lengths = materialize(asked.select("id", norm_of(F.col("embedding")).alias("norm"))
                           .groupBy("id").agg(F.max("norm").alias("norm")), "asked")
     tried = lengths.orderBy(F.xxhash64("id"), "id").limit(TRIED).select("id")
     sample = materialize(_found(whole_table.union(everywhere(codes.where("kind = 0").join(
@@ -245,13 +251,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int
     redo = materialize(_doubtful(found, sample, lengths, top), "doubtful")
     if redo.isEmpty():
         return found
-    again = _found(whole_table.union(everywhere(codes.where("kind = 0").join(redo, "id", "left_semi"))),
-                   held, top, dtype)
-    return found.join(redo, F.col("query_id") == F.col("id"), "left_anti").union(again)
+    wider = hashed(asked.join(redo, "id", "left_semi").select(*asked.columns), 0, MORE)
+    again = _found(codes.where("kind = 1").union(wider), held, top, dtype)
+    is_redone = F.col("query_id") == F.col("id")
+    found = materialize(found.join(redo, is_redone, "left_anti").union(again), "found-again")
+    rows = found.groupBy("query_id").count()
+    short = materialize(redo.join(rows, is_redone, "left").where(
+        F.coalesce("count", F.lit(0)) < top).select("id"), "short")
+    if short.isEmpty():
+        return found
+    rest = _found(whole_table.union(everywhere(codes.where("kind = 0").join(short, "id", "left_semi"))),
+                  held, top, dtype)
+    return found.join(short, is_redone, "left_anti").union(rest)
 
 
 def _doubtful(found: DataFrame, sample: DataFrame, lengths: DataFrame, top: int) -> DataFrame:
-    """``id`` of the queries to search exactly.
+    """``id`` of the queries to search again.
 
     These have fewer than ``top`` rows, or a worst kept score (by the query's length) that lies
     far below the typical one or in the range where ``sample``, the exact result of some

@@ -690,6 +690,26 @@ def test_neighbours_of_uneven_lengths(spark, lengths):
     assert recall(spark, x, list(range(0, 12_000, 300))) > 0.9
 
 
+@pytest.mark.parametrize("n,rows", [(600, 64), (3000, 64), (9000, 4)])
+def test_neighbours_go_through_the_tables(spark, monkeypatch, n, rows):
+    """One and two hashes a table, at sizes that were searched whole once."""
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", rows)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 16 if rows == 4 else 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hashes = []
+    own = neighbours._hash
+
+    def seen(kind, bands, whole, *rest):
+        hashes.extend(b[2] for b in bands)
+        assert bands and not whole
+        return own(kind, bands, whole, *rest)
+
+    monkeypatch.setattr(neighbours, "_hash", seen)
+    assert recall(spark, x, list(range(0, n, n // 60))) >= 0.9
+    assert set(hashes) == {2 if rows == 4 else 1}
+
+
 @pytest.mark.parametrize("n", [15, 12_000])
 def test_neighbours_of_isolated_queries_are_whole(spark, n):
     rng = np.random.default_rng(4)
