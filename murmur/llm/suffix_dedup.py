@@ -487,7 +487,8 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, seed: int | None = None,
     # one exchange of the texts serves the second pass and the cutting
     placed = rows.join(settled.withColumnRenamed("doc_id", "__d"),
                        F.col("doc_id") == F.col("__d"), "left").drop("__d")
-    more = (placed.select("doc_id", "text", "open").mapInArrow(_scan_open(match, buckets, n), BLOB)
+    # all columns, so that it is the same exchange
+    more = (placed.mapInArrow(_scan_open(match, buckets, n), BLOB)
             .repartition(n, "bucket").mapInArrow(_index(match, 4, False, n), FOUND)
             .repartition(n, "bucket").mapInArrow(_gather, SPANS)
             .select(F.col("doc_id").alias("__d"), F.col("removed").alias("more")))
