@@ -9,7 +9,8 @@ from murmur.catalog.sqlparts import (DOCS, LINE_CHUNKS, MD_DOCS, MD_SECTIONS, SQ
                                      chunk_ctes, merge_ctes, with_, with_recursive)
 from murmur.functions import text
 from murmur.operators import corpus
-from murmur.sources import tables
+from murmur.session import scratch_dir
+from murmur.sources import section_store, tables
 
 TIER_SQL = "CASE source_type WHEN 'notes-personal' THEN 'personal' WHEN 'notes-inner' THEN 'inner_circle' ELSE 'public' END"
 PARA_DOCS = DOCS.strip() + ",\npd AS (SELECT * REPLACE (replace(text, chr(10), chr(10) || chr(10)) AS text) FROM docs)"
@@ -213,20 +214,36 @@ def _stored_sections(spark, sf):
         F.sha2(old, 256).alias("content_hash"), "embedding")
 
 
-@query("upsert_sections_by_hash", with_(DOCS) + """
+def _current_sections(spark, sf):
+    return tables.documents(spark, sf).where(F.col("source") != "src7").select(
+        F.col("doc_id").alias("section_id"), F.col("text").alias("full_text"),
+        F.sha2("text", 256).alias("content_hash"))
+
+
+UPSERTED = """
 SELECT c.doc_id AS section_id, CASE WHEN lang IN ('fr') THEN 'new' WHEN lang = 'es' AND upper(text) <> text THEN 'changed' ELSE 'unchanged' END AS state,
   sha256(c.text) AS content_hash, CASE WHEN lang NOT IN ('fr', 'es') OR (lang = 'es' AND upper(text) = text) THEN e.embedding END IS NOT NULL AS has_vector
 FROM docs c LEFT JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.source <> 'src7'
 UNION ALL SELECT c.doc_id, 'kept', sha256(CASE WHEN lang = 'es' THEN upper(text) ELSE text END), e.vec_id IS NOT NULL
-FROM docs c LEFT JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.source = 'src7' AND lang <> 'fr'""")
+FROM docs c LEFT JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.source = 'src7' AND lang <> 'fr'"""
+
+
+@query("upsert_sections_by_hash", with_(DOCS) + UPSERTED)
 def upsert_sections_by_hash(spark, sf):
-    current = tables.documents(spark, sf).where(F.col("source") != "src7").select(
-        F.col("doc_id").alias("section_id"), F.col("text").alias("full_text"),
-        F.sha2("text", 256).alias("content_hash"))
-    return corpus.upsert_sections(_stored_sections(spark, sf), current).select(
+    return corpus.upsert_sections(_stored_sections(spark, sf), _current_sections(spark, sf)).select(
         "section_id", "state", "content_hash", F.col("embedding").isNotNull().alias("has_vector"))
 
 
+@query("section_store", with_(DOCS, f"up AS ({UPSERTED})") + """
+SELECT section_id, content_hash, has_vector FROM up""")
+def section_store_query(spark, sf):
+    root = scratch_dir(spark, "section-store")
+    section_store.create(spark, root, _stored_sections(spark, sf), buckets=16)
+    section_store.upsert(spark, root, _current_sections(spark, sf))
+    return section_store.read(spark, root).select(
+        "section_id", "content_hash", F.col("embedding").isNotNull().alias("has_vector"))
+
+
 @query("ingest_gate", with_(DOCS) + rf"""
 SELECT coalesce(r, 'accepted') AS reason, {big('count(*)')} AS n FROM (
   SELECT CASE WHEN lang = 'es' THEN 'draft' WHEN length(CASE WHEN lang = 'de' THEN {STRIP_TEXT} ELSE {STRIP_TEXT} END) < 200 THEN 'too_short' END AS r FROM docs)
