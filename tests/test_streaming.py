@@ -235,3 +235,19 @@ def test_open_sessions_are_read_from_the_state(spark):
 def test_a_stream_of_nothing(spark):
     stream = replayed(spark, [], "session string, ts timestamp, row_id long", 60, 4)
     assert run_and_keep(run_ordered(stream, state.flush_job(), "1 minute"), "t-none")[0].collect() == []
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path, folder):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "conversations.parquet"
+    if folder:
+        path.mkdir()
+    for i in range(3 if folder else 1):
+        pq.write_table(pa.table({"conv_id": [i], "text": [f"mail me@x{i}.org"]}),
+                       path / f"part-{i}.parquet" if folder else path)
+    pq.write_table(pa.table({"other": [1.5]}), tmp_path / "labels.parquet")
+    rows = run_available(tables.stream_table(spark, str(tmp_path), "conversations"), "t-table")
+    assert sorted(r["conv_id"] for r in rows.collect()) == ([0, 1, 2] if folder else [0])
