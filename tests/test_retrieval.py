@@ -295,3 +295,20 @@ def test_exact_search_of_long_vectors(spark):
         near = sorted(range(200), key=lambda j: (round(float(np.linalg.norm(x[j] - x[i])), 9), j))
         want |= {(i, r + 1, j) for r, j in enumerate(near[:5])}
     assert hits(vectors.vector_topk(s, q)) == want
+
+
+def test_project_similarity_shuffles_no_pairs(spark):
+    """The counts of a pair are made up where the rows of its first project lie."""
+    df = spark.createDataFrame([(f"p{p}", "methods", f"e{e}", None) for p in range(9) for e in range(4)],
+                               "project string, kind string, entity string, detail string")
+    out = graph.project_similarity(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*\ba#\d+[^)]*\bb#\d+", plan)
+    assert {(r["a"], r["b"], r["shared_methods"]) for r in out.collect()} == {
+        (f"p{a}", f"p{b}", 4) for a, b in itertools.combinations(range(9), 2)}
+
+
+@pytest.mark.parametrize("wide", [1, 3, 256])
+def test_project_similarity_wide_entities(spark, monkeypatch, wide):
+    monkeypatch.setattr(graph, "WIDE", wide, raising=False)
+    test_project_similarity_brute_force(spark)
