@@ -113,7 +113,27 @@ def train_cells(sections: DataFrame, queries: DataFrame, metric: str = "l2", n_c
     sections, unit = _usable(sections), metric != "l2"
     rows = sections.count()
     n_cells = n_cells or min(MOST_CELLS, int(CELLS_PER_ROOT * rows ** 0.5), max(rows // 2, 1))
-    centres = _train(sections, n_cells, unit, seed)
+    index = _indexed(sections, _train(sections, n_cells, unit, seed), unit)
+    if len(index.centres):
+        index.probes, index.recall = _measured(index, queries, metric, target, seed)
+    return index
+
+
+def pivots(sections: DataFrame, n: int) -> np.ndarray:
+    """A reproducible spread of sections to act as centres."""
+    chosen = (_usable(sections).orderBy(F.md5(F.col("section_id").cast("string")), "section_id").limit(n)
+              .select("embedding").collect())
+    return np.array([r["embedding"] for r in chosen], np.float64) if chosen else np.zeros((0, 1))
+
+
+def cells_of(sections: DataFrame, centres: np.ndarray, probes: int, metric: str = "l2") -> Cells:
+    """An index of given centres and number of visited cells; nothing is trained or measured."""
+    index = _indexed(_usable(sections), centres, metric != "l2")
+    index.probes = probes
+    return index
+
+
+def _indexed(sections: DataFrame, centres: np.ndarray, unit: bool) -> Cells:
     if not len(centres):
         empty = sections.select("section_id", "embedding", "sensitivity", F.lit(0).alias("cell"))
         return Cells(centres, np.zeros(0), np.zeros(0, np.int64), unit, empty)
@@ -121,9 +141,7 @@ def train_cells(sections: DataFrame, queries: DataFrame, metric: str = "l2", n_c
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).toPandas()
     radii, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     radii[stats["cell"]], sizes[stats["cell"]] = stats["r"], stats["n"]
-    index = Cells(centres, radii, sizes, unit, placed.drop("gap"))
-    index.probes, index.recall = _measured(index, queries, metric, target, seed)
-    return index
+    return Cells(centres, radii, sizes, unit, placed.drop("gap"))
 
 
 def _measured(index: Cells, queries: DataFrame, metric: str, target: float, seed: int) -> tuple[int, float]:

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from murmur.operators import evals, graph, inverted, matching, projects, vectors
 
 rng = random.Random(3)
@@ -312,3 +313,28 @@ def test_project_similarity_shuffles_no_pairs(spark):
 def test_project_similarity_wide_entities(spark, monkeypatch, wide):
     monkeypatch.setattr(graph, "WIDE", wide, raising=False)
     test_project_similarity_brute_force(spark)
+
+
+def test_recall_of_given_cells(spark):
+    """``approx_recall`` counts what the search of given cells finds, not only whether a target is met."""
+    made = np.random.default_rng(11).normal(size=(60, 4))
+    sections = spark.createDataFrame(
+        [(i, [float(x) for x in v], "public") for i, v in enumerate(made)] + [(99, None, "public")],
+        "section_id long, embedding array<float>, sensitivity string")
+    queries = spark.createDataFrame([(i, [float(x) for x in made[i] + 0.1], "public", 5) for i in range(6)],
+                                    "query_id long, embedding array<float>, tier string, k int")
+    order = sorted(range(60), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    centres = made.astype(np.float32).astype(float)[order[:6]]
+    assert np.array_equal(inverted.pivots(sections, 6), centres)
+    assert inverted.pivots(sections.where("section_id = 99"), 6).shape[0] == 0
+    rows, asked = made.astype(np.float32).astype(float), (made[:6] + 0.1).astype(np.float32).astype(float)
+    far = lambda a, b: np.linalg.norm(a[:, None] - b[None], axis=2)
+    own, want = far(rows, centres).argmin(1), 0
+    for i in range(6):
+        seen = set(np.argsort(far(asked, centres)[i], kind="stable")[:2])
+        best = np.argsort(far(asked, rows)[i], kind="stable")
+        want += len(set(best[:5]) & set([j for j in best if own[j] in seen][:5]))
+    index = inverted.cells_of(sections, inverted.pivots(sections, 6), probes=2)
+    got = inverted.recall(vectors.vector_topk(sections, queries), inverted.approx_topk(index, queries)).first()
+    assert (got["exact_hits"], got["found"]) == (30, want) and want < 30
+    assert "count(n.rank)" in entry.oracle_sql()["approx_recall"]
