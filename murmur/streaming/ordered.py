@@ -4,35 +4,45 @@ Rows wait in state until the watermark has passed them; a timer then hands them
 key holds is what arrived after the watermark: a batch (bounded by the source's limits) and the
 allowed lateness, never its whole history. Rows behind the watermark are dropped by Spark
 (``sinks.LateRows`` counts them). What still waits when a job stops is read from its state.
+
+State is held by buckets of keys: calls to the state store and frames cost much more than rows, and most
+keys have few of these. Only the carry is kept by key.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from murmur.streaming.sinks import use_rocksdb
 
 MICROS = 1_000_000
+BUCKETS = 1024
+OUT_ROWS = 10_000  # of a frame for the sink
+
+
+def columns_of(ddl: str) -> list[list[str]]:
+    """Names and types of a flat schema string; works in tasks too."""
+    return [part.split(maxsplit=1) for part in ddl.split(",")]
 
 
 def column_names(ddl: str) -> list[str]:
-    """Names of a flat schema string; works in tasks too."""
-    return [part.split()[0] for part in ddl.split(",")]
+    return [name for name, _ in columns_of(ddl)]
 
 
 @dataclass
 class Step:
     """What an advance gives: rows for the sink, the new carry, rows to keep, when to come back."""
 
-    out: pd.DataFrame
+    out: list[tuple]
     carry: tuple
-    rest: pd.DataFrame
+    rest: list[tuple]
     wake: int | None = None  # event time in microseconds
 
 
@@ -41,8 +51,9 @@ class Job:
     """An operator over ordered rows.
 
     ``rows`` starts with ``at bigint`` (event time in microseconds) and ``order`` breaks ties.
-    ``advance(carry, ready, now)`` takes rows up to the watermark ``now``, sorted; ``now`` is None
-    at the end of the input, when nothing may be kept.
+    ``out`` starts with the key. ``advance(carry, ready, now)`` takes rows up to the watermark ``now``,
+    sorted, and gives rows for the sink without the key; ``now`` is None at the end of the input, when
+    nothing may be kept.
     """
 
     key: str
@@ -51,24 +62,41 @@ class Job:
     carry: str
     start: tuple
     out: str
-    advance: Callable[[tuple, pd.DataFrame, int | None], Step]
+    advance: Callable[[tuple, list[tuple], int | None], Step]
 
     @property
     def names(self) -> list[str]:
         return column_names(self.rows)
 
-    def sorted(self, rows: list) -> pd.DataFrame:
-        frame = pd.DataFrame([tuple(r) for r in rows], columns=self.names, dtype=object)
-        return frame.sort_values(["at", *self.order], ignore_index=True)
-
-    def keyed(self, key, out: pd.DataFrame) -> pd.DataFrame:
-        out.insert(0, self.key, key)
-        return out[column_names(self.out)]
-
+    @property
+    def key_ddl(self) -> str:
+        return self.out.split(",")[0]
 
-def tuples(frame: pd.DataFrame) -> list[tuple]:
-    plain = frame.astype(object)
-    return list(plain.where(plain.notna(), None).itertuples(index=False, name=None))
+    @property
+    def waiting(self) -> str:
+        return f"{self.key_ddl}, {self.rows}"
+
+    def sorted(self, rows: list[tuple]) -> list[tuple]:
+        by = [self.names.index(c) for c in ("at", *self.order)]
+        return sorted(rows, key=lambda r: [(r[i] is None, r[i]) for i in by])
+
+    def frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        for lo in range(0, len(out), OUT_ROWS):
+            yield pd.DataFrame(out[lo:lo + OUT_ROWS], columns=column_names(self.out), dtype=object)
+
+
+def tuples(frame: pd.DataFrame, ddl: str) -> list[tuple]:
+    """Rows of a frame; nulls are None, and whole numbers that nulls made floats are whole again."""
+    columns = []
+    for name, kind in columns_of(ddl):
+        values = frame[name]
+        if values.dtype.kind == "f" and kind in ("int", "bigint"):
+            columns.append([None if v != v else int(v) for v in values.tolist()])
+        elif values.dtype.kind in "ib":
+            columns.append(values.tolist())
+        else:
+            columns.append([None if gone else v for v, gone in zip(values.tolist(), values.isna())])
+    return list(zip(*columns))
 
 
 class _Ordered(StatefulProcessor):
@@ -76,18 +104,22 @@ class _Ordered(StatefulProcessor):
         self._job, self._forget = job, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        job = self._job
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._job.rows)
-        self._carry = handle.getValueState("carry", self._job.carry)
+        self._waiting = handle.getListState("waiting", job.waiting)
+        self._carry = handle.getMapState("carry", job.key_ddl, f"{job.carry}, last bigint")
+        if self._forget is not None:
+            kind = columns_of(job.key_ddl)[0][1]
+            self._idle = handle.getMapState("idle", "due bigint", f"keys array<{kind}>")
 
     def _call_at(self, micros: int) -> None:
-        self._handle.registerTimer(micros // 1000)
+        self._handle.registerTimer(-(-micros // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         first = None
         for frame in rows:
             if len(frame):
-                self._waiting.appendList(tuples(frame[self._job.names]))
+                self._waiting.appendList(tuples(frame, self._job.waiting))
                 low = int(frame["at"].min())
                 first = low if first is None else min(first, low)
         if first is not None:
@@ -95,34 +127,64 @@ class _Ordered(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = self._job.sorted(list(self._waiting.get()) if self._waiting.exists() else [])
-        passed = rows["at"] <= now
-        ready, later = rows[passed].reset_index(drop=True), rows[~passed]
-        carry = tuple(self._carry.get()) if self._carry.exists() else self._job.start
-        if not len(rows):
-            # nothing waits: this is the call to forget an idle key
-            if self._forget is not None and now // 1000 >= expiredTimerInfo.getExpiryTimeInMs():
-                self._carry.clear()
-            return
-        step = self._job.advance(carry, ready, now)
-        self._carry.update(step.carry)
-        kept = tuples(step.rest) + tuples(later)
-        if kept:
-            self._waiting.put(kept)
-            calls = [t for t in (step.wake, later["at"].min() if len(later) else None) if t is not None]
+        job, now = self._job, timerValues.getCurrentWatermarkInMs() * 1000
+        ready, kept, calls = defaultdict(list), [], []
+        for row in self._waiting.get() if self._waiting.exists() else ():
+            if row[1] <= now:
+                ready[row[0]].append(tuple(row[1:]))
+            else:
+                kept.append(tuple(row))
+                calls.append(row[1])
+        out, idle = [], []
+        for name, rows in ready.items():
+            held = self._carry.getValue((name,))
+            carry = job.start if held is None else tuple(held)[:-1]
+            rows = job.sorted(rows)
+            step = job.advance(carry, rows, now)
+            if held is None or step.carry != carry or self._forget is not None:
+                self._carry.updateValue((name,), (*step.carry, rows[-1][0]))
+            out += [(name, *r) for r in step.out]
+            kept += [(name, *r) for r in step.rest]
+            if step.wake is not None:
+                calls.append(step.wake)
+            if not step.rest:
+                idle.append(name)
+        if ready:
+            if kept:
+                self._waiting.put(kept)
+            else:
+                self._waiting.clear()
+        if calls:
             self._call_at(min(calls))
-        else:
-            self._waiting.clear()
-            if self._forget is not None:
-                self._call_at(int(rows["at"].max()) + self._forget)
-        if len(step.out):
-            yield self._job.keyed(key[0], step.out)
+        if self._forget is not None:
+            self._forget_idle(idle, {row[0] for row in kept}, now)
+        yield from job.frames(out)
+
+    def _forget_idle(self, idle: list, waiting: set, now: int) -> None:
+        """Drops the carry of keys whose time is over and notes when that of ``idle`` will be."""
+        for due, names in [(d[0], list(n[0])) for d, n in self._idle.iterator()] if self._idle.exists() else []:
+            if due > now:
+                continue
+            self._idle.removeKey((due,))
+            for name in names:
+                held = self._carry.getValue((name,))
+                if name not in waiting and held is not None and held[-1] + self._forget <= now:
+                    self._carry.removeKey((name,))
+        if idle:
+            # Not before the watermark: none of these keys has a row behind it.
+            due = now + self._forget
+            known = self._idle.getValue((due,))
+            self._idle.updateValue((due,), ([*(known[0] if known is not None else []), *idle],))
+            self._call_at(due)
 
     def close(self) -> None:
         pass
 
 
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def run_ordered(events: DataFrame, job: Job, late: str, forget_hours: int | None = None) -> DataFrame:
     """``events``: the key, ``ts`` and the job's rows but ``at``.
 
@@ -132,7 +194,7 @@ def run_ordered(events: DataFrame, job: Job, late: str, forget_hours: int | None
     use_rocksdb(events.sparkSession)
     rows = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
     forget = None if forget_hours is None else forget_hours * 3600 * MICROS
-    return rows.select(job.key, "ts", *job.names).groupBy(job.key).transformWithStateInPandas(
+    return rows.select(_bucket(job.key), job.key, "ts", *job.names).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Ordered(job, forget), outputStructType=job.out, outputMode="Append",
         timeMode="EventTime")
 
@@ -144,16 +206,17 @@ def finish(events: DataFrame, job: Job, checkpoint: str) -> DataFrame:
     def state(name: str) -> DataFrame:
         return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
-    waiting = state("waiting").select(F.col(f"key.{job.key}").alias(job.key), "list_element.*")
-    names = column_names(job.carry)
-    carry = state("carry").select(F.col(f"key.{job.key}").alias(job.key),
-                                  *[F.col(f"value.{n}").alias(n) for n in names])
+    waiting = state("waiting").select(F.col("key.bucket").alias("bucket"), "list_element.*")
+    carry = state("carry").select(F.col("key.bucket").alias("bucket"), "user_map_key.*", "user_map_value.*")
 
     def end(rows: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=column_names(job.out))
-        start = tuples(last[names])[0] if len(last) else job.start
-        step = job.advance(start, job.sorted(tuples(rows[job.names])), None)
-        return job.keyed(rows[job.key].iloc[0], step.out)
-
-    return waiting.groupBy(job.key).cogroup(carry.groupBy(job.key)).applyInPandas(end, job.out)
+        waits, out = defaultdict(list), []
+        for row in tuples(rows, job.waiting) if len(rows) else ():
+            waits[row[0]].append(row[1:])
+        held = {row[0]: row[1:] for row in tuples(last, f"{job.key_ddl}, {job.carry}")} if len(last) else {}
+        for name, mine in waits.items():
+            step = job.advance(held.get(name, job.start), job.sorted(mine), None)
+            out += [(name, *r) for r in step.out]
+        return pd.DataFrame(out, columns=column_names(job.out), dtype=object)
+
+    return waiting.groupBy("bucket").cogroup(carry.groupBy("bucket")).applyInPandas(end, job.out)

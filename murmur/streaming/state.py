@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,36 +13,25 @@ from murmur.streaming.ordered import MICROS, Job, Step, run_ordered
 OUT = ("session string, pos bigint, kind string, turn_index bigint, audience_tier string, "
        "is_owner boolean, user_message string, answer string")
 ROWS = "at bigint, pos bigint, kind string, text string, flag boolean, tier_rank int"
-TIER_NAMES = np.array(list(TIER_RANKS), dtype=object)
-
-
-def _latest(mark: np.ndarray, values: np.ndarray, before) -> np.ndarray:
-    """At each row, the value of the last marked row so far, ``before`` ahead of the first."""
-    at = np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1))
-    out = np.full(len(mark), before, dtype=object)
-    out[at >= 0] = values[at[at >= 0]]
-    return out
+TIER_NAMES = list(TIER_RANKS)
 
 
-def advance_session(carry: tuple, ready: pd.DataFrame, now: int | None) -> Step:
+def advance_session(carry: tuple, ready: list[tuple], now: int | None) -> Step:
     """Kinds: user, assistant, system; vote (goes to the last question and the last answer before
     it); owner (sets the flag, the last writer wins)."""
-    if not len(ready):
-        return Step(pd.DataFrame(), carry, ready)
     turns, tier, owner, said, answered = carry
-    kind, text = ready["kind"].to_numpy(), ready["text"].to_numpy()
-    user, vote = kind == "user", kind == "vote"
-    index = turns + np.cumsum(user)
-    ranks = ready["tier_rank"].map(lambda r: r or 0).to_numpy(np.int64)
-    tiers = np.maximum(tier, np.maximum.accumulate(np.where(user, ranks, 0)))
-    owners = _latest(kind == "owner", ready["flag"].map(bool).to_numpy(), owner)
-    said, answered = _latest(user, text, said), _latest(kind == "assistant", text, answered)
-    out = pd.DataFrame({
-        "pos": ready["pos"], "kind": kind, "turn_index": index, "audience_tier": TIER_NAMES[tiers],
-        "is_owner": owners.astype(bool), "user_message": np.where(vote, said, None),
-        "answer": np.where(vote, answered, None)})
-    last = (int(index[-1]), int(tiers[-1]), bool(owners[-1]), said[-1], answered[-1])
-    return Step(out, last, ready.iloc[:0])
+    out = []
+    for _, pos, kind, text, flag, rank in ready:
+        if kind == "user":
+            turns, tier, said = turns + 1, max(tier, rank or 0), text
+        elif kind == "assistant":
+            answered = text
+        elif kind == "owner":
+            owner = bool(flag)
+        vote = kind == "vote"
+        out.append((pos, kind, turns, TIER_NAMES[tier], owner, said if vote else None,
+                    answered if vote else None))
+    return Step(out, (turns, tier, owner, said, answered), [])
 
 
 SESSION = Job("session", ROWS, ["pos", "kind"],
@@ -78,14 +67,12 @@ def flush_job(turns: int = FLUSH_TURNS, seconds: int = FLUSH_SECONDS) -> Job:
     A row comes out when its buffer is written, with the number of the buffer and why: ``count``,
     ``time``, or ``end`` for what the end of the input leaves open.
     """
-    def advance(carry: tuple, ready: pd.DataFrame, now: int | None) -> Step:
-        flushes = carry[0]
-        at = ready["at"].to_numpy(np.int64)
-        numbers, reasons = np.zeros(len(at), np.int64), np.full(len(at), None, object)
-        lo = 0
+    def advance(carry: tuple, ready: list[tuple], now: int | None) -> Step:
+        flushes, lo, out = carry[0], 0, []
+        at = [row[0] for row in ready]
         while lo < len(at):
             due = at[lo] + seconds * MICROS
-            hi = min(lo + turns, int(np.searchsorted(at, due)))
+            hi = bisect_left(at, due, lo, min(lo + turns, len(at)))
             if hi - lo == turns:
                 reason = "count"
             elif hi < len(at) or (now is not None and now >= due):
@@ -95,11 +82,10 @@ def flush_job(turns: int = FLUSH_TURNS, seconds: int = FLUSH_SECONDS) -> Job:
             else:
                 break
             flushes += 1
-            numbers[lo:hi], reasons[lo:hi] = flushes, reason
+            out += [(row_id, flushes, reason) for _, row_id in ready[lo:hi]]
             lo = hi
-        out = ready.iloc[:lo][["row_id"]].assign(flush=numbers[:lo], reason=reasons[:lo])
-        wake = int(at[lo]) + seconds * MICROS if lo < len(at) else None
-        return Step(out, (flushes,), ready.iloc[lo:], wake)
+        wake = at[lo] + seconds * MICROS if lo < len(at) else None
+        return Step(out, (flushes,), ready[lo:], wake)
 
     return Job("session", "at bigint, row_id bigint", ["row_id"], "flushes bigint", (0,),
                "session string, row_id bigint, flush bigint, reason string", advance)
