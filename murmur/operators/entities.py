@@ -19,9 +19,15 @@ def fold(name: Column) -> Column:
 
 
 def dedupe_first(rows: DataFrame, keys: list[Column], seq: str = "seq") -> DataFrame:
-    """First row per key, as an aggregate that combines before the shuffle."""
+    """First row per key, as an aggregate that combines before the shuffle.
+
+    Rows that differ in ``seq`` only are combined first, in a hash table of whole numbers: picking a
+    row out of all of them would sort every row of a task.
+    """
+    rest = [c for c in rows.columns if c != seq]
     named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
-    first = rows.groupBy(*named).agg(F.min_by(F.struct(*rows.columns), seq).alias("r"))
+    unlike = rows.groupBy(*rest).agg(F.min(seq).alias(seq)).select(*rows.columns)
+    first = unlike.groupBy(*named).agg(F.min_by(F.struct(*rows.columns), seq).alias("r"))
     return first.select("r.*")
 
 
