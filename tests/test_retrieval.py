@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from murmur.operators import evals, graph, inverted, matching, projects, vectors
+from murmur.operators import entities, evals, graph, inverted, matching, projects, vectors
 
 rng = random.Random(3)
 
@@ -338,3 +338,14 @@ def test_recall_of_given_cells(spark):
     got = inverted.recall(vectors.vector_topk(sections, queries), inverted.approx_topk(index, queries)).first()
     assert (got["exact_hits"], got["found"]) == (30, want) and want < 30
     assert "count(n.rank)" in entry.oracle_sql()["approx_recall"]
+
+
+def test_first_rows_are_picked_after_like_rows_are_combined(spark):
+    """What reads the rows themselves is a hash aggregate: no sort of all rows of a task."""
+    rows = spark.createDataFrame([("k", n, s) for s, n in enumerate(["B", "a ", "b", "A", "B", "a"] * 3)] +
+                                 [("k", "c", None), (None, "d", 7)], "kind string, name string, seq long")
+    out = entities.dedupe_first(rows, [F.col("kind"), entities.fold(F.col("name"))])
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(
+        [("k", "B", 0), ("k", "a ", 1), (None, "d", 7), (None, None, None)], key=repr)
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert "HashAggregate" in [x for x in plan if "Aggregate" in x][-1]

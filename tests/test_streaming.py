@@ -251,3 +251,32 @@ def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path, folder):
     pq.write_table(pa.table({"other": [1.5]}), tmp_path / "labels.parquet")
     rows = run_available(tables.stream_table(spark, str(tmp_path), "conversations"), "t-table")
     assert sorted(r["conv_id"] for r in rows.collect()) == ([0, 1, 2] if folder else [0])
+
+
+def test_replayed_batches_of_several_files(spark, monkeypatch):
+    """Batches of several files stay whole and in order, also one with fewer rows than files."""
+    monkeypatch.setattr(tables, "FILE_ROWS", 20, raising=False)
+    rows = [("a", START + dt.timedelta(seconds=i), i) for i in (*range(100), *range(200, 202), *range(300, 400))]
+    stream = replayed(spark, rows, "session string, ts timestamp, row_id long", 1, 4)
+    out = run_available(stream, "t-files").select("row_id", "batch_id", F.input_file_name().alias("f")).collect()
+    assert sorted(r["row_id"] for r in out) == [r for _, _, r in rows]
+    batches = [[r["row_id"] for r in out if r["batch_id"] == b] for b in sorted({r["batch_id"] for r in out})]
+    assert [len(b) for b in batches] == [100, 2, 100] and max(batches[0]) < 101 and min(batches[2]) > 299
+    assert len({r["f"] for r in out if r["batch_id"] == min(x["batch_id"] for x in out)}) > 1
+
+
+def test_state_is_held_by_buckets_of_sessions(spark, monkeypatch):
+    from murmur.streaming import ordered
+
+    monkeypatch.setattr(ordered, "BUCKETS", 3, raising=False)
+    rows = [r for i in range(20) for r in conversation(f"s{i}", 7, 50 + i)]
+    rows += [(None, *r[1:]) for r in conversation("none", 5, 99)]
+    events = state.session_events(replayed(spark, rows, EVENT, 60, 3), TIERS)
+    written, checkpoint = run_and_keep(run_ordered(events, state.SESSION, "1 minute"), "t-buckets")
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    assert held.select("key").distinct().count() <= 3
+    out = written.drop("batch_id").unionByName(finish(events, state.SESSION, checkpoint)).collect()
+    key = lambda r: (str(r[0]), *map(repr, r[1:]))
+    none = [("", *r[1:]) if r[0] is None else r for r in rows]
+    want = [(r[0] or None, *r[1:]) for r in by_definition(none)]
+    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
